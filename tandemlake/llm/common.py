@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -36,9 +37,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def write_stored(df: DataFrame, name: str) -> str:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(df.sparkSession)
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Let the engine remove shuffle files that nothing refers to any more; it does so when garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_stored(spark: SparkSession, path: str) -> None:
     """Remove what write_stored() wrote, by the file system that the path names."""
     jvm = spark.sparkContext._jvm

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, simhash, toxicity
+from . import chat_template, decontaminate, language_id, packing, simhash, suffix_dedup, toxicity, url_filter, vamana, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,27 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read, _ = warc.deduplicate(_table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vamana.nearest(rows, asked)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.components(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -28,6 +49,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_template.format_digests(chat_template.with_probe(_table(spark, sf_dir, "conversations")))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -40,9 +65,43 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op6_simhash, op7_packing, op9_decontamination)}
+    every = (op1_toxicity, op2_warc, op3_suffix_dedup, op4_language_id, op5_nearest, op6_simhash, op7_packing, op8_chat, op9_decontamination, op10_url_filter)
+    return {f.__name__: f for f in every}
+
+
+OP2_SQL = """
+WITH p AS (
+  SELECT row_number() OVER () AS rid, page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT rid, page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY payload_digest, payload_bytes ORDER BY page_id DESC NULLS LAST, rid) AS n,
+    max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS original
+  FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND n > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND n > 1 THEN original END AS refers_to
+FROM r
+"""
 
+OP8_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, length(role) + length(text) + len(regexp_extract_all(role, '\\|<\||</?s>|\[/?INST\]')) + len(regexp_extract_all(text, '\\|<\||</?s>|\[/?INST\]')) + 8 + 8 + 8 AS chars
+  FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
 
 OP9_SQL = r"""
 WITH iw AS (
@@ -71,4 +130,4 @@ FROM dw d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": OP9_SQL}
+    return {"op2_warc": OP2_SQL, "op8_chat": OP8_SQL, "op9_decontamination": OP9_SQL}
