@@ -10,9 +10,12 @@ are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,49 +27,53 @@ from .common import small_batches
 
 WINDOW = 2048
 END_ID = 1
-CACHE_WORDS = 300_000
+NEVER = 1 << 62
+CACHE_WORDS = 900_000
 LONG_WORD = 48
+STOPS = b".,;:!?"
+#: A letter of ASCII or Latin-1 (in UTF-8) at the end.
+LETTER = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])$")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class Tokens:
-    """Ids of whole texts. Runs between ASCII white space are tokenised on their own and remembered: the tokenizer drops
-    white space and no rule of it looks across, so the ids are those of the whole text."""
+class _Ids(dict):
+    """Ids (little-endian, 32 bits) by word; short words are remembered while there is room."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids, self.cache = Tokenizer.from_file(path), 0, {}
-
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids (little-endian, 32 bits) of words that aren't remembered; short ones are, while there is room."""
-        new = [w for w in words if w not in self.cache]
-        got = {}
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                got[w] = np.array(e.ids, "<u4").tobytes()
-        room = CACHE_WORDS - len(self.cache)
-        if room > 0:
-            self.cache.update(list((w, v) for w, v in got.items() if len(w) <= LONG_WORD)[:room])
-        return got
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
 
-    def of(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        for a in range(0, len(texts), 64):
-            split = [(t or b"").split() for t in texts[a : a + 64]]
-            new = self.learn(set().union(*split))
-            known = _Either(self.cache, new) if new else self.cache
-            for words in split:
-                yield b"".join([known[w] for w in words])
+    def __missing__(self, word: bytes) -> bytes:
+        stem = word.rstrip(STOPS)
+        if len(stem) < len(word) and LETTER.search(stem):
+            ids = self[stem] + self[word[len(stem) :]]
+        else:
+            ids = array("I", self.tokenizer.encode_batch_fast([word.decode("utf-8", "replace")], add_special_tokens=False)[0].ids).tobytes()
+        if len(word) <= LONG_WORD and len(self) < CACHE_WORDS:
+            self[word] = ids
+        return ids
+
+
+#: The tokenizer and what it remembers stay with the worker process, from task to task.
+_shared = cache(_Ids)
 
 
-class _Either(dict):
-    def __init__(self, first: dict, second: dict):
-        super().__init__(second)
-        self.first = first
+class Tokens:
+    """Ids of whole texts. Runs between ASCII white space are tokenised on their own and remembered: the tokenizer drops
+    white space and no rule of it looks across, so the ids are those of the whole text. For the same reason stops at the
+    end of a run are taken apart from a letter before them, and ASCII capitals become small ones beforehand; not so in texts
+    that may hold special tokens or combining marks, where that could make a difference."""
 
-    def __missing__(self, key):
-        return self.first[key]
+    def __init__(self, path: str):
+        self.known = _shared(path)
+
+    def of(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        for t in texts:
+            t = t or b""
+            words = t.split() if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower().split()
+            yield b"".join(map(self.known.__getitem__, words))
 
 
 class Packer:
@@ -93,7 +100,7 @@ class Packer:
         rise[-1] = 0  # a full window is no longer counted
         source = to - size
         fall = np.where(source > 0, 1 - 2 * n[source], 0)
-        cost = np.where((source == 0) | (n[source] > 0), rise + fall, np.iinfo(np.int64).max)
+        cost = np.where((source == 0) | (n[source] > 0), rise + fall, NEVER)
         return int(source[len(cost) - 1 - np.argmin(cost[::-1])])
 
     def add(self, doc: object, ids: bytes) -> Iterator[tuple]:
