@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..operators import ledger as L
+from ..operators import models as M
+from ..operators import network as N
 from ..operators import portfolio as P
 from ..operators import signals as G
 from ..operators import stats as S
@@ -435,11 +437,11 @@ def capped_weights(spark, sf):
     return P.capped(w, ["ticker"], 0.045).select("ticker", F.round("weight", 9).alias("weight"))
 
 
-@query(f"""WITH {W.BARS}, t AS (SELECT DISTINCT ticker FROM bars), p AS (SELECT a.ticker AS t1, b.ticker AS t2 FROM t a JOIN t b ON a.ticker < b.ticker AND (CAST(right(a.ticker, 1) AS INTEGER) + CAST(right(b.ticker, 1) AS INTEGER)) % 3 = 0),
+@query(f"""WITH {W.RETURNS}, p AS (SELECT a.ticker AS t1, b.ticker AS t2 FROM r a JOIN r b ON a.d = b.d AND a.ticker < b.ticker GROUP BY ALL HAVING round(corr(a.r, b.r), 6) > 0.05),
 l AS (SELECT t1, t2, t1 AS leg FROM p UNION ALL SELECT t1, t2, t2 FROM p), n AS (SELECT leg, count(*) AS n FROM l GROUP BY leg), w AS (SELECT t1, t2, avg(1.0 / n) AS w FROM l JOIN n USING (leg) GROUP BY ALL) SELECT t1, t2, round(w / sum(w) OVER (), 9) AS weight FROM w""")
 def leg_split_weights(spark, sf):
-    t = W.bars(spark, sf).select("ticker").distinct()
-    p = t.select(F.col("ticker").alias("t1")).join(t.select(F.col("ticker").alias("t2")), F.col("t1") < F.col("t2")).where((F.right("t1", F.lit(1)).cast("int") + F.right("t2", F.lit(1)).cast("int")) % 3 == 0)
+    c = P.pairwise_correlation(W.returns(spark, sf), "ticker", "d", "r").where(F.round("corr", 6) > 0.05)
+    p = c.select(F.col("i").alias("t1"), F.col("j").alias("t2"))
     return P.leg_split(p).select(*PAIR, F.round("weight", 9).alias("weight"))
 
 
@@ -465,7 +467,7 @@ def sector_etfs(spark, sf):
     return P.sector_etf(r, _etfs(spark, sf).where("f is not null"), "d").select("name", "etf", *r6("r2"))
 
 
-OU = f"""{ETF}, g AS (SELECT ticker, d, r, f, year(d) AS y FROM r JOIN er ON r.d = er.d AND etf = 'E' || right(ticker, 1) WHERE r IS NOT NULL), h AS (SELECT ticker, y, regr_slope(r, f) AS be, regr_intercept(r, f) AS a FROM g GROUP BY ALL),
+OU = f"""{ETF}, g AS (SELECT ticker, r.d, r, f, year(r.d) AS y FROM r JOIN er ON r.d = er.d AND etf = 'E' || right(ticker, 1) WHERE r IS NOT NULL), h AS (SELECT ticker, y, regr_slope(r, f) AS be, regr_intercept(r, f) AS a FROM g GROUP BY ALL),
 e AS (SELECT ticker, y, g.d, round(r - a - be * f, 9) AS e FROM g JOIN h USING (ticker, y)), x AS (SELECT *, sum(e) OVER (PARTITION BY ticker, y ORDER BY d ROWS UNBOUNDED PRECEDING) AS x FROM e), x2 AS (SELECT *, lag(x) OVER (PARTITION BY ticker, y ORDER BY d) AS x0 FROM x),
 q AS (SELECT ticker, y, regr_slope(x, x0) AS b, regr_intercept(x, x0) AS a, regr_count(x, x0) AS n, regr_syy(x, x0) AS yy, regr_sxy(x, x0) AS xy, regr_sxx(x, x0) AS xx, arg_max(x, d) AS x_last FROM x2 GROUP BY ALL),
 o AS (SELECT *, (yy - b * xy) / greatest(n - 2, 1) AS v, -ln(greatest(1e-9, least(b, 0.999999))) * 52 AS kappa, a / (1 - b) AS m FROM q WHERE xx > 1e-18 AND b > 0 AND b < 1),
@@ -481,11 +483,11 @@ def ou_scores(spark, sf):
     return fit.select("ticker", "y", *r6("kappa", "sigma", "s", n=5), *r6("m", "sigma_eq"), "model_ok")
 
 
-@query(f"""WITH {W.Z}, t AS (SELECT t1 AS name, t2 AS etf, beta, CASE WHEN z < -1 THEN 1 WHEN z > 1 THEN -1 ELSE 0 END AS state, d FROM zs WHERE d = (SELECT max(d) FROM zs WHERE z IS NOT NULL AND t1 = 'Brand#11') AND t1 <> t2), k AS (SELECT * FROM t WHERE state <> 0)
+@query(f"""WITH {W.Z}, t AS (SELECT t1 AS name, t2 AS etf, beta, CASE WHEN z < -1 THEN 1 WHEN z > 1 THEN -1 ELSE 0 END AS state, d FROM zs WHERE d = (SELECT max(d) FROM zs WHERE z IS NOT NULL)), k AS (SELECT * FROM t WHERE state <> 0)
 SELECT name AS leg, round(sum(CAST(state AS DOUBLE)), 6) AS notional FROM k GROUP BY name UNION ALL SELECT 'etf ' || etf, round(sum(-state * beta), 6) FROM k GROUP BY etf""")
 def state_positions(spark, sf):
     z = W.zs(spark, sf)
-    last = z.where("z is not null and t1 = 'Brand#11'").agg(F.max("d").alias("d"))
+    last = z.where("z is not null").agg(F.max("d").alias("d"))
     t = z.join(F.broadcast(last), "d").select(F.col("t1").alias("name"), F.concat(F.lit("etf "), F.col("t2")).alias("etf"), "beta", F.when(F.col("z") < -1, 1).when(F.col("z") > 1, -1).otherwise(0).alias("state"))
     return P.positions_from_state(t).groupBy("leg").agg(F.round(F.sum("notional"), 6).alias("notional"))
 
@@ -598,11 +600,11 @@ def top_by_year(spark, sf):
     return V.top_by(b, ["y"], [F.desc("dollar_volume"), "ticker", "d"], 5).select("y", F.col("rank").cast("long").alias("rank"), "ticker", "d", "dollar_volume")
 
 
-@query(f"""WITH {W.BARS}, c AS (SELECT year(d) AS formation, ticker, round(avg(volume) / 10, 4) AS bps FROM bars WHERE ticker NOT LIKE '%3' GROUP BY ALL), t AS (SELECT DISTINCT ticker FROM bars), p AS (SELECT a.ticker AS t1, b.ticker AS t2, y AS formation FROM t a JOIN t b ON a.ticker < b.ticker, (SELECT CAST(unnest([1993, 1995, 2020]) AS BIGINT) AS y))
+@query(f"""WITH {W.BARS}, c AS (SELECT year(d) AS formation, ticker, round(avg(volume) / 10, 4) AS bps FROM bars GROUP BY ALL HAVING count(*) >= 52), t AS (SELECT DISTINCT ticker FROM bars), p AS (SELECT a.ticker AS t1, b.ticker AS t2, y AS formation FROM t a JOIN t b ON a.ticker < b.ticker, (SELECT CAST(unnest([1993, 1995, 2020]) AS BIGINT) AS y))
 SELECT p.formation, p.t1, p.t2, round(CASE WHEN x.bps IS NOT NULL AND z.bps IS NOT NULL THEN (2 * x.bps + z.bps) / 3 ELSE coalesce(x.bps, z.bps, 5) END, 5) AS bps FROM p LEFT JOIN c x ON x.formation = p.formation AND x.ticker = p.t1 LEFT JOIN c z ON z.formation = p.formation AND z.ticker = p.t2""")
 def pair_fold_costs(spark, sf):
     b = W.bars(spark, sf)
-    c = b.where("ticker not like '%3'").groupBy(F.year("d").cast("long").alias("formation"), "ticker").agg(F.round(F.avg("volume") / 10, 4).alias("bps"))
+    c = b.groupBy(F.year("d").cast("long").alias("formation"), "ticker").agg(F.round(F.avg("volume") / 10, 4).alias("bps"), F.count("*").alias("bars")).where("bars >= 52").drop("bars")
     t = b.select("ticker").distinct()
     p = t.select(F.col("ticker").alias("t1")).join(t.select(F.col("ticker").alias("t2")), F.col("t1") < F.col("t2")).withColumn("formation", F.explode(F.array(*(F.lit(y).cast("long") for y in (1993, 1995, 2020))))).withColumns({"w1": F.lit(2.0), "w2": F.lit(1.0)})
     return P.pair_costs(p, c, 5.0).select("formation", *PAIR, F.round("bps", 5).alias("bps"))
@@ -616,3 +618,128 @@ def coverage_and_splits(spark, sf):
     flag = lambda df, name: df.select("ticker").distinct().withColumn(name, F.lit(True))
     out = s.join(flag(V.full_span(b, "ticker", "d"), "spans"), "ticker", "left").join(flag(V.complete(b, "ticker", "d", "px"), "complete"), "ticker", "left")
     return out.select("ticker", F.coalesce("spans", F.lit(False)).alias("spans"), F.coalesce("complete", F.lit(False)).alias("complete"), "train", "val", "test")
+
+
+# ------------------------------------------------------------------ kernels: no SQL form, tested against slow versions
+
+
+def _monthly(spark, sf):
+    return W.bars(spark, sf).select("ticker", "d", "px")
+
+
+@query(dates="")
+def dual_gate_screen(spark, sf):
+    out = M.screen(_monthly(spark, sf), partitions=32)
+    return out.select(*PAIR, *r6("eg_t", "eg_p", "eg_p_fdr", "joh_stat", n=5), "eg_pass", "joh_pass", "verdict")
+
+
+@query()
+def spread_stationarity(spark, sf):
+    out = M.stationarity(W.resid(spark, sf).select(*PAIR, "d", "resid"), PAIR, "d")
+    return out.select(*PAIR, *r6("adf_stat", "adf_p", "kpss_stat", "kpss_p", n=5), "verdict")
+
+
+@query(dates="d")
+def kalman_hedges(spark, sf):
+    p = W.pairs(spark, sf)
+    return M.fit_kalman(p, PAIR, "d", 1e-4, 1.0).select(*PAIR, "d", *r6("alpha", "beta", "resid", n=4))
+
+
+@query(dates="d")
+def kalman_continued(spark, sf):
+    p = W.pairs(spark, sf)
+    first = M.fit_kalman(p.where("d < '1998-01-01'"), PAIR, "d", 1e-4, 1.0)
+    return M.continue_kalman(p.where("d >= '1998-01-01'"), first, PAIR, "d").select(*PAIR, "d", *r6("alpha", "beta", "resid", n=4))
+
+
+@query()
+def hedge_gate(spark, sf):
+    """Two indices over all trades, of small and of large parts, by month."""
+    t = W.table(spark, sf, "lineitem").join(W.table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    small = F.col("p_size") <= 25
+    px = lambda c: F.sum(F.when(c, F.col("l_extendedprice"))) / F.sum(F.when(c, F.col("l_quantity")))
+    p = t.groupBy(F.to_date(F.date_trunc("month", "l_shipdate")).alias("d")).agg(px(small).alias("P1"), px(~small).alias("P2"))
+    return M.hedge_gate(p.select(F.lit("small").alias("t1"), F.lit("large").alias("t2"), "d", "P1", "P2"), PAIR, "d", draws=9)
+
+
+def _similarity(spark, sf):
+    r = W.returns(spark, sf).withColumn("y", F.year("d").cast("long"))
+    a, b = r.select("y", "d", F.col("ticker").alias("i"), F.col("r").alias("a")), r.select("y", "d", F.col("ticker").alias("j"), F.col("r").alias("b"))
+    return a.join(b, ["y", "d"]).where("i < j").groupBy("y", "i", "j").agg(F.round(1 + F.corr("a", "b"), 9).alias("w"))
+
+
+@query()
+def triangulated_graphs(spark, sf):
+    return N.filtered_graphs(_similarity(spark, sf), "y")
+
+
+@query()
+def planar_graphs(spark, sf):
+    return N.filtered_graphs(_similarity(spark, sf), "y", "pmfg")
+
+
+@query()
+def node_roles(spark, sf):
+    g = N.filtered_graphs(_similarity(spark, sf), "y").withColumnRenamed("y", "year")
+    return N.node_roles(g, "year").select("year", "node", *r6("X", "Y", "XY"), "role")
+
+
+@query()
+def eigenportfolios(spark, sf):
+    r = W.returns(spark, sf).where("r is not null").withColumn("y", F.year("d").cast("long"))
+    return P.eigenportfolios_by(r, "y", "ticker", "d", "r", 3).select("y", "factor", "name", *r6("weight", "eigenvalue"))
+
+
+@query()
+def risk_parity(spark, sf):
+    r = W.returns(spark, sf).withColumn("y", F.year("d").cast("long"))
+    a, b = r.select("y", "d", F.col("ticker").alias("i"), F.col("r").alias("a")), r.select("y", "d", F.col("ticker").alias("j"), F.col("r").alias("b"))
+    cov = a.join(b, ["y", "d"]).groupBy("y", "i", "j").agg(F.covar_samp("a", "b").alias("cov"))
+    return P.risk_parity_by(cov.withColumn("cov", F.when(F.col("i") == F.col("j"), F.col("cov") * 1.5).otherwise(F.col("cov"))), "y").select("y", "i", *r6("weight"))
+
+
+@query(dates="d")
+def partial_adjustment(spark, sf):
+    w = order("ticker")
+    r = W.returns(spark, sf).withColumn("y", F.year("d").cast("long")).withColumns({"target": -F.col("r"), "next": F.lead("r").over(w)})
+    gross = Window.partitionBy("d")
+    t = r.where("r is not null").select("y", "d", F.col("ticker").alias("name"), (F.col("target") / F.sum(F.abs("target")).over(gross)).alias("target"), F.coalesce("next", F.lit(0.0)).alias("r"))
+    return P.partial_adjustment(t, "y", "d", 0.3, 5.0).select("y", "d", *r6("gross", "turnover", "pnl"))
+
+
+@query(dates="d")
+def ewm_z(spark, sf):
+    e = W.resid(spark, sf).select(*PAIR, "d", "resid")
+    return G.z_by_pair(e, PAIR, "d", "resid", method="ewm").select(*PAIR, "d", *r6("z"))
+
+
+@query(dates="d")
+def half_life_window_z(spark, sf):
+    e = W.resid(spark, sf).select(*PAIR, "d", "resid")
+    n = S.half_life(e, "resid", PAIR, "d").select(*PAIR, S.half_life_window(F.col("half_life")).alias("n"))
+    return G.z_by_pair(e.join(n, PAIR), PAIR, "d", "resid", window="n").select(*PAIR, "d", "n", *r6("z"))
+
+
+@query()
+def walk_forward_backtest(spark, sf):
+    z = W.zs(spark, sf).select(*PAIR, "d", "resid", "P1", "P2", "beta")
+    x = V.walk_forward_folds(z, PAIR, "d", 104, 52)
+
+    def fit(train):
+        return train["resid"].mean(), train["resid"].std(ddof=0)
+
+    def signal(test, fitted):
+        return -((test["resid"] - fitted[0]) / fitted[1]).clip(-2, 2)
+
+    def evaluate(test, s):
+        test, s = test.sort_values("d"), s.reindex(test.sort_values("d").index)
+        pnl = s.shift(1).fillna(0) * test["resid"].diff().fillna(0)
+        return {"pnl": round(float(pnl.sum()), 4), "bars": len(test)}
+
+    return V.walk_forward(x, PAIR, fit, signal, evaluate, "pnl double, bars long")
+
+
+@query(dates="d")
+def stitched_signals(spark, sf):
+    z = W.zs(spark, sf).withColumn("fold", F.year("d").cast("long"))
+    return G.stitched(z, PAIR, RULE, "d").select(*PAIR, "fold", "d", "pos", *r6("n1", "n2"))
