@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 #: Control strings that the default template marks turns with, and others that models commonly know.
 CONTROL = re.compile(r"\\|<\||</?s>|\[/?INST\]")
@@ -509,7 +509,7 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
             text, spans = compiled.render(turns)
             yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([text]), pa.array([[list(s) for s in spans]], pa.list_(pa.list_(pa.int64())))], ["conv_id", "formatted", "loss_spans"])
 
-    return _sorted(conversations).mapInArrow(work, "conv_id long, formatted string, loss_spans array<array<long>>")
+    return _sorted(conversations).mapInArrow(tidy(work), "conv_id long, formatted string, loss_spans array<array<long>>")
 
 
 def format_digests(conversations: DataFrame) -> DataFrame:
@@ -538,7 +538,7 @@ def format_digests(conversations: DataFrame) -> DataFrame:
         if out:
             yield batch()
 
-    return _sorted(conversations).mapInArrow(work, SCHEMA)
+    return _sorted(conversations).mapInArrow(tidy(work), SCHEMA)
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
+import importlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +64,29 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: What operators keep in a worker process from task to task: how to let it go, by name.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def tidy(work: Callable, keeps: str = "") -> Callable:
+    """work for mapInArrow, such that a worker that goes on to other operators doesn't hold on to memory: what others keep
+    goes beforehand, and what the allocator holds back is returned afterwards."""
+
+    def run(batches: Iterator) -> Iterator:
+        here = importlib.import_module("tandemlake.llm.common")  # the worker's own module: what a closure names would be a copy
+        for name, drop in here.KEPT.items():
+            if name != keeps:
+                drop()
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            with suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def runs_by_size(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Cut a list into runs of neighbours whose sizes sum to at most limit (a single larger one stands alone)."""
     start = total = 0

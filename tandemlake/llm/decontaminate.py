@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hashes, runs_by_size, small_batches, stored
+from .common import mix, prefix_hashes, runs_by_size, small_batches, stored, tidy
 
 WINDOW = 13
 SHINGLE = 3
@@ -226,7 +226,7 @@ def _count_tokens(docs: DataFrame, index: Index) -> dict[tuple[int, int], int]:
             some = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), n, np.int32)), pa.array(tables[n][0][some].view(np.int64)), pa.array(c[some])], ["n", "token", "count"])
 
-    rows = docs.select("text").mapInArrow(work, "n int, token long, count long").groupBy("n", "token").agg(F.sum("count").alias("count")).collect()
+    rows = docs.select("text").mapInArrow(tidy(work), "n int, token long, count long").groupBy("n", "token").agg(F.sum("count").alias("count")).collect()
     return {(r["n"], r["token"]): r["count"] for r in rows}
 
 
@@ -264,7 +264,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, kee
                 new = [pa.array(n_words, pa.int64()), pa.array(all_runs, pa.binary()), pa.array(all_items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *new, *b.columns[5:]], names=b.schema.names)
 
-        state = state.mapInArrow(work, schema)
+        state = state.mapInArrow(tidy(work), schema)
         number += 1
         if following is None:
             break
@@ -276,7 +276,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, kee
             hits = pa.array([int((r[:, 1] - r[:, 0]).sum()) for r in runs], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), hits, pa.array([r.tolist() for r in runs], pa.list_(pa.list_(pa.int64()))), *b.columns[3:]], names=["doc_id", "n_words", "n_hit", "hit_runs", "items", *b.schema.names[4:]])
 
-    out = state.drop("text").mapInArrow(finish, "doc_id long, n_words long, n_hit long, hit_runs array<array<long>>, items array<string>" + "".join(f", keep_{c} {docs.schema[c].dataType.simpleString()}" for c in extra))
+    out = state.drop("text").mapInArrow(tidy(finish), "doc_id long, n_words long, n_hit long, hit_runs array<array<long>>, items array<string>" + "".join(f", keep_{c} {docs.schema[c].dataType.simpleString()}" for c in extra))
     return out.select("doc_id", "n_words", "n_hit", "hit_runs", "items", *(F.col(f"keep_{c}").alias(c) for c in extra))
 
 

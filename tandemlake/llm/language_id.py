@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, small_batches, stored
+from .common import mix, small_batches, stored, tidy
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -72,7 +72,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS)
         names = sorted(counts)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[x].tolist() for x in names], pa.list_(pa.int64()))], ["lang", "counts"])
 
-    got = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text").mapInArrow(work, "lang string, counts array<long>").collect()
+    got = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text").mapInArrow(tidy(work), "lang string, counts array<long>").collect()
     table = np.array([r["counts"] for r in got], np.float64).reshape(-1, BUCKETS) + SMOOTH
     return [r["lang"] for r in got], np.log(table / table.sum(axis=1, keepdims=True))
 
@@ -95,7 +95,7 @@ def evidence(pages: DataFrame, languages: list[str], table: np.ndarray) -> DataF
                 best.append(languages[int(s.argmax())] if n > 9 else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(said), pa.array(scores, pa.list_(pa.float64())), pa.array(best, pa.string())], ["page_id", "url", "declared", "text_scores", "text_lang"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(work, "page_id long, url string, declared string, text_scores array<double>, text_lang string")
+    return pages.select("page_id", "url", "html").mapInArrow(tidy(work), "page_id long, url string, declared string, text_scores array<double>, text_lang string")
 
 
 def address() -> tuple[Column, Column, Column]:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import KEPT, small_batches, tidy
 
 WINDOW = 2048
 END_ID = 1
@@ -58,6 +58,7 @@ class _Ids(dict):
 
 #: The tokenizer and what it remembers stay with the worker process, from task to task.
 _shared = cache(_Ids)
+KEPT["packing"] = _shared.cache_clear
 
 
 class Tokens:
@@ -167,4 +168,4 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
         if out:
             yield batch()
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(work, SCHEMA)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(work, "packing"), SCHEMA)

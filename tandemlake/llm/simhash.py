@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import small_batches, stored, tidy
 from .components import connected_components
 
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(work, "doc_id long, fp long")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(work), "doc_id long, fp long")
 
 
 # ------------------------------------------------------------------ links within buckets
@@ -186,7 +186,7 @@ def _second_variants(hot: DataFrame) -> DataFrame:
 def near_links(fps: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """Distinct fingerprints (fp) -> links (a, b): enough of the pairs within DISTANCE bits to connect all that are linked."""
     first = _variants(fps)
-    first = first.repartition("key").sortWithinPartitions("key").mapInArrow(lambda x: _links(x, 32, bucket_limit), "kind int, a long, b long")
+    first = first.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(lambda x: _links(x, 32, bucket_limit)), "kind int, a long, b long")
     first = stored(first, "simhash-links")
     links, hot = first.where("kind = 0").select("a", "b"), first.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"))
     if hot.isEmpty():
@@ -209,7 +209,7 @@ def near_links(fps: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
 
         yield from _links(renamed(), 40, None)
 
-    more = _second_variants(hot).repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(second, "kind int, a long, b long")
+    more = _second_variants(hot).repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(tidy(second), "kind int, a long, b long")
     return links.unionByName(more.select("a", "b"))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from .common import mix, prefix_hashes, runs_by_size, small_batches, stored
+from .common import mix, prefix_hashes, runs_by_size, small_batches, stored, tidy
 
 GRAM = 200
 K = 40
@@ -79,7 +79,7 @@ def _hashes(docs: DataFrame, gram: int, k: int) -> DataFrame:
             h, n = np.unique(np.concatenate(got), return_counts=True) if got else (np.empty(0, np.uint64), np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    return docs.select("text").mapInArrow(work, "h long, n long")
+    return docs.select("text").mapInArrow(tidy(work), "h long, n long")
 
 
 def _records(docs: DataFrame, gram: int, k: int) -> DataFrame:
@@ -98,7 +98,7 @@ def _records(docs: DataFrame, gram: int, k: int) -> DataFrame:
                 place = first << 20 | back << 10 | count
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.frombuffer(digests, "<i8")), pa.array(did[text]), pa.array(th[text]), pa.array(place)], ["h", "c", "did", "th", "place"])
 
-    return docs.select("did", "th", "text").mapInArrow(work, "h long, c long, did long, th long, place long")
+    return docs.select("did", "th", "text").mapInArrow(tidy(work), "h long, c long, did long, th long, place long")
 
 
 # ------------------------------------------------------------------ the sort
@@ -266,7 +266,7 @@ def _counted(windows: DataFrame, gram: int) -> DataFrame:
                 g = np.frombuffer(b"".join(hashlib.blake2b(w[j : j + gram], digest_size=16).digest() for j in range(m)), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, h)), pa.array(np.full(m, c)), pa.array(np.full(m, n)), pa.array(np.arange(m)), pa.array(g[:, 0].copy()), pa.array(g[:, 1].copy())], ["h", "c", "n", "j", "g0", "g1"])
 
-    each = windows.dropDuplicates(["h", "c"]).mapInArrow(strings, "h long, c long, n long, j long, g0 long, g1 long")
+    each = windows.dropDuplicates(["h", "c"]).mapInArrow(tidy(strings), "h long, c long, n long, j long, g0 long, g1 long")
     twice = each.groupBy("g0", "g1").agg(F.count("*").alias("times")).where("times > 1").select("g0", "g1", F.lit(True).alias("again"))
     marked = each.where("n = 1").join(twice, ["g0", "g1"], "left")
 
@@ -280,7 +280,7 @@ def _counted(windows: DataFrame, gram: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], ["h", "c", "bits"])
 
     found = marked.groupBy("h", "c").agg(F.collect_list(F.when(F.col("again"), F.col("j"))).alias("js"), F.count("*").alias("m"))
-    return found.mapInArrow(bits, "h long, c long, bits binary")
+    return found.mapInArrow(tidy(bits), "h long, c long, bits binary")
 
 
 # ------------------------------------------------------------------ the operator
@@ -311,10 +311,10 @@ def remove_repeats(docs: DataFrame, gram: int = GRAM, k: int = K, group_limit: i
                 columns = [pa.array([r[x] for r in records], pa.int64()) for x in ("h", "c", "n", "kinds", "place")]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(windows, pa.binary())], ["h", "c", "n", "kinds", "place", "window"])
 
-    windows = stored(own.join(lists, ["did", "th"]).select("text", "wanted").mapInArrow(cut, "h long, c long, n long, kinds long, place long, window binary"), "windows")
+    windows = stored(own.join(lists, ["did", "th"]).select("text", "wanted").mapInArrow(tidy(cut), "h long, c long, n long, kinds long, place long, window binary"), "windows")
     columns = ["h", "c", "n", "place", "window"]
     some = windows.where(F.col("kinds") <= group_limit).select(*columns).repartition("h").sortWithinPartitions("h", "c")
-    verdicts = some.mapInArrow(lambda x: _kernel(x, gram), "h long, c long, bits binary")
+    verdicts = some.mapInArrow(tidy(lambda x: _kernel(x, gram)), "h long, c long, bits binary")
     large = windows.where(F.col("kinds") > group_limit).select(*columns)
     if not large.isEmpty():
         verdicts = verdicts.unionByName(_counted(large, gram))
@@ -337,7 +337,7 @@ def remove_repeats(docs: DataFrame, gram: int = GRAM, k: int = K, group_limit: i
             ids = pa.array([None if x == NO_ID else x for x in b.column(0).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(gone, pa.list_(pa.list_(pa.int64()))), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), b.column(3)], ["doc_id", "n_bytes", "spans", "kept", "carried"])
 
-    return joined.mapInArrow(remove, schema)
+    return joined.mapInArrow(tidy(remove), schema)
 
 
 def _runs(n: int, records: list[dict], gram: int) -> list[list[int]]:

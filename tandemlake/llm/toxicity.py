@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import mix, runs_by_size, small_batches
+from .common import mix, runs_by_size, small_batches, tidy
 
 ORDERS = (3, 4, 5)
 BUCKETS = 1 << 20
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars:
         bucket, weight, bias = fit_rows(texts, np.array(marks, np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([bucket.tolist()], pa.list_(pa.int32())), pa.array([weight.tolist()], pa.list_(pa.float32())), pa.array([bias])], ["feature", "weight", "bias"])
 
-    got = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text").mapInArrow(work, SCHEMA).collect()
+    got = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text").mapInArrow(tidy(work), SCHEMA).collect()
     weight = np.zeros(BUCKETS, np.float32)
     if not got:
         return Model(weight, -3.0)
@@ -170,7 +170,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = shared.value.scores(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "toxicity_score"])
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(tidy(work), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

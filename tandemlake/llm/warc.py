@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, stored
+from .common import shared_dir, small_batches, stored, tidy
 
 FILE_BYTES = 32_000_000
 PIECE = 16_384
@@ -141,7 +141,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             yield _headers(rows)
         archives.close()
 
-    return stored(pages.select("page_id", "url", F.col("html").cast("binary").alias("html")).mapInArrow(work, HEADERS), "warc-headers")
+    return stored(pages.select("page_id", "url", F.col("html").cast("binary").alias("html")).mapInArrow(tidy(work), HEADERS), "warc-headers")
 
 
 def resolve(headers: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -188,7 +188,7 @@ def rewrite(decided: DataFrame, source: str, target: str) -> DataFrame:
             yield _headers(out)
         new.close()
 
-    return stored(decided.repartition("file").sortWithinPartitions("file", "offset").mapInArrow(work, HEADERS), "warc-new-headers")
+    return stored(decided.repartition("file").sortWithinPartitions("file", "offset").mapInArrow(tidy(work), HEADERS), "warc-new-headers")
 
 
 def read_archives(headers: DataFrame, folder: str) -> DataFrame:
@@ -208,7 +208,7 @@ def read_archives(headers: DataFrame, folder: str) -> DataFrame:
                     rows.append((name, offset, size, page and int(page), head["WARC-Target-URI"], digest, n, head["WARC-Type"], int(refers) if refers not in (None, "None") else None, head.get("WARC-Refers-To-Target-URI")))
                 yield _headers(rows)
 
-    return files.repartition("file").mapInArrow(work, HEADERS)
+    return files.repartition("file").mapInArrow(tidy(work), HEADERS)
 
 
 def deduplicate(pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, str]:
