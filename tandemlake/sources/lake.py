@@ -41,7 +41,7 @@ def months(start: dt.date, end: dt.date) -> list[tuple[int, int]]:
 def select_files(spark: SparkSession, root: str, start: dt.date, end: dt.date, tickers: Iterable[str] | None = None, layout: str | None = None) -> list[str]:
     """Month files that can hold rows of the range; only folders that exist are listed."""
     layout = layout or detect_layout(spark, root)
-    tops = [root] if layout == "market" else [f"{root}/{t}" for t in (sorted({t.upper() for t in tickers}) if tickers else [n for n, d in _children(spark, root) if d])]
+    tops = [root] if layout == "market" else [f"{root}/{t}" for t in (sorted({t.upper() for t in tickers}) if tickers else sorted(n for n, d in _children(spark, root) if d))]
     out, wanted = [], months(start, end)
     for top in tops:
         for year in sorted({y for y, _ in wanted}):
