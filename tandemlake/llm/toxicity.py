@@ -21,6 +21,8 @@ from .common import mix, runs_by_size, small_batches, tidy
 ORDERS = (3, 4, 5)
 BUCKETS = 1 << 20
 FEATURES = 20_000
+#: Features whose evidence (a log-likelihood ratio statistic) is less are not used.
+LEAST_EVIDENCE = 6.0
 SAMPLE = 8_000
 SAMPLE_CHARS = 25_000_000
 CHUNK = 1_000_000
@@ -91,42 +93,83 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit_rows(texts: list[str], labels: np.ndarray, features: int = FEATURES, l2: float = 1e-3, rounds: int = 150) -> tuple[np.ndarray, np.ndarray, float]:
-    """(bucket, weight, bias). One class only: no features, and a bias towards it."""
-    rows = [present(t) for t in texts]
-    n, pos = len(rows), int(labels.sum())
-    if not n or pos in (0, n):
-        return np.empty(0, np.int32), np.empty(0, np.float32), -3.0 if not pos else 3.0
+def _evidence(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
+    """Log-likelihood ratio statistic of each feature's table of presence against label."""
+    n, seen = n_toxic + n_other, toxic + other
+    out = np.zeros(len(seen))
+    for got, size in ((toxic, n_toxic), (other, n_other)):
+        for part, whole in ((got, seen), (size - got, n - seen)):
+            some = part > 0
+            out[some] += 2 * part[some] * np.log(part[some] * n / (whole[some] * size))
+    return out
+
+
+def _weights(rows: list[np.ndarray], y: np.ndarray, features: int, l2: float, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(bucket, weight, bias): log-count ratios, the features that tell most, logistic regression on them with both classes alike."""
+    n, pos = len(rows), int(y.sum())
     counts = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
-    for f, y in zip(rows, labels):
-        counts[int(y)][f] += 1
-    # of those that do not tell, and of those seen in two texts or less, none is kept
-    p, q = (counts[1] + 1) / (pos + 2), (counts[0] + 1) / (n - pos + 2)
-    ratio = np.log(p / q)
-    seen = counts[0] + counts[1]
-    tells = np.abs(ratio) * np.sqrt(np.where(seen >= 3, np.maximum(counts[1] / pos, counts[0] / (n - pos)), 0))
+    for f, label in zip(rows, y):
+        counts[int(label)][f] += 1
+    ratio = np.log((counts[1] + 1) / (pos + 2) / ((counts[0] + 1) / (n - pos + 2)))
+    tells = _evidence(counts[1], counts[0], pos, n - pos)
+    tells[(tells < LEAST_EVIDENCE) | (counts[0] + counts[1] < 3)] = 0
     keep = np.sort(np.argsort(-tells, kind="stable")[: min(features, int((tells > 0).sum()))])
     place = np.full(BUCKETS, -1, np.int32)
     place[keep] = np.arange(len(keep))
     mine = [place[f][place[f] >= 0] for f in rows]
     row = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in mine])
-    col = np.concatenate(mine) if mine else np.empty(0, np.int32)
-    r = ratio[keep]
-    r = r / np.sqrt(np.mean([max(1, len(f)) for f in mine]))
+    col = np.concatenate(mine)
+    r = ratio[keep] / np.sqrt(np.mean([max(1, len(f)) for f in mine]))
     scale = r.astype(np.float32)[col]
-    y = labels.astype(np.float64)
-    share = np.where(y == 1, 0.5 / pos, 0.5 / (n - pos))  # both classes weigh the same
+    share = np.where(y == 1, 0.5 / pos, 0.5 / (n - pos))
     w, b, gw, gb, mw, mb = np.zeros(len(keep)), 0.0, np.zeros(len(keep)), 0.0, np.zeros(len(keep)), 0.0
     for t in range(1, rounds + 1):  # gradient steps with moments
         z = np.bincount(row, scale * w[col], minlength=n) + b
         d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
-        g, h = np.bincount(col, scale * d[row], minlength=len(keep)) + l2 * w / n, d.sum()
+        g, h = np.bincount(col, scale * d[row], minlength=len(keep)) + l2 * w, d.sum()
         mw, mb = 0.9 * mw + 0.1 * g, 0.9 * mb + 0.1 * h
         gw, gb = 0.99 * gw + 0.01 * g * g, 0.99 * gb + 0.01 * h * h
         c1, c2 = 1 - 0.9**t, 1 - 0.99**t
         w -= 0.05 * (mw / c1) / (np.sqrt(gw / c2) + 1e-9)
         b -= 0.05 * (mb / c1) / (np.sqrt(gb / c2) + 1e-9)
-    return keep.astype(np.int32), (w * r).astype(np.float32), float(b)
+    return keep, w * r, float(b)
+
+
+def _calibration(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of a logistic regression of the label on scores of texts that were not learnt from (Newton steps)."""
+    x, target = np.column_stack([z, np.ones(len(z))]), np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    theta = np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (target - p) - 1e-6 * theta)
+        theta += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return max(float(theta[0]), 1e-3), float(theta[1])
+
+
+def fit_rows(texts: list[str], labels: np.ndarray, features: int = FEATURES, l2: float = 1e-3, rounds: int = 100, folds: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+    """(bucket, weight, bias), calibrated on folds that were held out. One class only: no features, and a bias towards it."""
+    n, pos = len(texts), int(labels.sum())
+    if not n or pos in (0, n):
+        return np.empty(0, np.int32), np.empty(0, np.float32), -3.0 if not pos else 3.0
+    rows, y = [present(t) for t in texts], labels.astype(np.float64)
+    slope, shift = 1.0, 0.0
+    part = np.empty(n, np.int64)  # every fold has its share of both classes
+    for label in (0, 1):
+        own = np.flatnonzero(labels == label)
+        part[own] = np.arange(len(own)) % folds
+    if min(pos, n - pos) >= 2 * folds:
+        z = np.empty(n)
+        for k in range(folds):
+            learn, held = np.flatnonzero(part != k), np.flatnonzero(part == k)
+            keep, w, b = _weights([rows[i] for i in learn], y[learn], features, l2, rounds)
+            table = np.zeros(BUCKETS)
+            table[keep] = w
+            z[held] = [table[rows[i]].sum() + b for i in held]
+        slope, shift = _calibration(z, y)
+    keep, w, b = _weights(rows, y, features, l2, rounds)
+    return keep.astype(np.int32), (slope * w).astype(np.float32), slope * b + shift
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
