@@ -1,0 +1,241 @@
+"""What studies are made of: partners, composite scores, cost maps, attribution, grids, regimes, resampling tests and regressions."""
+
+from __future__ import annotations
+
+from itertools import product
+from math import comb
+from statistics import NormalDist
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.expr import before, clip, full, neg_log10, ratio, rows, zscore
+
+
+def partners(screen: DataFrame, ticker: str, only_pass: bool = False) -> DataFrame:
+    """Pairs of a screen with the ticker on either side, the other leg named."""
+    df = screen.where((F.col("t1") == ticker) | (F.col("t2") == ticker))
+    df = df.where(F.col("verdict") == "pass") if only_pass else df
+    return df.withColumn("partner", F.when(F.col("t1") == ticker, F.col("t2")).otherwise(F.col("t1")))
+
+
+def composite_score(df: DataFrame, adf: str = "adf_p", kpss: str = "kpss_p", hl: str = "half_life", sigma: str = "resid_sigma", sharpe: str = "sharpe") -> DataFrame:
+    """df plus score: the sum of z-scores of evidence, quick reversion, low noise and Sharpe over all rows (one for each pair)."""
+    every = Window.partitionBy()
+    parts = {"_a": neg_log10(adf), "_k": F.col(kpss), "_h": -F.log1p(F.col(hl)), "_s": -F.col(sigma), "_r": F.col(sharpe)}
+    df = df.withColumns(parts)
+    return df.withColumn("score", sum((F.coalesce(zscore(c, every), F.lit(0.0)) for c in parts), F.lit(0.0))).drop(*parts)
+
+
+def yearly_cost_map(cells: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (ticker, year) with the measured cost, else the median of the year."""
+    median = cells.groupBy("year").agg(F.median("bps").alias("_m"))
+    return wanted.join(cells, ["ticker", "year"], "left").join(median, "year", "left").withColumn("bps", F.coalesce("bps", "_m")).drop("_m")
+
+
+def weight_changes(new: DataFrame, old: DataFrame, key: str = "ticker") -> DataFrame:
+    """Full outer union of two weight vectors, missing as zero, and the trade between them."""
+    out = new.select(key, F.col("weight").alias("w1")).join(old.select(key, F.col("weight").alias("w0")), key, "full_outer")
+    return out.select(key, F.coalesce("w1", F.lit(0.0)).alias("w1"), F.coalesce("w0", F.lit(0.0)).alias("w0")).withColumn("trade", F.col("w1") - F.col("w0"))
+
+
+def edges_with_roles(edges: DataFrame, roles: DataFrame) -> DataFrame:
+    r = lambda s: roles.select(F.col("node").alias(s), F.col("role").alias(f"role_{s}"))
+    return edges.join(r("i"), "i").join(r("j"), "j")
+
+
+def compare(a: DataFrame, b: DataFrame, on: list[str], x: str) -> DataFrame:
+    """Two sources side by side: rows of one only, and ratios where both have them."""
+    both = a.select(*on, F.col(x).alias("a")).join(b.select(*on, F.col(x).alias("b")), on, "full_outer")
+    return both.withColumn("ratio", ratio("a", "b")).withColumn("only", F.when(F.col("a").isNull(), "b").when(F.col("b").isNull(), "a"))
+
+
+def hubs(pairs: DataFrame, *keys: str) -> DataFrame:
+    return pairs.select(*keys, F.explode(F.array("t1", "t2")).alias("ticker")).groupBy(*keys, "ticker").agg(F.count("*").alias("degree"))
+
+
+def variance_share(df: DataFrame, group: list[str], name: str, x: str) -> DataFrame:
+    """Each name's share of the summed variances by group, and the effective number of names."""
+    v = df.groupBy(*group, name).agg(F.var_samp(x).alias("v")).where("v is not null")
+    part = Window.partitionBy(*group)
+    v = v.withColumn("share", F.col("v") / F.sum("v").over(part))
+    return v.withColumn("effective", 1 / F.sum(F.col("share") * F.col("share")).over(part)).drop("v")
+
+
+def roll_statistics(df: DataFrame, keys: list[str], session: str, ts: str, price: str = "px") -> DataFrame:
+    """Sums of a session from which Roll's spread of any union of sessions follows."""
+    w = Window.partitionBy(*keys, session).orderBy(ts)
+    df = df.withColumn("_d", F.col(price) - F.lag(price).over(w)).withColumn("_d0", F.lag("_d").over(w))
+    ok = F.col("_d").isNotNull() & F.col("_d0").isNotNull()
+    s = lambda c: F.coalesce(F.sum(F.when(ok, c)), F.lit(0.0))
+    return df.groupBy(*keys, session).agg(F.count_if(ok).alias("n"), s(F.col("_d")).alias("s1"), s(F.col("_d0")).alias("s0"), s(F.col("_d") * F.col("_d0")).alias("s10"), F.sum(price).alias("p"), F.count(price).alias("m"))
+
+
+def roll_from_statistics() -> Column:
+    n, c = F.sum("n"), F.sum("s10") / F.sum("n") - F.sum("s1") / F.sum("n") * F.sum("s0") / F.sum("n")
+    return F.when((n >= 30) & (c < 0), 2 * F.sqrt(-c) / (F.sum("p") / F.sum("m")) * 1e4)
+
+
+def window_costs(windows: DataFrame, bars: DataFrame, tick: float = 0.01, ts: str = "ts") -> DataFrame:
+    """windows (ticker, lo, hi) -> half of the signed Roll spread in bps, floored by half a tick over the median price; err where it can't be measured."""
+    inside = windows.join(bars, "ticker").where((F.col(ts) > F.col("lo")) & (F.col(ts) <= F.col("hi"))).withColumn("_s", F.to_date(ts))
+    w = Window.partitionBy("ticker", "lo", "_s").orderBy(ts)
+    d = inside.withColumn("_d", F.col("px") - F.lag("px").over(w)).withColumn("_d0", F.lag("_d").over(w))
+    g = d.groupBy("ticker", "lo", "hi").agg(F.covar_pop("_d", "_d0").alias("c"), F.count(F.col("_d") * F.col("_d0")).alias("n"), F.avg("px").alias("m"), F.median("px").alias("med"))
+    floor, half = 0.5 * tick / F.col("med") * 1e4, -F.signum("c") * F.sqrt(F.abs("c")) / F.col("m") * 1e4
+    out = windows.join(g, ["ticker", "lo", "hi"], "left")
+    few = F.coalesce(F.col("n"), F.lit(0)) < 30
+    return out.select("ticker", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"), F.when(~few, F.greatest(half, floor)).alias("bps"), F.when(few, "too few bars").alias("err"))
+
+
+def attribution(df: DataFrame, keys: list[str], ts: str, pnl: str) -> DataFrame:
+    """P&L by session part: overnight (the first bar) and half hours from 09:30."""
+    first = F.row_number().over(Window.partitionBy(*keys, F.to_date(ts)).orderBy(ts)) == 1
+    slot = F.floor((F.hour(ts) * 60 + F.minute(ts) - 570) / 30).cast("int")
+    return df.withColumn("part", F.when(first, "overnight").otherwise(F.concat(F.lit("slot "), slot.cast("string")))).groupBy(*keys, "part").agg(F.sum(pnl).alias("pnl"), F.count("*").alias("bars"))
+
+
+def equal_weight_curve(returns: DataFrame, members: DataFrame, ts: str, r: str, periods: float = 252.0) -> DataFrame:
+    """returns (ticker, ts, r), members (ticker, lo, hi] -> one row: cagr, vol, sharpe, max_drawdown, n of the equal-weight curve."""
+    day = returns.join(F.broadcast(members), "ticker").where((F.col(ts) > F.col("lo")) & (F.col(ts) <= F.col("hi"))).groupBy(ts).agg(F.avg(r).alias("_r")).where("_r is not null")
+    w = Window.orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)  # a row for each session
+    c = day.withColumn("_e", F.exp(F.sum(F.log1p("_r")).over(w))).withColumn("_dd", F.col("_e") / F.max("_e").over(w) - 1)
+    return c.agg((F.pow(F.max_by("_e", ts), periods / F.count("*")) - 1).alias("cagr"), (F.stddev_samp("_r") * periods**0.5).alias("vol"), (F.avg("_r") / F.stddev_samp("_r") * periods**0.5).alias("sharpe"), F.min("_dd").alias("max_drawdown"), F.count("*").alias("n"))
+
+
+def config_grid(spark, **axes: list[float]) -> DataFrame:
+    """Every combination of the axes, with a number."""
+    names = list(axes)
+    return spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(product(*axes.values()))], "config int, " + ", ".join(f"{n} double" for n in names))
+
+
+def threshold_grid(z: DataFrame, grid: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """z (keys, ts, z, r: the next bar's spread return), grid (config, z_entry) -> keys, config, n, mean, sharpe of fading z beyond the entry."""
+    x = z.join(F.broadcast(grid)).withColumn("_p", F.when(F.col("z") > F.col("z_entry"), -F.col("r")).when(F.col("z") < -F.col("z_entry"), F.col("r")))
+    return x.groupBy(*keys, "config").agg(F.count("_p").alias("n"), F.avg("_p").alias("mean"), ratio(F.avg("_p"), F.stddev_samp("_p")).alias("sharpe"))
+
+
+def tuned(scores: DataFrame, held: DataFrame, keys: list[str], by: str = "sharpe") -> DataFrame:
+    """Each pair's best config on the tuning rows, with what it did on the held-out ones. Ties go to the least config."""
+    best = scores.where(F.col(by).isNotNull()).groupBy(*keys).agg(F.min_by("config", F.struct(-F.col(by), "config")).alias("config"))
+    return best.join(held, [*keys, "config"], "left")
+
+
+def regimes(df: DataFrame, spans: DataFrame, ts: str) -> DataFrame:
+    """df with the regime (name, lo, hi] that its ts lies in."""
+    return df.join(F.broadcast(spans), (F.col(ts) > F.col("lo")) & (F.col(ts) <= F.col("hi")), "left").drop("lo", "hi")
+
+
+def same_clock_mean(df: DataFrame, keys: list[str], session: str, slot: str, x: str, n: int, least: int) -> DataFrame:
+    """df plus prior: the mean of x at the same slot over the n sessions before, where there are `least`."""
+    f = before(Window.partitionBy(*keys, slot).orderBy(session), n)
+    return df.withColumn("prior", full(F.avg(x).over(f), x, f, least)).withColumn("log_ratio", F.log(ratio(x, "prior")))
+
+
+def bollinger(df: DataFrame, keys: list[str], ts: str, x: str, n: int, k: float) -> DataFrame:
+    """df plus side: the sign of the last band that was left, until the mean is crossed: runs between events, without a loop."""
+    w = Window.partitionBy(*keys).orderBy(ts)
+    f = rows(w, n)
+    m, s = full(F.avg(x).over(f), x, f, n), full(F.stddev_pop(x).over(f), x, f, n)
+    df = df.withColumn("_z", F.when(s > 0, (F.col(x) - m) / s))
+    event = F.when(F.col("_z") > k, -1).when(F.col("_z") < -k, 1).when(F.col("_z") * F.lag("_z").over(w) <= 0, 0)
+    return df.withColumn("_e", event).withColumn("side", F.coalesce(F.last("_e", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))).drop("_z", "_e")
+
+
+def winsorized(c: Column | str, bound: float = 1.0) -> Column:
+    return clip(c, -bound, bound)
+
+
+# ------------------------------------------------------------------ inference on small tables
+
+
+def hac(y: np.ndarray, x: np.ndarray, lags: int = 21) -> tuple[np.ndarray, np.ndarray]:
+    """Least squares with a constant, and t by Newey-West with Bartlett weights."""
+    z = np.column_stack([np.ones(len(y)), x])
+    inv = np.linalg.inv(z.T @ z)
+    b = inv @ z.T @ y
+    u = z * (y - z @ b)[:, None]
+    s = u.T @ u
+    for k in range(1, min(lags, len(y) - 1) + 1):
+        g = u[k:].T @ u[:-k]
+        s += (1 - k / (lags + 1)) * (g + g.T)
+    return b, b / np.sqrt(np.diag(inv @ s @ inv))
+
+
+def hac_by(df: DataFrame, keys: list[str], ts: str, y: str, x: list[str], lags: int = 21) -> DataFrame:
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna().sort_values(ts)
+        if len(pdf) < len(x) + 3:
+            return pd.DataFrame(columns=[*keys, "term", "coef", "t"])
+        b, t = hac(pdf[y].to_numpy(float), pdf[x].to_numpy(float), lags)
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "term": n, "coef": float(c), "t": float(s)} for n, c, s in zip(["const", *x], b, t)])
+
+    return df.select(*keys, ts, y, *x).groupBy(*keys).applyInPandas(work, f"{kinds}, term string, coef double, t double")
+
+
+def ridge_blend(df: DataFrame, day: str, alphas: list[str], target: str, lam: float) -> DataFrame:
+    """Weights of alphas: Gram matrices are sums over rows (partial aggregates), the small system is solved on the driver."""
+    k = len(alphas)
+    ok = df.dropna(subset=[*alphas, target])
+    cells = [F.sum(F.col(a) * F.col(b)).alias(f"g{i}_{j}") for i, a in enumerate(alphas) for j, b in enumerate(alphas) if j >= i]
+    row = ok.agg(*cells, *(F.sum(F.col(a) * F.col(target)).alias(f"y{i}") for i, a in enumerate(alphas))).first()
+    g = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
+    w = np.linalg.solve(g + lam * np.trace(g) / k * np.eye(k), np.array([row[f"y{i}"] for i in range(k)], float))
+    return df.sparkSession.createDataFrame([(a, float(v)) for a, v in zip(alphas, w)], "alpha string, weight double")
+
+
+def unbiased_ar1(b: Column, n: Column) -> Column:
+    """Kendall's correction of an AR(1) slope."""
+    return b + (1 + 3 * b) / n
+
+
+def wilcoxon(d: np.ndarray) -> float:
+    """Exact two-sided signed-rank p, by counting sign patterns over rank sums; zeros are left out, ties have mid-ranks (doubled to whole numbers)."""
+    d = d[d != 0]
+    if not len(d):
+        return 1.0
+    r = (2 * pd.Series(np.abs(d)).rank()).astype(int).to_numpy()
+    w, ways = int(r[d > 0].sum()), np.zeros(r.sum() + 1)
+    ways[0] = 1
+    for x in r:
+        ways[x:] += ways[:-x].copy()
+    p = ways / ways.sum()
+    return float(min(1.0, 2 * min(p[: w + 1].sum(), p[w:].sum())))
+
+
+def sign_test(d: np.ndarray) -> float:
+    n, k = int((d != 0).sum()), int((d > 0).sum())
+    tail = sum(comb(n, i) for i in range(min(k, n - k) + 1)) / 2**n if n else 1.0
+    return min(1.0, 2 * tail)
+
+
+def cluster_bootstrap(stats: pd.DataFrame, draws: int, seed: int, periods: float = 252.0) -> np.ndarray:
+    """stats (n, s, q by cluster) -> Sharpe ratios of resampled clusters: a matrix of counts times sufficient statistics."""
+    rng, m = np.random.default_rng(seed), len(stats)
+    counts = rng.multinomial(m, np.full(m, 1 / m), size=draws)
+    n, s, q = (counts @ stats[["n", "s", "q"]].to_numpy(float)).T
+    var = q / n - (s / n) ** 2
+    return np.where(var > 0, s / n / np.sqrt(np.where(var > 0, var, 1)) * periods**0.5, np.nan)
+
+
+def permutation_p(x: np.ndarray, y: np.ndarray, draws: int, seed: int) -> float:
+    """Share of relabellings whose difference of means is at least as large."""
+    rng, both, seen = np.random.default_rng(seed), np.concatenate([x, y]), abs(x.mean() - y.mean())
+    hits = sum(abs((p := rng.permutation(both))[: len(x)].mean() - p[len(x) :].mean()) >= seen - 1e-15 for _ in range(draws))
+    return (hits + 1) / (draws + 1)
+
+
+def trade_edge(trades: DataFrame, cluster: str, pnl: str = "pnl_net", notional: float = 10_000.0, alpha: float = 0.05, tests: int = 1, power: float = 0.8) -> DataFrame:
+    """One row: mean edge in bps, its t over cluster means, the share of the top decile, the effect that could be detected."""
+    g = trades.groupBy(cluster).agg(F.sum(F.col(pnl) / notional * 1e4).alias("e"), F.count("*").alias("n"))
+    top = trades.agg(F.percentile(pnl, F.lit(0.9)).alias("cut"))
+    tail = trades.join(F.broadcast(top)).agg((F.sum(F.when(F.col(pnl) >= F.col("cut"), F.col(pnl))) / F.sum(F.when(F.col(pnl) > 0, F.col(pnl)))).alias("top_decile_share"))
+    sidak = 1 - (1 - alpha) ** (1 / tests)
+    need = NormalDist().inv_cdf(1 - sidak / 2) + NormalDist().inv_cdf(power)
+    m = F.col("e") / F.col("n")
+    edge = g.agg((F.sum("e") / F.sum("n")).alias("edge_bps"), (F.avg(m) / F.stddev_samp(m) * F.sqrt(F.count("*"))).alias("cluster_t"), (need * F.stddev_samp(m) / F.sqrt(F.count("*"))).alias("detectable_bps"), F.sum("n").alias("trades"))
+    return edge.join(tail)

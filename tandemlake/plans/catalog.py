@@ -15,6 +15,7 @@ from ..operators import network as N
 from ..operators import portfolio as P
 from ..operators import signals as G
 from ..operators import stats as S
+from ..operators import study as Y
 from ..operators import validation as V
 from ..sources import lake as K
 from . import views as W
@@ -743,3 +744,133 @@ def walk_forward_backtest(spark, sf):
 def stitched_signals(spark, sf):
     z = W.zs(spark, sf).withColumn("fold", F.year("d").cast("long"))
     return G.stitched(z, PAIR, RULE, "d").select(*PAIR, "fold", "d", "pos", *r6("n1", "n2"))
+
+
+# ------------------------------------------------------------------ studies
+
+
+@query(f"""WITH {W.RETURNS}, v AS (SELECT year(d) AS y, ticker, var_samp(r) AS v FROM r GROUP BY ALL), s AS (SELECT *, v / sum(v) OVER (PARTITION BY y) AS s FROM v WHERE v IS NOT NULL)
+SELECT y, ticker, round(s, 8) AS share, round(1 / sum(s * s) OVER (PARTITION BY y), 6) AS effective FROM s""")
+def variance_shares(spark, sf):
+    r = W.returns(spark, sf).withColumn("y", F.year("d").cast("long"))
+    return Y.variance_share(r, ["y"], "ticker", "r").select("y", "ticker", F.round("share", 8).alias("share"), *r6("effective"))
+
+
+@query(f"""WITH {W.RETURNS}, c AS (SELECT a.ticker AS t1, b.ticker AS t2 FROM r a JOIN r b ON a.d = b.d AND a.ticker < b.ticker GROUP BY ALL HAVING round(corr(a.r, b.r), 6) > 0.03), e AS (SELECT t1 AS ticker FROM c UNION ALL SELECT t2 FROM c) SELECT ticker, count(*) AS degree FROM e GROUP BY ticker""")
+def hub_degrees(spark, sf):
+    c = P.pairwise_correlation(W.returns(spark, sf), "ticker", "d", "r").where(F.round("corr", 6) > 0.03)
+    return Y.hubs(c.select(F.col("i").alias("t1"), F.col("j").alias("t2")))
+
+
+@query(f"""WITH {TICK}, a AS (SELECT *, px - lag(px) OVER w AS d FROM sk WHERE k = 1 WINDOW w AS (PARTITION BY ticker, session ORDER BY ts)), b AS (SELECT *, lag(d) OVER (PARTITION BY ticker, session ORDER BY ts) AS d0 FROM a),
+c AS (SELECT ticker, covar_pop(d, d0) AS c, count(d * d0) AS n, avg(px) AS m FROM b GROUP BY ticker) SELECT ticker, round(CASE WHEN n >= 30 AND c < 0 THEN 2 * sqrt(-c) / m * 1e4 END, 3) AS roll FROM c""")
+def merged_roll_statistics(spark, sf):
+    s = Y.roll_statistics(_ticks(spark, sf), ["ticker"], "session", "ts")
+    return s.groupBy("ticker").agg(F.round(Y.roll_from_statistics(), 3).alias("roll"))
+
+
+@query(f"""WITH {TICK}, w AS (SELECT ticker, TIMESTAMP '2023-12-31 23:59:59' + to_days(CAST(7 * k AS INTEGER)) AS lo, TIMESTAMP '2023-12-31 23:59:59' + to_days(CAST(7 * k + 7 AS INTEGER)) AS hi FROM (SELECT DISTINCT ticker FROM tk), (SELECT unnest(range(0, 6)) AS k)),
+i AS (SELECT w.ticker, lo, hi, session, ts, px, px - lag(px) OVER (PARTITION BY w.ticker, lo, session ORDER BY ts) AS d FROM w JOIN tk ON tk.ticker = w.ticker AND ts > lo AND ts <= hi), i2 AS (SELECT *, lag(d) OVER (PARTITION BY ticker, lo, session ORDER BY ts) AS d0 FROM i),
+g AS (SELECT ticker, lo, covar_pop(d, d0) AS c, count(d * d0) AS n, avg(px) AS m, median(px) AS md FROM i2 GROUP BY ALL)
+SELECT w.ticker, CAST(w.lo AS DATE) AS lo, coalesce(n, 0) AS n, round(CASE WHEN coalesce(n, 0) >= 30 THEN greatest(-sign(c) * sqrt(abs(c)) / m * 1e4, 0.005 / md * 1e4) END, 3) AS bps, CASE WHEN coalesce(n, 0) < 30 THEN 'too few bars' END AS err FROM w LEFT JOIN g ON g.ticker = w.ticker AND g.lo = w.lo""", dates="lo")
+def measured_window_costs(spark, sf):
+    t = _ticks(spark, sf)
+    k = F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k")
+    at = lambda c: F.expr(f"timestamp_ntz '2023-12-31 23:59:59' + make_dt_interval(7 * ({c}))")
+    w = t.select("ticker").distinct().select("ticker", k).select("ticker", at("k").alias("lo"), at("k + 1").alias("hi"))
+    return Y.window_costs(w, t, ts="ts").select("ticker", F.to_date("lo").alias("lo"), "n", F.round("bps", 3).alias("bps"), "err")
+
+
+@query(f"""WITH {W.TICKS}, p AS (SELECT ticker, ts, close - lag(close) OVER (PARTITION BY ticker ORDER BY ts, event_id) AS pnl, row_number() OVER (PARTITION BY ticker, CAST(ts AS DATE) ORDER BY ts, event_id) AS i FROM ticks)
+SELECT ticker, CASE WHEN i = 1 THEN 'overnight' ELSE 'slot ' || CAST(CAST(floor((hour(ts) * 60 + minute(ts) - 570) / 30) AS INTEGER) AS VARCHAR) END AS part, round(coalesce(sum(pnl), 0), 4) AS pnl, count(*) AS bars FROM p GROUP BY ALL""")
+def intraday_attribution(spark, sf):
+    t = W.ticks(spark, sf).withColumn("ts_", F.col("ts"))
+    w = Window.partitionBy("ticker").orderBy("ingest")
+    t = t.withColumn("pnl", F.col("close") - F.lag("close").over(w)).withColumn("i", F.row_number().over(Window.partitionBy("ticker", F.to_date("ts")).orderBy("ingest")))
+    slot = F.floor((F.hour("ts") * 60 + F.minute("ts") - 570) / 30).cast("int").cast("string")
+    part = F.when(F.col("i") == 1, "overnight").otherwise(F.concat(F.lit("slot "), slot))
+    return t.groupBy("ticker", part.alias("part")).agg(F.round(F.coalesce(F.sum("pnl"), F.lit(0.0)), 4).alias("pnl"), F.count("*").alias("bars"))
+
+
+@query(f"""WITH {W.BARS}, x AS (SELECT ticker, d, px / lag(px) OVER (PARTITION BY ticker ORDER BY d) - 1 AS r FROM bars), m AS (SELECT DISTINCT ticker, CASE WHEN ticker < 'Brand#2' THEN DATE '1994-01-01' ELSE DATE '1997-06-30' END AS lo, DATE '2001-06-30' AS hi FROM bars),
+c AS (SELECT d, avg(r) AS r FROM x JOIN m USING (ticker) WHERE d > lo AND d <= hi GROUP BY d HAVING avg(r) IS NOT NULL), e AS (SELECT *, exp(sum(ln(1 + r)) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING)) AS e FROM c), f AS (SELECT *, e / max(e) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e)
+SELECT round(arg_max(e, d) ** (52.0 / count(*)) - 1, 6) AS cagr, round(stddev_samp(r) * sqrt(52), 6) AS vol, round(avg(r) / stddev_samp(r) * sqrt(52), 6) AS sharpe, round(min(dd), 6) AS max_drawdown, count(*) AS n FROM f""")
+def equal_weight_curve(spark, sf):
+    b = W.bars(spark, sf).withColumn("r", X.pct("px", order("ticker")))
+    m = b.select("ticker", F.when(F.col("ticker") < "Brand#2", "1994-01-01").otherwise("1997-06-30").cast("date").alias("lo"), F.lit("2001-06-30").cast("date").alias("hi")).distinct()
+    return Y.equal_weight_curve(b, m, "d", "r", 52.0).select(*r6("cagr", "vol", "sharpe", "max_drawdown"), "n")
+
+
+@query(f"""WITH {W.Z}, x AS (SELECT t1, t2, d, z, lead(resid) OVER w - resid AS r FROM zs WINDOW w AS (PARTITION BY t1, t2 ORDER BY d)), g AS (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS config, unnest([1.0, 1.5, 2.0]) AS e), p AS (SELECT t1, t2, config, d < DATE '1998-06-01' AS tune, CASE WHEN z > e THEN -r WHEN z < -e THEN r END AS p FROM x, g),
+s AS (SELECT t1, t2, config, tune, count(p) AS n, avg(p) / nullif(stddev_samp(p), 0) AS s FROM p GROUP BY ALL), b AS (SELECT t1, t2, config, row_number() OVER (PARTITION BY t1, t2 ORDER BY s DESC, config) AS i FROM s WHERE tune AND s IS NOT NULL)
+SELECT b.t1, b.t2, b.config, s.n, round(s.s, 6) AS sharpe FROM b LEFT JOIN s ON s.t1 = b.t1 AND s.t2 = b.t2 AND s.config = b.config AND NOT s.tune WHERE i = 1""")
+def tuned_thresholds(spark, sf):
+    z = W.zs(spark, sf).withColumn("r", F.lead("resid").over(order(*PAIR)) - F.col("resid")).select(*PAIR, "d", "z", "r")
+    grid = Y.config_grid(spark, z_entry=[1.0, 1.5, 2.0])
+    early = F.col("d") < F.lit("1998-06-01").cast("date")
+    out = Y.tuned(Y.threshold_grid(z.where(early), grid, PAIR, "d"), Y.threshold_grid(z.where(~early), grid, PAIR, "d"), PAIR)
+    return out.select(*PAIR, "config", "n", *r6("sharpe"))
+
+
+@query(f"""WITH {W.RETURNS}, g AS (SELECT 'calm' AS name, DATE '1995-01-01' AS lo, DATE '1997-12-31' AS hi UNION ALL SELECT 'wild', DATE '1997-12-31', DATE '2000-06-30') SELECT ticker, name, count(r) AS n, round(stddev_samp(r), 8) AS vol FROM r LEFT JOIN g ON d > lo AND d <= hi GROUP BY ALL""")
+def regime_slices(spark, sf):
+    g = spark.createDataFrame([("calm", "1995-01-01", "1997-12-31"), ("wild", "1997-12-31", "2000-06-30")], "name string, lo string, hi string").select("name", F.col("lo").cast("date").alias("lo"), F.col("hi").cast("date").alias("hi"))
+    return Y.regimes(W.returns(spark, sf), g, "d").groupBy("ticker", "name").agg(F.count("r").alias("n"), F.round(F.stddev_samp("r"), 8).alias("vol"))
+
+
+@query(f"""WITH {W.DAILY}, s AS (SELECT ticker, d, isodow(d) AS slot, volume, avg(volume) OVER w AS a, count(volume) OVER w AS n FROM bars WINDOW w AS (PARTITION BY ticker, isodow(d) ORDER BY d ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)) SELECT ticker, d, round(ln(volume / CASE WHEN n >= 4 THEN a END), 7) AS log_ratio FROM s""", dates="d")
+def same_clock_ratio(spark, sf):
+    b = W.bars(spark, sf, "day").withColumn("slot", F.weekday("d"))
+    return Y.same_clock_mean(b, ["ticker"], "d", "slot", "volume", 8, 4).select("ticker", "d", F.round("log_ratio", 7).alias("log_ratio"))
+
+
+@query(f"""WITH {W.BARS}, z AS (SELECT ticker, d, CASE WHEN count(px) OVER w >= 13 AND stddev_pop(px) OVER w > 0 THEN (px - avg(px) OVER w) / stddev_pop(px) OVER w END AS z FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS 12 PRECEDING)),
+e AS (SELECT *, CASE WHEN z > 1.5 THEN -1 WHEN z < -1.5 THEN 1 WHEN z * lag(z) OVER (PARTITION BY ticker ORDER BY d) <= 0 THEN 0 END AS e FROM z) SELECT ticker, d, CAST(coalesce(last_value(e IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY d ROWS UNBOUNDED PRECEDING), 0) AS INTEGER) AS side FROM e""", dates="d")
+def bollinger_side(spark, sf):
+    return Y.bollinger(W.bars(spark, sf), ["ticker"], "d", "px", 13, 1.5).select("ticker", "d", "side")
+
+
+@query(f"""WITH {W.BARS}, x AS (SELECT ticker, d, px FROM bars), y AS (SELECT ticker, CAST(d + INTERVAL 7 DAY AS DATE) AS d, px FROM bars) SELECT coalesce(x.ticker, y.ticker) AS ticker, coalesce(x.d, y.d) AS d, round(x.px / y.px, 8) AS ratio, CASE WHEN x.px IS NULL THEN 'b' WHEN y.px IS NULL THEN 'a' END AS only FROM x FULL JOIN y ON x.ticker = y.ticker AND x.d = y.d""", dates="d")
+def source_comparison(spark, sf):
+    b = W.bars(spark, sf).select("ticker", "d", "px")
+    return Y.compare(b, b.withColumn("d", F.date_add("d", 7)), ["ticker", "d"], "px").select("ticker", "d", F.round("ratio", 8).alias("ratio"), "only")
+
+
+@query(f"""WITH {W.BARS}, v AS (SELECT ticker, d, dollar_volume / sum(dollar_volume) OVER (PARTITION BY d) AS w FROM bars), l AS (SELECT max(d) AS d1, max(d) - 7 AS d0 FROM bars), a AS (SELECT ticker, w FROM v JOIN l ON d = d1), b AS (SELECT ticker, w FROM v JOIN l ON d = d0)
+SELECT coalesce(a.ticker, b.ticker) AS ticker, round(coalesce(a.w, 0), 9) AS w1, round(coalesce(b.w, 0), 9) AS w0, round(coalesce(a.w, 0) - coalesce(b.w, 0), 9) AS trade FROM a FULL JOIN b ON a.ticker = b.ticker""")
+def weight_changes(spark, sf):
+    b = W.bars(spark, sf)
+    v = b.withColumn("weight", F.col("dollar_volume") / F.sum("dollar_volume").over(Window.partitionBy("d")))
+    last = F.broadcast(b.agg(F.max("d").alias("d1")))
+    at = lambda k: v.join(last, F.col("d") == F.date_sub("d1", k)).select("ticker", "weight")
+    return Y.weight_changes(at(0), at(7)).select("ticker", *r6("w1", "w0", "trade", n=9))
+
+
+@query(f"""WITH {W.BARS}, c AS (SELECT ticker, year(d) AS year, round(avg(volume) / 7, 6) AS bps FROM bars GROUP BY ALL HAVING count(*) >= 52), w AS (SELECT DISTINCT ticker, year(d) AS year FROM bars), m AS (SELECT year, median(bps) AS m FROM c GROUP BY year)
+SELECT w.ticker, w.year, round(coalesce(c.bps, m.m), 6) AS bps FROM w LEFT JOIN c ON c.ticker = w.ticker AND c.year = w.year LEFT JOIN m ON m.year = w.year""")
+def yearly_costs(spark, sf):
+    b = W.bars(spark, sf).withColumn("year", F.year("d").cast("long"))
+    c = b.groupBy("ticker", "year").agg(F.round(F.avg("volume") / 7, 6).alias("bps"), F.count("*").alias("n")).where("n >= 52").drop("n")
+    return Y.yearly_cost_map(c, b.select("ticker", "year").distinct()).select("ticker", "year", *r6("bps"))
+
+
+@query()
+def composite_scores(spark, sf):
+    e = W.resid(spark, sf)
+    t = M.stationarity(e.select(*PAIR, "d", "resid"), PAIR, "d").join(S.half_life(e, "resid", PAIR, "d").select(*PAIR, "half_life"), PAIR)
+    t = t.join(S.hedged_sharpe(e, PAIR, "d"), PAIR).join(S.resid_proxy(e, PAIR, "d").select(*PAIR, "resid_sigma"), PAIR)
+    return Y.composite_score(t).select(*PAIR, *r6("score", n=5))
+
+
+@query()
+def hac_exposures(spark, sf):
+    r = W.returns(spark, sf)
+    m = r.groupBy("d").agg(F.avg("r").alias("market"))
+    return Y.hac_by(r.join(m, "d"), ["ticker"], "d", "r", ["market"], 8).select("ticker", "term", *r6("coef", "t", n=5))
+
+
+@query()
+def ridge_weights(spark, sf):
+    w = order("ticker")
+    a = W.returns(spark, sf).withColumns({"mom": F.sum("r").over(X.rows(w, 4)), "rev": -F.col("r"), "fwd": F.lead("r").over(w)})
+    return Y.ridge_blend(a, "d", ["mom", "rev"], "fwd", 0.1).select("alpha", *r6("weight", n=5))
