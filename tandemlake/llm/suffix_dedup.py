@@ -297,7 +297,8 @@ def remove_repeats(docs: DataFrame, gram: int = GRAM, k: int = K, group_limit: i
     small_batches(spark)
     blob = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(blob).alias("th"), blob.alias("text"), F.struct(*(F.col(c) for c in carry or ["doc_id"])).alias("carried"))
-    shared = _hashes(own, gram, k).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    # stored, so that the join below is between plain exchanges and a very common anchor can be split over tasks
+    shared = stored(_hashes(own, gram, k).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "anchors")
     found = stored(_records(own, gram, k).join(shared, "h"), "repeats")
     classes = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "place")).alias("one"))
     groups = classes.groupBy("h").agg(F.count("*").alias("kinds"), F.max(F.col("n") == 1).alias("open")).where("kinds > 1 and open")
