@@ -28,7 +28,7 @@ from .common import KEPT, small_batches, tidy
 WINDOW = 2048
 END_ID = 1
 NEVER = 1 << 62
-CACHE_WORDS = 900_000
+CACHE_WORDS = 450_000
 LONG_WORD = 48
 STOPS = b".,;:!?"
 #: A letter of ASCII or Latin-1 (in UTF-8) at the end.
