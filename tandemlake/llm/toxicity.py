@@ -177,7 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars:
     that order, as many as have sample_chars characters together. Rows without a label, a doc_id or a text are not learnt from."""
     ids = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # sample rows of 12 bytes at most.where("text is not null").select("doc_id", "text", "toxic")
+    # what is broadcast: sample rows of 12 bytes at most
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null").select("doc_id", "text", "toxic")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, marks, total = [], [], 0

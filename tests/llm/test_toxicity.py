@@ -74,3 +74,12 @@ def test_long_text_is_scored_whole(monkeypatch):
     table = np.zeros(toxicity.BUCKETS, np.float32)
     table[toxicity.present("vilething")] = 1
     assert toxicity.Model(table, -3.0).scores([text])[0] > 0.9
+
+
+def test_labelled_null_text_is_not_learnt_from(spark):
+    """Ids 0 and 7 are labelled and not held out; their texts are null."""
+    rows, labels = corpus(120)
+    rows = [(d, None if d in (0, 7) else t, *rest) for d, t, *rest in rows]
+    docs, some = spark.createDataFrame(rows, DOCS), [x for x in labels if x[0] not in (0, 7)]
+    one, two = ({r.doc_id: r.score for r in toxicity.toxicity(docs, spark.createDataFrame(x, LABELS)).collect()} for x in (labels, some))
+    assert one == two and {0, 7} <= set(one)
