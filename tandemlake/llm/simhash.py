@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored, tidy
@@ -46,16 +46,23 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int(np.packbits((2 * ones > total).astype(np.uint8).ravel(), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """docs (doc_id, text, ...) -> (doc_id, fp: the 64 bits as a signed long). A null text counts as empty."""
+def digest() -> Column:
+    """SHA-256 of the column text, as bytes. A null text counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, digests: bool = False) -> DataFrame:
+    """docs (doc_id, text, ...) -> (doc_id, fp: the 64 bits as a signed long), with digests the text's digest as well. A null text counts as empty."""
     small_batches(docs.sparkSession)
+    more = ["digest"] if digests else []
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *more])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(work), "doc_id long, fp long")
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), *(digest().alias(c) for c in more))
+    return rows.mapInArrow(tidy(work), "doc_id long, fp long" + ", digest binary" * len(more))
 
 
 # ------------------------------------------------------------------ links within buckets
@@ -213,6 +220,13 @@ def near_links(fps: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     return links.unionByName(more.select("a", "b"))
 
 
+def _rooted(own: DataFrame) -> DataFrame:
+    """Rows (doc_id, fp, ...) -> each fp once: fp, the least doc_id that has it, and the root of its component."""
+    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = connected_components(near_links(distinct.select("fp")))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def components(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, fp, component_id), a row for each row of docs.
 
@@ -221,14 +235,24 @@ def components(docs: DataFrame, shingle: int = 3) -> DataFrame:
     a doc_id keep a row each. A null doc_id is carried; it never is a component's id unless all its members have none.
     """
     own = stored(fingerprints(docs, shingle), "simhash-fps")
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(near_links(distinct.select("fp")))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _rooted(own)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return own.join(named.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """docs, and for each of its rows a member (doc_id, digest, root) -> one row of each root: the least doc_id, then the least digest.
+
+    Rows that agree in doc_id and text have one root. A null doc_id comes last; rows with null or repeated ids are told apart by their texts.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
+    kept = members.groupBy("root").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.digest").alias("kept_digest"))
+    rows = docs.withColumn("own_digest", digest())
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("own_digest") == F.col("kept_digest")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "own_digest"]).select(*docs.columns)
+
+
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """docs without all but one document of each near-duplicate group: the one with the component's id stays (of repeated rows, one)."""
-    kept = components(docs, shingle).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").dropDuplicates(["doc_id"])
+    own = stored(fingerprints(docs, shingle, digests=True), "simhash-fps")
+    return one_of_each(docs, own.join(_rooted(own).select("fp", "root"), "fp"))

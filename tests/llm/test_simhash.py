@@ -102,3 +102,11 @@ def test_odd_tables(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
+
+
+def test_texts_without_or_with_repeated_ids_stay(spark):
+    """Rows are told apart by text: null ids keep each text once, and an id that two texts have keeps both."""
+    texts = [prose(s, 40) for s in range(60, 66)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (1, texts[2]), (1, texts[3]), (1, texts[3]), (2, texts[2]), (None, texts[4]), (3, texts[4]), (0, texts[5]), (3, texts[5])]
+    kept = simhash.keep_one(spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOCS)).collect()
+    assert sorted((str(r.doc_id), texts.index(r.text)) for r in kept) == [("0", 5), ("1", 2), ("1", 3), ("3", 4), ("None", 0), ("None", 1)]
