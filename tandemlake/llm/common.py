@@ -8,14 +8,18 @@ import gc
 import importlib
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import suppress
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+#: Paths that were written here, with the session and the thread that wrote them.
+_WRITTEN: dict[str, tuple[SparkSession, int]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,12 +42,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def write_stored(df: DataFrame, name: str) -> str:
+    """What is written here goes by drop_stored(), or else when the driver ends: a result may be read from it until then."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _WRITTEN:
+        atexit.register(_clean_up)
+    _WRITTEN[path] = df.sparkSession, threading.get_ident()
     release(df.sparkSession)
     return path
 
 
+def _clean_up() -> None:
+    with suppress(Exception):  # the driver ends: the engine may be gone already
+        for path, (spark, _) in list(_WRITTEN.items()):
+            drop_stored(spark, path)
+
+
 def release(spark: SparkSession) -> None:
     """Let the engine remove shuffle files that nothing refers to any more; it does so when garbage is collected."""
     gc.collect()
@@ -52,11 +66,51 @@ def release(spark: SparkSession) -> None:
 
 def drop_stored(spark: SparkSession, path: str) -> None:
     """Remove what write_stored() wrote, by the file system that the path names."""
+    _WRITTEN.pop(path, None)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop_all_but(spark: SparkSession, before: set[str], keep: set[str] = frozenset()) -> None:
+    """Remove what this thread has written since `before` (see written()) and nothing reads any more."""
+    for path in written() - before - keep:
+        drop_stored(spark, path)
+
+
+def written() -> set[str]:
+    return {path for path, (_, thread) in _WRITTEN.items() if thread == threading.get_ident()}
+
+
+# ------------------------------------------------------------------ columns and joins
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def all_of(df: DataFrame, but: tuple[str, ...] = ()) -> Column:
+    """The columns of df as one struct: whatever they are called, they can't clash with an operator's own."""
+    fields = [quoted(c).alias(c) for c in df.columns if c not in but]
+    return F.struct(*fields) if fields else F.struct(F.lit(0).alias("none"))
+
+
+def field(struct: str, name: str) -> Column:
+    return F.col(struct).getField(name).alias(name)
+
+
+def join_splittable(left: DataFrame, summed: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined to `summed`, an aggregate with a row for each of keys (not null on either side).
+
+    Joined by the keys themselves, the aggregate would keep its own partitioning and the engine couldn't split the rows of a
+    common key in left. The keys are joined inside a struct, for which both sides are dealt anew and a common key can be split.
+    """
+    right = summed.select(F.struct(*(quoted(k).alias(k) for k in keys)).alias("_joined_by"), *(quoted(c) for c in summed.columns if c not in keys))
+    out = left.withColumn("_joined_by", F.struct(*(quoted(k).alias(k) for k in keys))).join(right, "_joined_by", how)
+    return out.drop("_joined_by")
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Texts come to Python in batches of at most so many rows, so that a batch stays in the memory of a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

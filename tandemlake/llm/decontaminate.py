@@ -7,21 +7,24 @@ the token gives the only place where the window can start, which must leave room
 document; what is left is verified word by word and then byte by byte.
 
 The items are the stated query set. They are taken in blocks of at most BLOCK windows, so what is broadcast has a fixed
-bound; each block passes over the documents once, and the hits of earlier blocks travel with the rows.
+bound. One block judges the documents as they stream by. Of more blocks each reads the documents twice (counts, then hits)
+and writes its hits alone; they are summed by document and joined back, and no text is written or shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import mix, prefix_hashes, runs_by_size, small_batches, stored, tidy
+from .common import all_of, drop_all_but, field, mix, prefix_hashes, quoted, runs_by_size, small_batches, stored, tidy, write_stored, written
 
 WINDOW = 13
 SHINGLE = 3
@@ -187,9 +190,9 @@ def find(index: Index, prefixes: dict[int, tuple], texts: list[bytes | None]) ->
             yield int(first[t + 1] - first[t]), runs, items
 
 
-def _joined(one: list[tuple[int, int]], two: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _joined(runs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for s, e in sorted([*one, *two]):
+    for s, e in sorted(runs):
         if out and s <= out[-1][1]:
             out[-1] = (out[-1][0], max(e, out[-1][1]))
         else:
@@ -230,6 +233,86 @@ def _count_tokens(docs: DataFrame, index: Index) -> dict[tuple[int, int], int]:
     return {(r["n"], r["token"]): r["count"] for r in rows}
 
 
+class _Finder:
+    """A block of windows, as the workers see it."""
+
+    def __init__(self, docs: DataFrame, rows: list[tuple[object, list[bytes]]]):
+        index = index_of(rows)
+        self.shared = docs.sparkSession.sparkContext.broadcast((index, index.prefixes(_count_tokens(docs, index) if rows else {})))
+
+    def find(self, texts: list[bytes | None]) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
+        """For each text its number of words, the runs of words that are hit, and the items found, sorted."""
+        for n, runs, items in find(*self.shared.value, texts):
+            yield n, runs, sorted({str(i) for i in items if i is not None})
+
+
+JUDGED = "n_words long, n_hit long, hit_runs array<array<long>>, items array<string>"
+
+
+def _verdicts(found: Iterable[tuple[int, list[tuple[int, int]], list[str]]]) -> list[pa.Array]:
+    words, runs, items = zip(*found) if (found := list(found)) else ([], [], [])
+    hits = [sum(e - s for s, e in r) for r in runs]
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string()))
+    return [pa.array(x, k) for x, k in zip((list(words), hits, [[list(x) for x in r] for r in runs], list(items)), kinds)]
+
+
+def _judge(docs: DataFrame, benchmark: DataFrame, block: int, carried: Column) -> DataFrame:
+    """A row for each row of docs: the columns of JUDGED, and carried."""
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col("text").cast("binary").alias("text"))
+    blocks = item_blocks(benchmark, block)
+    rows, following = next(blocks, []), next(blocks, None)
+    if following is None:
+        finder, plain = _Finder(texts, rows), docs.select(F.col("text").cast("binary").alias("text"), carried.alias("carried"))
+        schema = StructType([*_parse(JUDGED), plain.schema["carried"]])
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([*_verdicts(finder.find(b.column(0).to_pylist())), b.column(1)], schema.names)
+
+        return plain.mapInArrow(tidy(work), schema)
+
+    # more than one block: each reads the documents and leaves only its hits, by a 128-bit hash of doc_id and text
+    keys = [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2")]
+    keyed, parts, before = docs.select(*keys, F.col("text").cast("binary").alias("text")), [], written()
+    while rows:
+        finder = _Finder(texts, rows)
+
+        def hits(batches: Iterator[pa.RecordBatch], finder=finder) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [(i, runs, items) for i, (_, runs, items) in enumerate(finder.find(b.column(2).to_pylist())) if runs]
+                at = pa.array([i for i, _, _ in found], pa.int64())
+                arrays = [pa.array([[list(x) for x in r] for _, r, _ in found], pa.list_(pa.list_(pa.int64()))), pa.array([i for _, _, i in found], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *arrays], ["k1", "k2", "runs", "items"])
+
+        parts.append(stored(keyed.mapInArrow(tidy(hits), "k1 long, k2 long, runs array<array<long>>, items array<string>"), "contamination"))
+        rows, following = following or [], next(blocks, None)
+    own = [F.flatten(F.collect_set("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")]
+    path = write_stored(reduce(DataFrame.unionByName, parts).groupBy("k1", "k2").agg(*own), "contamination")
+    drop_all_but(docs.sparkSession, before, {path})
+    joined = docs.select(*keys, F.col("text").cast("binary").alias("text"), carried.alias("carried"))
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [len(w) for w in map(words_of, b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), b.column(3)], ["k1", "k2", "n_words", "carried"])
+
+    counted = joined.mapInArrow(tidy(sizes), StructType([*_parse("k1 long, k2 long, n_words long"), joined.schema["carried"]]))
+    both = counted.join(docs.sparkSession.read.parquet(path), ["k1", "k2"], "left").select("n_words", "runs", "items", "carried")
+    schema = StructType([*_parse(JUDGED), joined.schema["carried"]])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, runs, items = (c.to_pylist() for c in b.columns[:3])
+            yield pa.RecordBatch.from_arrays([*_verdicts((m, _joined(map(tuple, r or [])), i or []) for m, r, i in zip(n, runs, items)), b.column(3)], schema.names)
+
+    return both.mapInArrow(tidy(merge), schema)
+
+
+def _parse(schema: str) -> list[StructField]:
+    return StructType.fromDDL(schema).fields
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs (doc_id, text, ...), benchmark (item_id, text) -> a row for each row of docs:
     doc_id, n_words, n_hit, hit_runs (array of [from, to) word numbers), items (array of item_ids as strings, sorted), and the columns in keep.
@@ -238,46 +321,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, kee
     Items without words are never found; items with the same text are all found; a null item_id hits but is not listed.
     No items: nothing is hit. Rows that repeat a doc_id are judged each. Columns named like the result's are not carried.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    extra = [c for c in keep if c in docs.columns and c not in ("doc_id", "text")]
-    schema = "doc_id long, text binary, n_words long, runs binary, items array<string>"
-    state = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("runs"), F.array().cast("array<string>").alias("items"), *(F.col(c).alias(f"keep_{c}") for c in extra))
-    schema += "".join(f", keep_{c} {docs.schema[c].dataType.simpleString()}" for c in extra)
-    blocks = item_blocks(benchmark, block)
-    rows, number = next(blocks, []), 0
-    while True:
-        following = next(blocks, None)
-        index = index_of(rows)
-        found = spark.sparkContext.broadcast((index, index.prefixes(_count_tokens(state, index) if rows else {})))
-
-        def work(batches: Iterator[pa.RecordBatch], found=found) -> Iterator[pa.RecordBatch]:
-            index, prefixes = found.value
-            for b in batches:
-                n_words, all_runs, all_items = [], [], []
-                before = zip(b.column(3).to_pylist(), b.column(4).to_pylist())
-                for (n, runs, items), (r0, i0) in zip(find(index, prefixes, b.column(1).to_pylist()), before):
-                    old = [tuple(x) for x in np.frombuffer(r0 or b"", "<i4").reshape(-1, 2).tolist()]
-                    n_words.append(n)
-                    all_runs.append(np.array(_joined(old, runs), "<i4").tobytes())
-                    all_items.append(sorted({*i0, *(str(i) for i in items if i is not None)}))
-                new = [pa.array(n_words, pa.int64()), pa.array(all_runs, pa.binary()), pa.array(all_items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *new, *b.columns[5:]], names=b.schema.names)
-
-        state = state.mapInArrow(tidy(work), schema)
-        number += 1
-        if following is None:
-            break
-        state, rows = stored(state, f"contamination-{number}"), following
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            runs = [np.frombuffer(r, "<i4").reshape(-1, 2).astype(np.int64) for r in b.column(2).to_pylist()]
-            hits = pa.array([int((r[:, 1] - r[:, 0]).sum()) for r in runs], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), hits, pa.array([r.tolist() for r in runs], pa.list_(pa.list_(pa.int64()))), *b.columns[3:]], names=["doc_id", "n_words", "n_hit", "hit_runs", "items", *b.schema.names[4:]])
-
-    out = state.drop("text").mapInArrow(tidy(finish), "doc_id long, n_words long, n_hit long, hit_runs array<array<long>>, items array<string>" + "".join(f", keep_{c} {docs.schema[c].dataType.simpleString()}" for c in extra))
-    return out.select("doc_id", "n_words", "n_hit", "hit_runs", "items", *(F.col(f"keep_{c}").alias(c) for c in extra))
+    own = ("doc_id", "n_words", "n_hit", "hit_runs", "items")
+    extra = [c for c in keep if c in docs.columns and c not in own]
+    out = _judge(docs, benchmark, block, F.struct(F.col("doc_id").cast("long").alias("doc_id"), *(quoted(c).alias(c) for c in extra)))
+    return out.select(F.col("carried.doc_id").alias("doc_id"), *own[1:], *(field("carried", c) for c in extra))
 
 
 def is_contaminated(hit: str = "n_hit", words: str = "n_words"):
@@ -285,11 +332,9 @@ def is_contaminated(hit: str = "n_hit", words: str = "n_words"):
     return (F.col(hit) > 0) & (20 * F.col(hit) >= F.col(words))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones; rows and columns are otherwise as they were."""
-    cols = [c for c in docs.columns if c != "text"]
-    judged = contamination(docs.withColumn("whole_text", F.col("text")), benchmark, keep=(*cols, "whole_text"))
-    return judged.where(~is_contaminated()).withColumnRenamed("whole_text", "text").select(*docs.columns)
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+    """docs without the contaminated ones; rows and columns are otherwise as they were, whatever the columns are called."""
+    return _judge(docs, benchmark, block, all_of(docs)).where(~is_contaminated()).select(*(field("carried", c) for c in docs.columns))
 
 
 def items_digest(items: list[str]) -> str:

@@ -1,9 +1,12 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
-
-MinHash bands propose pairs, whole sets of shingles decide. A pair at 0.8 agrees in none of the BANDS bands of ROWS minima
-with a probability of (1 - 0.8**4)**32 = 5e-8, one above it more rarely. All of it works on distinct sets, so copies cost
-nothing. In a band's bucket some members are held against all others first; the pairs that are left to try are those of
-members which these rounds did not bring together.
+"""Near copies by SimHash, made complete: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+
+The deletion-variant signatures of the SimHash operator propose pairs first: equal fingerprints, and those that differ in at
+most three bits. They can't propose all: at a similarity of 0.8 two fingerprints differ in about 15 % of their bits, however
+long they are, and segments short enough for that to leave one bit to each would be some six bits long, which tells no two
+texts apart. So the pairs that fingerprints leave open are proposed by MinHash bands; one at 0.8 agrees in none of the BANDS
+bands of ROWS minima with a probability of (1 - 0.8**4)**32 = 5e-8, one above it more rarely. Whole sets of shingles decide in
+either case. All of it works on distinct sets, so copies cost nothing. In a bucket some members are held against all
+others first; the pairs that are left to try are those of members which these rounds did not bring together.
 """
 
 from __future__ import annotations
@@ -16,9 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, small_batches, stored, tidy
+from .common import drop_all_but, join_splittable, mix, small_batches, stored, tidy, write_stored, written
 from .components import connected_components
-from .simhash import digest, one_of_each
+from .simhash import digest, fingerprint_of, hashes_of, near_links, one_of_each
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -32,12 +35,11 @@ FACTORS = _RNG.integers(0, 2**64, (BANDS * ROWS, 1), dtype=np.uint64) | np.uint6
 
 def shingles(text: bytes | None) -> np.ndarray:
     """The XXH64 (seed 42) of the five-word shingles, each once, sorted; of fewer words, of all of them. No words, none."""
-    words = (text or b"").lower().split()  # as in a fingerprint
-    if len(words) < SHINGLE:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)] if words else []
-    else:
-        hashes = [xxhash.xxh64_intdigest(b"%b %b %b %b %b" % x, 42) for x in zip(*(words[k:] for k in range(SHINGLE)))]
-    return np.unique(np.array(hashes, dtype=np.uint64))
+    return _once(list(hashes_of(text, SHINGLE)))
+
+
+def _once(hashes: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(hashes)) if hashes else np.empty(0, np.uint64)
 
 
 def band_keys(s: np.ndarray) -> np.ndarray:
@@ -54,22 +56,24 @@ def band_keys(s: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, digest, node (names the set of shingles), n (its size), keys (of its bands)."""
+    """docs (doc_id, text, ...) -> doc_id, digest, node (names the set of shingles), n (its size), fp (SimHash), keys (of its bands)."""
     small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, fps, keys = [], [], [], []
             for t in b.column(2):
-                s = shingles(t.as_py())
+                hashes = list(hashes_of(t.as_py(), SHINGLE))
+                s = _once(hashes)
+                fps.append(fingerprint_of(hashes))
                 nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()))
                 sizes.append(len(s))
                 keys.append(band_keys(s))
-            arrays = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], ["doc_id", "digest", "node", "n", "keys"])
+            arrays = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], ["doc_id", "digest", "node", "n", "fp", "keys"])
 
     rows = docs.select("doc_id", digest().alias("digest"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(tidy(work), "doc_id long, digest binary, node long, n long, keys array<long>")
+    return rows.mapInArrow(tidy(work), "doc_id long, digest binary, node long, n long, fp long, keys array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -84,6 +88,15 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(wanted, "digest").dropDuplicates(["node"]).select("node", "text").mapInArrow(tidy(work), "node long, hashes array<long>")
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that the SimHash signatures propose: one node of each fingerprint with the others of it, and with those of linked fingerprints."""
+    one = nodes.groupBy("fp").agg(F.min("node").alias("one"))
+    links = near_links(one.select("fp"))
+    far = links.join(one.select(F.col("fp").alias("a"), F.col("one").alias("x")), "a").join(one.select(F.col("fp").alias("b"), F.col("one").alias("y")), "b").select("x", "y")
+    own = join_splittable(nodes.select("fp", "node"), one, ["fp"]).select(F.col("one").alias("x"), F.col("node").alias("y")).where("x <> y")
+    return far.unionByName(own).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _proposed(members: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
     """Pairs (a, b) in a bucket that are in different components and not of too different sizes: those of one member, another
     in each turn, and from turn STARS on all of them."""
@@ -91,9 +104,10 @@ def _proposed(members: DataFrame, roots: DataFrame | None, turn: int) -> DataFra
     own, one = F.struct("node", "n", "root"), F.struct(F.xxhash64("node", F.lit(turn)), "node")
     if turn < STARS:
         other = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(own, one).alias("x")).where("lo < hi").select("key", "x")
+        p = join_splittable(m, other, ["key"])
     else:
-        other = m.select("key", own.alias("x"))
-    p = m.join(other, "key").where("root <> x.root and 5 * least(n, x.n) >= 4 * greatest(n, x.n)")
+        p = m.join(m.select("key", own.alias("x")), "key")
+    p = p.where("root <> x.root and 5 * least(n, x.n) >= 4 * greatest(n, x.n)")
     return p.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
 
 
@@ -105,23 +119,31 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def members(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, digest, root: rows with one root are linked by pairs at 0.8 or more. Texts without words are alike."""
-    own = stored(sketches(docs), "near-sketches")
-    nodes = own.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("digest").alias("digest"))
+    before = written()
+    own_path = write_stored(sketches(docs), "near-sketches")
+    own = docs.sparkSession.read.parquet(own_path)
+    nodes = own.groupBy("node").agg(F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.min("digest").alias("digest"))
     each = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = stored(each.join(each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key"), "near-bands")
-    wanted = shared.select("node").distinct().join(own.groupBy("node").agg(F.min("digest").alias("digest")), "node")
+    shared = stored(join_splittable(each, each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), ["key"]), "near-bands")
+    pairs = stored(_by_fingerprint(nodes.select("fp", "node")), "near-pairs")
+    asked = shared.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    wanted = asked.join(own.groupBy("node").agg(F.min("digest").alias("digest")), "node")
     sets, links, tried, roots = stored(_sets(docs, wanted), "near-sets"), None, None, None
-    for turn in range(STARS + 1):
-        pairs = _proposed(shared, roots, turn)
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    for turn in range(-1, STARS + 1):
+        if turn >= 0:
+            pairs = _proposed(shared, roots, turn)
+            pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         found = stored(_alike(pairs, sets), "near-links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         if not found.isEmpty():
             roots = connected_components(links).select("node", "root")
     if roots is None:
+        drop_all_but(docs.sparkSession, before, {own_path})
         return own.select("doc_id", "digest", F.col("node").alias("root"))
-    return own.join(roots, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
+    out = write_stored(join_splittable(own.select("doc_id", "digest", "node"), roots, ["node"], "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root")), "near-members")
+    drop_all_but(docs.sparkSession, before, {out})
+    return docs.sparkSession.read.parquet(out)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ distinct members in a bucket, however many documents there are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, tidy
+from .common import all_of, field, join_splittable, small_batches, stored, tidy
 from .components import connected_components
 
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -28,24 +28,31 @@ BUCKET_LIMIT = 4096
 DISTANCE = 3
 
 
-def fingerprint(text: bytes | None, shingle: int = 3) -> int:
-    """A bit is set where over half of the shingles' XXH64 (seed 42) have it; no words give zero."""
+def hashes_of(text: bytes | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of the shingles of a text, repeats included, some at a time; of fewer words, of all of them."""
     words = (text or b"").lower().split()  # ASCII letters and ASCII white space only, as bytes
-    if not words:
-        return 0
-    total, counts, digest = max(1, len(words) - shingle + 1), np.zeros((8, 256), np.int64), xxhash.xxh64_intdigest
-    for a in range(0, total, PIECE):
+    joined, digest = b" ".join([b"%b"] * shingle), xxhash.xxh64_intdigest
+    if 0 < len(words) < shingle:
+        yield np.array([digest(b" ".join(words), 42)], dtype="<u8")
+    for a in range(0, len(words) - shingle + 1, PIECE):
         part = words[a : a + PIECE + shingle - 1]
-        if shingle == 3 and len(words) >= 3:
-            hashes = [digest(b"%b %b %b" % x, 42) for x in zip(part, part[1:], part[2:])]
-        else:
-            hashes = [digest(b" ".join(part[i : i + shingle]), 42) for i in range(max(1, len(part) - shingle + 1))]
-        lanes = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8) + LANES
-        counts += np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256)
+        yield np.array([digest(joined % x, 42) for x in zip(*(part[k:] for k in range(shingle)))], dtype="<u8")
+
+
+def fingerprint_of(hashes: Iterable[np.ndarray]) -> int:
+    """A bit is set where over half of the hashes have it; none give zero."""
+    total, counts = 0, np.zeros((8, 256), np.int64)
+    for h in hashes:
+        total += len(h)
+        counts += np.bincount((h.view(np.uint8).reshape(-1, 8) + LANES).ravel(), minlength=2048).reshape(8, 256)
     ones = counts @ BITS  # by byte and bit
     return int(np.packbits((2 * ones > total).astype(np.uint8).ravel(), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, shingle: int = 3) -> int:
+    return fingerprint_of(hashes_of(text, shingle))
+
+
 def digest() -> Column:
     """SHA-256 of the column text, as bytes. A null text counts as empty."""
     return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
@@ -237,22 +244,30 @@ def components(docs: DataFrame, shingle: int = 3) -> DataFrame:
     own = stored(fingerprints(docs, shingle), "simhash-fps")
     named = _rooted(own)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(named.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    of_fp = join_splittable(named.select("fp", "root"), ids, ["root"]).select("fp", "component_id")
+    return join_splittable(own, of_fp, ["fp"]).select("doc_id", "fp", "component_id")
+
+
+def row_keys() -> list[Column]:
+    """A 128-bit hash of doc_id (null or not) and digest: k1, k2."""
+    return [F.xxhash64("doc_id", "digest").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "digest").alias("k2")]
 
 
 def one_of_each(docs: DataFrame, members: DataFrame) -> DataFrame:
     """docs, and for each of its rows a member (doc_id, digest, root) -> one row of each root: the least doc_id, then the least digest.
 
-    Rows that agree in doc_id and text have one root. A null doc_id comes last; rows with null or repeated ids are told apart by their texts.
+    Rows that agree in doc_id and text have one root. A null doc_id comes last; rows with null or repeated ids are told apart by
+    their texts. The columns of docs may have any names.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
-    kept = members.groupBy("root").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.digest").alias("kept_digest"))
-    rows = docs.withColumn("own_digest", digest())
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("own_digest") == F.col("kept_digest")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "own_digest"]).select(*docs.columns)
+    kept = members.groupBy("root").agg(first).select("first.doc_id", "first.digest").select(*row_keys())
+    rows = docs.select(all_of(docs).alias("carried"), F.col("doc_id"), digest().alias("digest")).select("carried", *row_keys())
+    # repeated rows go first, within the tasks already, so that rows without an id and of one text don't meet in one task
+    rows = rows.dropDuplicates(["k1", "k2"]).join(kept, ["k1", "k2"], "left_semi")
+    return rows.select(*(field("carried", c) for c in docs.columns))
 
 
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """docs without all but one document of each near-duplicate group: the one with the component's id stays (of repeated rows, one)."""
+    """docs without all but one document of each group of linked fingerprints: the one with the component's id stays (of repeated rows, one)."""
     own = stored(fingerprints(docs, shingle, digests=True), "simhash-fps")
-    return one_of_each(docs, own.join(_rooted(own).select("fp", "root"), "fp"))
+    return one_of_each(docs, join_splittable(own, _rooted(own).select("fp", "root"), ["fp"]))

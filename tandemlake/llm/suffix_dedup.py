@@ -3,12 +3,14 @@
 A byte goes if a string of GRAM bytes that covers it starts anywhere else in the corpus as well. The suffixes that can have
 such a partner are found first: the minimum of a K-byte hash over each GRAM-byte string (its anchor) depends on the string
 alone, so equal strings have equal anchors at equal places. Anchors whose hash is unique in the corpus are dropped by a
-partial aggregate and a join. The record of an anchor holds the starts that share it; records with equal bytes are copies
-and settled at once. Only records that share an anchor but differ go on: their suffixes are sorted by mergesort, where two
-suffixes are compared by prefix polynomial hashes and binary search for their common extension; neighbours with GRAM
-bytes in common are repeats. Every neighbour pair is checked byte by byte, and a group with a collision is sorted again by
-its bytes. A group of more than GROUP_LIMIT different records is not brought together: its strings are counted by a
-partial aggregate on a 128-bit digest.
+partial aggregate and a join. The record of an anchor holds the starts that share it, and the bytes that they need. Records
+of equal bytes are one class (grouped by the bytes themselves, within the tasks first): one suffix each in the sort, with the
+number of its copies. The suffixes of the classes that share an anchor are sorted by mergesort, where two suffixes are
+compared by prefix polynomial hashes and binary search for their common extension; a suffix repeats if it has copies or
+GRAM bytes in common with a neighbour. Every neighbour pair is checked byte by byte, and a group with a collision is sorted
+again by its bytes. A group of more than GROUP_LIMIT classes is not brought together: its strings are counted by a partial
+aggregate on a 128-bit digest. Verdicts go back to records by a 64-bit digest of their bytes; that no two classes have
+the same one is checked, and with another digest all of it is done again.
 """
 
 from __future__ import annotations
@@ -18,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from .common import mix, prefix_hashes, runs_by_size, small_batches, stored, tidy
+from .common import all_of, drop_all_but, field, join_splittable, mix, prefix_hashes, quoted, runs_by_size, small_batches, stored, tidy, write_stored, written
 
 GRAM = 200
 K = 40
@@ -31,7 +34,6 @@ GROUP_LIMIT = 4096
 KERNEL_BYTES = 2_000_000
 BLOCK = 16
 LOW = np.uint64((1 << 28) - 1)
-NO_ID = -(1 << 63)
 
 
 def _anchors(texts: list[bytes], gram: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -82,23 +84,23 @@ def _hashes(docs: DataFrame, gram: int, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(tidy(work), "h long, n long")
 
 
-def _records(docs: DataFrame, gram: int, k: int) -> DataFrame:
-    """(h, c, did, th, place): anchor, digest of the record's bytes, document, and first start, anchor and starts in one long."""
+def _records(docs: DataFrame, gram: int, k: int, attempt: int, mask: int) -> DataFrame:
+    """(h, c, k1, k2, place): anchor, digest of the record's bytes, document, and first start, anchor and starts in one long."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or b"" for t in b.column(2).to_pylist()]
-            did, th = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            k1, k2 = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             for text, at, first, count, h in _anchors(texts, gram, k):
                 back = at - first
                 digests = b"".join(
-                    hashlib.blake2b(texts[i][s : s + n + gram - 1], digest_size=8, salt=d.to_bytes(2, "little")).digest()
+                    hashlib.blake2b(texts[i][s : s + n + gram - 1], digest_size=8, salt=d.to_bytes(2, "little"), person=bytes([attempt])).digest()
                     for i, s, n, d in zip(text.tolist(), first.tolist(), count.tolist(), back.tolist())
                 )
                 place = first << 20 | back << 10 | count
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.frombuffer(digests, "<i8")), pa.array(did[text]), pa.array(th[text]), pa.array(place)], ["h", "c", "did", "th", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.frombuffer(digests, "<i8") & mask), pa.array(k1[text]), pa.array(k2[text]), pa.array(place)], ["h", "c", "k1", "k2", "place"])
 
-    return docs.select("did", "th", "text").mapInArrow(tidy(work), "h long, c long, did long, th long, place long")
+    return docs.select("k1", "k2", "text").mapInArrow(tidy(work), "h long, c long, k1 long, k2 long, place long")
 
 
 # ------------------------------------------------------------------ the sort
@@ -205,7 +207,8 @@ class Suffixes:
 
 
 def _compare(rows: list[tuple], gram: int) -> Iterator[tuple[int, int, bytes]]:
-    """rows (h, c, n, place, bytes) of whole groups, records of a group different -> (h, c, bitmap of repeated starts) where n = 1."""
+    """rows (h, c, n, place, bytes) of whole groups, records of a group different, n copies of each -> (h, c, bitmap of repeated starts)
+    where n = 1; all starts of a record with copies repeat."""
     h = np.array([r[0] for r in rows], np.int64)
     place = np.array([r[3] for r in rows], np.int64)
     back, count = place >> 10 & 1023, place & 1023
@@ -235,7 +238,7 @@ def _compare(rows: list[tuple], gram: int) -> Iterator[tuple[int, int, bytes]]:
 
 
 def _kernel(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa.RecordBatch]:
-    """Rows (h, c, n, place, window) sorted by h and c; whole groups are gathered until there are KERNEL_BYTES."""
+    """Rows (h, c, n, place, window), a row for each class, sorted by h; whole groups are gathered until there are KERNEL_BYTES."""
     rows: list[tuple] = []
     size = 0
 
@@ -245,8 +248,6 @@ def _kernel(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa.RecordB
 
     for b in batches:
         for r in zip(*(x.to_pylist() for x in b.columns)):
-            if rows and (rows[-1][0], rows[-1][1]) == (r[0], r[1]):
-                continue  # a repeated row of documents
             if size > KERNEL_BYTES and rows[-1][0] != r[0]:
                 yield out(rows)
                 rows, size = [], 0
@@ -256,8 +257,8 @@ def _kernel(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa.RecordB
         yield out(rows)
 
 
-def _counted(windows: DataFrame, gram: int) -> DataFrame:
-    """The same verdicts for the records of very large groups, by counting digests of their strings."""
+def _counted(classes: DataFrame, gram: int) -> DataFrame:
+    """The same verdicts for the classes of very large groups, by counting digests of their strings."""
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -266,9 +267,9 @@ def _counted(windows: DataFrame, gram: int) -> DataFrame:
                 g = np.frombuffer(b"".join(hashlib.blake2b(w[j : j + gram], digest_size=16).digest() for j in range(m)), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, h)), pa.array(np.full(m, c)), pa.array(np.full(m, n)), pa.array(np.arange(m)), pa.array(g[:, 0].copy()), pa.array(g[:, 1].copy())], ["h", "c", "n", "j", "g0", "g1"])
 
-    each = windows.dropDuplicates(["h", "c"]).mapInArrow(tidy(strings), "h long, c long, n long, j long, g0 long, g1 long")
+    each = classes.mapInArrow(tidy(strings), "h long, c long, n long, j long, g0 long, g1 long")
     twice = each.groupBy("g0", "g1").agg(F.count("*").alias("times")).where("times > 1").select("g0", "g1", F.lit(True).alias("again"))
-    marked = each.where("n = 1").join(twice, ["g0", "g1"], "left")
+    marked = join_splittable(each.where("n = 1"), twice, ["g0", "g1"], "left")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -286,47 +287,75 @@ def _counted(windows: DataFrame, gram: int) -> DataFrame:
 # ------------------------------------------------------------------ the operator
 
 
-def remove_repeats(docs: DataFrame, gram: int = GRAM, k: int = K, group_limit: int = GROUP_LIMIT, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, n_bytes, spans (array of [from, to) byte offsets that go), kept (the rest, binary),
-    and carried, a struct of the columns in carry. as_text: kept is a string, without the bytes of characters that were cut.
+def _classes(own: DataFrame, found: DataFrame, gram: int) -> DataFrame:
+    """Records with equal bytes, once: h, c, place (without the first start), window, and n, how many there are."""
+    lists = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "c", "place")).alias("wanted"))
 
-    A row for each row of docs. A null text is empty; texts shorter than gram keep all; a text that stands in two rows (of
-    one doc_id or of two) goes, if it is long enough, from both. Matches never cross documents. An empty table gives none.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            for packed, records in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                text = unpack(packed)
+                places = [r["place"] for r in records]
+                windows = [text[p >> 20 : (p >> 20) + (p & 1023) + gram - 1] for p in places]
+                columns = [pa.array([r[x] for r in records], pa.int64()) for x in ("h", "c")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([p & 0xFFFFF for p in places], pa.int64()), pa.array(windows, pa.binary())], ["h", "c", "place", "window"])
+
+    windows = join_splittable(own.select("k1", "k2", "packed"), lists, ["k1", "k2"]).select("packed", "wanted")
+    return windows.mapInArrow(tidy(cut), "h long, c long, place long, window binary").groupBy("h", "c", "place", "window").agg(F.count("*").alias("n"))
+
+
+def _packed(docs: DataFrame, carried: Column) -> DataFrame:
+    """k1, k2 (a 128-bit hash of doc_id and text), the text compressed, and carried: what is dealt out by document."""
     blob = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(blob).alias("th"), blob.alias("text"), F.struct(*(F.col(c) for c in carry or ["doc_id"])).alias("carried"))
-    # stored, so that the join below is between plain exchanges and a very common anchor can be split over tasks
-    shared = stored(_hashes(own, gram, k).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "anchors")
-    found = stored(_records(own, gram, k).join(shared, "h"), "repeats")
-    classes = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "place")).alias("one"))
-    groups = classes.groupBy("h").agg(F.count("*").alias("kinds"), F.max(F.col("n") == 1).alias("open")).where("kinds > 1 and open")
-    wanted = classes.join(groups, "h").select("h", "c", "n", "kinds", "one.*")
-    lists = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("h", "c", "n", "kinds", "place")).alias("wanted"))
+    rows = docs.select(*_keys(), blob.alias("packed"), carried.alias("carried"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            for text, records in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                windows = [text[r["place"] >> 20 : (r["place"] >> 20) + (r["place"] & 1023) + gram - 1] for r in records]
-                columns = [pa.array([r[x] for r in records], pa.int64()) for x in ("h", "c", "n", "kinds", "place")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(windows, pa.binary())], ["h", "c", "n", "kinds", "place", "window"])
-
-    windows = stored(own.join(lists, ["did", "th"]).select("text", "wanted").mapInArrow(tidy(cut), "h long, c long, n long, kinds long, place long, window binary"), "windows")
-    columns = ["h", "c", "n", "place", "window"]
-    some = windows.where(F.col("kinds") <= group_limit).select(*columns).repartition("h").sortWithinPartitions("h", "c")
-    verdicts = some.mapInArrow(tidy(lambda x: _kernel(x, gram)), "h long, c long, bits binary")
-    large = windows.where(F.col("kinds") > group_limit).select(*columns)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(t) for t in b.column(2).to_pylist()], pa.binary()), b.column(3)], ["k1", "k2", "packed", "carried"])
+
+    return rows.mapInArrow(tidy(work), rows.schema)
+
+
+def _keys() -> list[Column]:
+    return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2")]
+
+
+def _removed(docs: DataFrame, carried: Column, gram: int, k: int, group_limit: int, as_text: bool, digest_bits: int = 64) -> DataFrame:
+    """A row for each row of docs: n_bytes, spans, kept and carried, as remove_repeats() has them."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    own = docs.select(*_keys(), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    packed, before = _packed(docs, carried), written()
+    # stored, so that the joins are between plain exchanges and a very common anchor can be split over tasks
+    shared = stored(_hashes(own, gram, k).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "anchors")
+    for attempt in range(5):
+        mask = -1 if attempt else (1 << digest_bits) - 1 if digest_bits < 64 else -1
+        found = stored(_records(own, gram, k, attempt, mask).join(shared, "h"), "repeats")
+        classes = stored(_classes(packed, found, gram), "classes")
+        if classes.groupBy("h", "c").count().where("count > 1").isEmpty():
+            break
+    else:
+        raise RuntimeError("different strings have equal digests again and again")
+    groups = classes.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    together = join_splittable(classes, groups, ["h"]).select("h", "c", "n", "place", "window", "kinds")
+    small = together.where(F.col("kinds") <= group_limit).drop("kinds").repartition("h").sortWithinPartitions("h", "c")
+    verdicts = small.mapInArrow(tidy(lambda x: _kernel(x, gram)), "h long, c long, bits binary")
+    large = together.where(F.col("kinds") > group_limit).drop("kinds")
     if not large.isEmpty():
         verdicts = verdicts.unionByName(_counted(large, gram))
-    spans = found.join(verdicts, ["h", "c"], "left").groupBy("did", "th").agg(F.collect_list(F.struct("place", "bits")).alias("found"))
-    joined = own.join(spans, ["did", "th"], "left").select("did", "text", "found", "carried")
-    schema = StructType([StructField("doc_id", LongType()), StructField("n_bytes", LongType()), StructField("spans", ArrayType(ArrayType(LongType()))), StructField("kept", StringType() if as_text else BinaryType()), StructField("carried", own.schema["carried"].dataType)])
+    spans = found.join(verdicts, ["h", "c"], "left").groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "bits")).alias("found"))
+    path = write_stored(spans, "spans")
+    drop_all_but(spark, before, {path})
+    joined = join_splittable(packed, spark.read.schema(spans.schema).parquet(path), ["k1", "k2"], "left").select("packed", "found", "carried")
+    schema = StructType([StructField("n_bytes", LongType()), StructField("spans", ArrayType(ArrayType(LongType()))), StructField("kept", StringType() if as_text else BinaryType()), joined.schema["carried"]])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             sizes, gone, kept = [], [], []
-            for text, records in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for text, records in zip(map(unpack, b.column(0).to_pylist()), b.column(1).to_pylist()):
                 runs = _runs(len(text), records or [], gram)
                 parts, at = [], 0
                 for s, e in runs:
@@ -335,12 +364,23 @@ def remove_repeats(docs: DataFrame, gram: int = GRAM, k: int = K, group_limit: i
                 sizes.append(len(text))
                 gone.append(runs)
                 kept.append(b"".join(parts) + text[at:])
-            ids = pa.array([None if x == NO_ID else x for x in b.column(0).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(gone, pa.list_(pa.list_(pa.int64()))), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), b.column(3)], ["doc_id", "n_bytes", "spans", "kept", "carried"])
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(gone, pa.list_(pa.list_(pa.int64()))), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), b.column(2)], schema.names)
 
     return joined.mapInArrow(tidy(remove), schema)
 
 
+def remove_repeats(docs: DataFrame, gram: int = GRAM, k: int = K, group_limit: int = GROUP_LIMIT, carry: list[str] | None = None, as_text: bool = False, digest_bits: int = 64) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, n_bytes, spans (array of [from, to) byte offsets that go), kept (the rest, binary),
+    and carried, a struct of the columns in carry. as_text: kept is a string, without the bytes of characters that were cut.
+
+    A row for each row of docs. A null text is empty; texts shorter than gram keep all; a text that stands in two rows (of
+    one doc_id or of two) goes, if it is long enough, from both. Matches never cross documents. An empty table gives none.
+    """
+    carried = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*(quoted(c).alias(c) for c in carry or ["doc_id"])).alias("rest"))
+    out = _removed(docs, carried, gram, k, group_limit, as_text, digest_bits)
+    return out.select(F.col("carried.doc_id").alias("doc_id"), "n_bytes", "spans", "kept", F.col("carried.rest").alias("carried"))
+
+
 def _runs(n: int, records: list[dict], gram: int) -> list[list[int]]:
     """Maximal runs of bytes covered by repeated strings."""
     if not records:
@@ -364,11 +404,10 @@ def _runs(n: int, records: list[dict], gram: int) -> list[list[int]]:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with what repeats taken out of the texts; the bytes of a character that was cut go too. n_chars follows, if there is one.
 
-    Texts that lose nothing stay as they are (null ones too); every row keeps its other columns.
+    Texts that lose nothing stay as they are (null ones too); every row keeps its other columns, whatever they are called.
     """
-    rest = [c for c in docs.columns if c != "text"]
-    marked = docs.withColumn("had_no_text", F.col("text").isNull())
-    out = remove_repeats(marked, carry=[*rest, "had_no_text"], as_text=True)
-    text, changed = F.when(~F.col("carried.had_no_text"), F.col("kept")), F.size("spans") > 0
-    chars = lambda c: F.when(changed, F.length("kept").cast(docs.schema[c].dataType)).otherwise(F.col(f"carried.`{c}`"))
-    return out.select(*((text if c == "text" else chars(c) if c == "n_chars" else F.col(f"carried.`{c}`")).alias(c) for c in docs.columns))
+    carried = F.struct(all_of(docs, ("text",)).alias("rest"), F.col("text").isNull().alias("none"))
+    out = _removed(docs, carried, GRAM, K, GROUP_LIMIT, True).select("kept", "spans", F.col("carried.rest").alias("rest"), F.col("carried.none").alias("none"))
+    text, changed = F.when(~F.col("none"), F.col("kept")), F.size("spans") > 0
+    chars = lambda c: F.when(changed, F.length("kept").cast(docs.schema[c].dataType)).otherwise(field("rest", c))
+    return out.select(*((text if c == "text" else chars(c) if c == "n_chars" else field("rest", c)).alias(c) for c in docs.columns))

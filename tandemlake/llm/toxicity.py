@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import mix, runs_by_size, small_batches, tidy
+from .common import all_of, field, mix, runs_by_size, small_batches, tidy
 
 ORDERS = (3, 4, 5)
 BUCKETS = 1 << 20
@@ -200,21 +200,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs plus toxicity_score (double, 0 to 1), for every row and its whole text; a null text scores as an empty one."""
+    """docs plus toxicity_score (double, 0 to 1; one of that name is replaced), for every row and its whole text; a null text scores as an empty one."""
+    out = _scored(docs.drop("toxicity_score"), model)
+    return out.select(*(field("carried", c) for c in docs.columns if c != "toxicity_score"), "toxicity_score")
+
+
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """carried (the columns of docs) and toxicity_score."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    if "toxicity_score" in docs.columns:
-        docs = docs.drop("toxicity_score")
-    at = docs.columns.index("text")
-    schema = StructType([*docs.schema.fields, StructField("toxicity_score", DoubleType())])
+    rows = docs.select(F.col("text"), all_of(docs, ("text",)).alias("carried"))
+    schema = StructType([*rows.schema.fields, StructField("toxicity_score", DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = shared.value.scores(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "toxicity_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.scores(b.column(0).to_pylist()))], names=schema.names)
 
-    return docs.mapInArrow(tidy(work), schema)
+    out = rows.mapInArrow(tidy(work), schema)
+    others = [field("carried", c) if c != "text" else F.col("text") for c in docs.columns]
+    return out.select(F.struct(*others).alias("carried"), "toxicity_score")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -224,5 +229,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that score THRESHOLD or more; columns are as they were."""
-    return score(docs, fit(docs, labels)).where(F.col("toxicity_score") < THRESHOLD).select(*docs.columns)
+    """docs without those that score THRESHOLD or more; columns are as they were, whatever they are called."""
+    return _scored(docs, fit(docs, labels)).where(F.col("toxicity_score") < THRESHOLD).select(*(field("carried", c) for c in docs.columns))

@@ -51,6 +51,20 @@ def test_large_groups_are_counted(spark):
     assert fast(suffix_dedup.remove_repeats(table(spark, texts), group_limit=3)) == dict(enumerate(slow(texts, 200)))
 
 
+def test_equal_digests_of_different_bytes_are_noticed(spark):
+    """With digests of two bits almost all records have the same one: another digest is taken."""
+    texts = corpus()
+    assert fast(suffix_dedup.remove_repeats(table(spark, texts), digest_bits=2)) == dict(enumerate(slow(texts, 200)))
+
+
+def test_repeated_rows_do_not_gather(spark):
+    """Many rows alike, without an id: one list of records for all of them."""
+    t = prose(70, 150)
+    docs = spark.createDataFrame([(None, t, None, None, None)] * 400 + [(-(1 << 63), t + "x", None, None, None), (1, prose(71, 90), None, None, None)], DOCS)
+    got = sorted((str(r.doc_id), len(r.kept)) for r in suffix_dedup.remove_repeats(docs).collect())
+    assert got == sorted([("None", 0)] * 400 + [(str(-(1 << 63)), 1), ("1", len(prose(71, 90).encode()))])
+
+
 def test_texts_longer_than_a_chunk(spark, monkeypatch):
     texts = corpus()
     monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
