@@ -2,14 +2,18 @@
 
 Texts become token ids, documents are cut into whole windows and a rest, and each rest is placed on arrival: into the fill
 level for which the sum of the squared numbers of partially filled windows by level is least. The numbers are held in an
-array by level, so a placement is one vectorised expression. Every task packs the documents that it reads by itself: there
-is no shuffle, the state is one level array and the ids of windows that are still open, and a lost task is simply run again.
-At the end of a task the open windows are merged by cutting pieces, and what is left over stands in sequences whose lengths
-are powers of two, which need no padding.
+array by level, so a placement is one vectorised expression. There are LEVELS of them, a unit of 32
+tokens each, and what a window lacks or has too much by rounding, less than a unit, is cut from or left to another rest. At
+most MOST_OPEN windows are open; beyond that the fullest is filled up from the emptiest.
+
+Every task packs the documents that it reads by itself: there is no shuffle, the state is one level array and the ids of
+windows that are still open, and a lost task is simply run again. At the end of a task the open windows are merged by cutting
+pieces, and what is left over stands in sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -23,10 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT, small_batches, tidy
+from .common import KEPT, runs_by_size, small_batches, tidy
 
 WINDOW = 2048
+LEVELS = 64
+MOST_OPEN = 64
 END_ID = 1
+TEXT_BYTES = 4_000_000
 NEVER = 1 << 62
 CACHE_WORDS = 450_000
 LONG_WORD = 48
@@ -40,20 +47,30 @@ class _Ids(dict):
     """Ids (little-endian, 32 bits) by word; short words are remembered while there is room."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, word: bytes) -> bytes:
-        stem = word.rstrip(STOPS)
-        if len(stem) < len(word) and LETTER.search(stem):
-            ids = self[stem] + self[word[len(stem) :]]
-        else:
-            ids = array("I", self.tokenizer.encode_batch_fast([word.decode("utf-8", "replace")], add_special_tokens=False)[0].ids).tobytes()
-        if len(word) <= LONG_WORD and len(self) < CACHE_WORDS:
-            self[word] = ids
-        return ids
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Look up words that aren't known, all in one call of the tokenizer -> those that can't be remembered."""
+        cut = {}
+        for w in words:
+            stem = w.rstrip(STOPS)
+            cut[w] = (stem, w[len(stem) :]) if len(stem) < len(w) and LETTER.search(stem) else (w,)
+        wanted = list({x for parts in cut.values() for x in parts}.difference(self))
+        got = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in wanted], add_special_tokens=False) if wanted else []
+        new = {x: array("I", e.ids).tobytes() for x, e in zip(wanted, got)}
+        extra = {}
+        for w, parts in cut.items():
+            new[w] = b"".join([new[x] if x in new else self[x] for x in parts])
+        for w, ids in new.items():
+            if len(w) <= LONG_WORD and len(self) < CACHE_WORDS:
+                self[w] = ids
+            else:
+                extra[w] = ids
+        return extra
 
 
 #: The tokenizer and what it remembers stay with the worker process, from task to task.
@@ -65,25 +82,36 @@ class Tokens:
     """Ids of whole texts. Runs between ASCII white space are tokenised on their own and remembered: the tokenizer drops
     white space and no rule of it looks across, so the ids are those of the whole text. For the same reason stops at the
     end of a run are taken apart from a letter before them, and ASCII capitals become small ones beforehand; not so in texts
-    that may hold special tokens or combining marks, where that could make a difference."""
+    that may hold special tokens or combining marks, where that could make a difference. The words of some texts that aren't
+    known yet are looked up together."""
 
     def __init__(self, path: str):
         self.known = _shared(path)
 
     def of(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        for t in texts:
-            t = t or b""
-            words = t.split() if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower().split()
-            yield b"".join(map(self.known.__getitem__, words))
+        known = self.known
+        for a, b in runs_by_size([len(t or b"") for t in texts], TEXT_BYTES):
+            lists = [(t.split() if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower().split()) if t else [] for t in texts[a:b]]
+            extra = known.learn(set().union(*lists).difference(known))
+            look = (lambda w, extra=extra: known[w] if w in known else extra[w]) if extra else known.__getitem__
+            for words in lists:
+                yield b"".join(map(look, words))
 
 
 class Packer:
-    """One task's sequences. Pieces come out as soon as their sequence is full."""
+    """One task's sequences. Pieces (doc, start, ids, total) come out as soon as their sequence is full."""
 
-    def __init__(self, first_id: int, window: int = WINDOW):
-        self.window, self.next = window, first_id
-        self.level = np.zeros(window + 1, np.int64)
-        self.open: dict[int, list[list]] = defaultdict(list)
+    def __init__(self, first_id: int, window: int = WINDOW, most_open: int = MOST_OPEN):
+        self.window, self.next, self.most_open = window, first_id, most_open
+        self.unit = max(1, window // LEVELS)
+        self.units = window // self.unit
+        self.level = np.zeros(self.units + 1, np.int64)
+        self.open: dict[int, list[tuple[int, list]]] = defaultdict(list)  # by level: fill and pieces
+        self.n_open = 0
+        self.spare: list[tuple] = []  # ends of rests, less than a unit each, for windows that lack less than that
+        self.spare_tokens = 0
+        self.lacking: list[tuple[int, list]] = []
+        self.merged = 0  # tokens that stood in open windows at the end
 
     def _close(self, pieces: list) -> Iterator[tuple]:
         at = 0
@@ -94,8 +122,8 @@ class Packer:
         self.next += 1
 
     def best_level(self, size: int) -> int:
-        """The level (0: a new window) for which the sum of squares rises least; of equals, the fullest."""
-        n, w = self.level, self.window
+        """The level (0: a new window) for which the sum of squares rises least by a rest of so many units; of equals, the fullest."""
+        n, w = self.level, self.units
         to = np.arange(size, w + 1)
         rise = 2 * n[to] + 1
         rise[-1] = 0  # a full window is no longer counted
@@ -104,41 +132,122 @@ class Packer:
         cost = np.where((source == 0) | (n[source] > 0), rise + fall, NEVER)
         return int(source[len(cost) - 1 - np.argmin(cost[::-1])])
 
+    def _near(self, tokens: int) -> int:
+        """The level that is nearest to so many tokens."""
+        return (2 * tokens + self.unit) // (2 * self.unit)
+
     def add(self, doc: object, ids: bytes) -> Iterator[tuple]:
         total, whole = len(ids) // 4, 4 * self.window
         for at in range(0, len(ids) - whole + 1, whole):
             yield from self._close([(doc, at // 4, ids[at : at + whole], total)])
         rest = len(ids) % whole
         if rest:
-            piece = (doc, (len(ids) - rest) // 4, ids[len(ids) - rest :], total)
-            level = self.best_level(rest // 4)
-            pieces = self.open[level].pop() if level else []
-            self.level[level] -= bool(level)
-            pieces.append(piece)
-            if level + rest // 4 == self.window:
-                yield from self._close(pieces)
-            else:
-                self.level[level + rest // 4] += 1
-                self.open[level + rest // 4].append(pieces)
+            yield from self._place((doc, (len(ids) - rest) // 4, ids[len(ids) - rest :], total))
+
+    def _place(self, piece: tuple) -> Iterator[tuple]:
+        while self.lacking and len(piece[2]) // 4 > self.unit:  # windows that no spare end has filled: cut from this one
+            fill, pieces = self.lacking.pop()
+            head, piece = _cut(piece, self.window - fill)
+            yield from self._close([*pieces, head])
+        n = len(piece[2]) // 4
+        size = self._near(n)
+        if not size:
+            yield from self._keep(piece)
+            return
+        level = self.best_level(size)
+        fill, pieces = self._take(level) if level else (0, [])
+        if fill + n > self.window:
+            head, end = _cut(piece, self.window - fill)
+            yield from self._close([*pieces, head])
+            yield from self._keep(end)
+        elif fill + n == self.window:
+            yield from self._close([*pieces, piece])
+        elif self._near(fill + n) == self.units:
+            self.lacking.append((fill + n, [*pieces, piece]))
+            yield from self._fill_up()
+        else:
+            self._put(fill + n, [*pieces, piece])
+            if self.n_open > self.most_open:
+                yield from self._merge_two()
+
+    def _take(self, level: int) -> tuple[int, list]:
+        self.level[level] -= 1
+        self.n_open -= 1
+        return self.open[level].pop()
+
+    def _put(self, fill: int, pieces: list) -> None:
+        level = max(1, min(self._near(fill), self.units - 1))
+        self.level[level] += 1
+        self.n_open += 1
+        self.open[level].append((fill, pieces))
+
+    def _keep(self, piece: tuple) -> Iterator[tuple]:
+        self.spare.append(piece)
+        self.spare_tokens += len(piece[2]) // 4
+        yield from self._fill_up()
+        if self.spare_tokens >= self.window:
+            yield from self._close(self._spares(self.window))
+
+    def _spares(self, n: int) -> list[tuple]:
+        out = []
+        self.spare_tokens -= n
+        while n:
+            head, end = _cut(self.spare.pop(), n)
+            out.append(head)
+            n -= len(head[2]) // 4
+            if end[2]:
+                self.spare.append(end)
+        return out
+
+    def _fill_up(self) -> Iterator[tuple]:
+        while self.lacking and self.window - self.lacking[-1][0] <= self.spare_tokens:
+            fill, pieces = self.lacking.pop()
+            yield from self._close([*pieces, *self._spares(self.window - fill)])
+
+    def _merge_two(self) -> Iterator[tuple]:
+        """Fill the fullest open window up from the emptiest one."""
+        levels = np.flatnonzero(self.level)
+        fill, pieces = self._take(int(levels[-1]))
+        low = int(np.flatnonzero(self.level)[0])
+        other, donor = self._take(low)
+        while fill < self.window and donor:
+            head, end = _cut(donor.pop(), self.window - fill)
+            pieces.append(head)
+            fill, other = fill + len(head[2]) // 4, other - len(head[2]) // 4
+            if end[2]:
+                donor.append(end)
+        if donor:
+            self._put(other, donor)
+        if fill == self.window:
+            yield from self._close(pieces)
+        else:
+            self._put(fill, pieces)
 
     def finish(self) -> Iterator[tuple]:
         """Merge what is open: pieces in order of their windows' fill, cut at the window; the last in powers of two."""
-        left = [p for level in sorted(self.open, reverse=True) for pieces in self.open[level] for p in pieces]
-        tokens = sum(len(p[2]) // 4 for p in left)
+        windows = [*self.lacking, *(w for level in sorted(self.open, reverse=True) for w in self.open[level])]
+        left = [p for _, pieces in windows for p in pieces] + self.spare
+        self.merged = tokens = sum(len(p[2]) // 4 for p in left)
         sizes = [self.window] * (tokens // self.window) + [1 << b for b in range(self.window.bit_length(), -1, -1) if tokens % self.window >> b & 1]
-        k = 0
+        left.reverse()
         for size in sizes:
             pieces = []
             while size:
-                doc, start, ids, total = left[k]
-                n = min(size, len(ids) // 4)
-                pieces.append((doc, start, ids[: 4 * n], total))
-                left[k] = (doc, start + n, ids[4 * n :], total)
-                k += not left[k][2]
-                size -= n
+                head, end = _cut(left.pop(), size)
+                pieces.append(head)
+                size -= len(head[2]) // 4
+                if end[2]:
+                    left.append(end)
             yield from self._close(pieces)
         self.open.clear()
         self.level[:] = 0
+        self.n_open, self.spare, self.spare_tokens, self.lacking = 0, [], 0, []
+
+
+def _cut(piece: tuple, n: int) -> tuple[tuple, tuple]:
+    """The first n tokens (all, if there are no more) and what is left."""
+    doc, start, ids, total = piece
+    return (doc, start, ids[: 4 * n], total), (doc, start + n, ids[4 * n :], total)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFrame:

@@ -1,10 +1,14 @@
 """Approximate nearest neighbours by a robust-pruned directed graph in each shard.
 
-Different vectors are dealt to shards of about SHARD by a hash, and each shard gets a graph: greedy beam searches propose the
+Different vectors are dealt to shards by a hash, and each shard gets a graph: greedy beam searches propose the
 neighbours of a node, relaxed distance pruning keeps those edges that no kept edge leads near to, reverse edges are pruned in
 the same way. A query runs a beam search in every shard, and the shards' results are merged by exact scores. Inner products
 become distances by one more coordinate, which gives all vectors of a shard the same norm. Equal vectors are one node that
 carries the smallest numbers of its rows, enough for any query, so a vector that a third of all rows have is no hot spot.
+
+A query asks every shard, and within one the search hardly grows with its size, so shards are as large as a task's memory
+and the cores allow: of SMALL nodes while that gives no more shards than cores, then as many shards as cores, and from there
+on of at most SHARD_BYTES. The searches are then the queries times the bytes of all vectors over SHARD_BYTES.
 """
 
 from __future__ import annotations
@@ -14,9 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_all_but, stored, write_stored, written
 
-SHARD = 4096
+SMALL = 4096
+SHARD_BYTES = 48_000_000
 QUERY_BLOCK = 2048
 DEGREE = 32
 BUILD_BEAM = 64
@@ -162,19 +167,28 @@ def usable(c: Column | str) -> Column:
     return c.isNotNull() & finite & F.exists(c, lambda v: v != 0)
 
 
-def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, shard: int = SHARD, beam: int = SEARCH_BEAM) -> DataFrame:
+def shards_for(nodes: int, dim: int, cores: int, small: int = SMALL, most_bytes: int = SHARD_BYTES) -> int:
+    """How many shards: at least what keeps each under most_bytes (vectors twice, neighbours), and up to one for each core."""
+    most = max(small, most_bytes // (12 * dim + 8 * DEGREE + 64))
+    return max(1, -(-nodes // most), min(cores, -(-nodes // small)))
+
+
+def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, shard: int | None = None, beam: int = SEARCH_BEAM) -> DataFrame:
     """embeddings (vec_id, embedding), queries (query_id, embedding) -> query_id, rank (from 1), vec_id, score: the k largest
     inner products found, among the rows whose vec_id isn't the query's; ties go to the smaller vec_id.
 
     Unusable vectors (see usable) and null numbers take no part; rows that repeat a number and its vector count once. A
     query meets the vectors of its own length. Fewer than k candidates: all of them. Empty tables: no rows.
+    shard: nodes in a shard, where shards_for() isn't to choose.
     """
+    spark, before = embeddings.sparkSession, written()
     rows = embeddings.where(usable("embedding") & F.col("vec_id").isNotNull()).select("vec_id", "embedding").distinct()
     order = Window.partitionBy("embedding").orderBy("vec_id")
     least = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
     nodes = stored(least.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors")
     asked = stored(queries.where(usable("embedding") & F.col("query_id").isNotNull()).select("query_id", "embedding").distinct(), "queries")
-    shards = max(1, -(-nodes.count() // shard))
+    there = nodes.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    shards = max(1, -(-there[0] // shard)) if shard else shards_for(there[0], there[1] or 1, spark.sparkContext.defaultParallelism)
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     dim = F.size("embedding").alias("dim")
 
@@ -211,4 +225,7 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, shard: int =
     keys = ("dim", "shard", "block")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(ask, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    path = write_stored(out, "nearest")
+    drop_all_but(spark, before, {path})
+    return spark.read.parquet(path)

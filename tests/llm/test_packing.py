@@ -91,4 +91,43 @@ def test_levels_are_chosen_by_least_squares(window):
     for _, _, n, _, _, seq, _ in out:
         fill[seq] += n
     assert sum(1 for f in fill.values() if f != window) <= window.bit_length()
+    assert sum(fill.values()) == sum(n for _, _, n, *_ in out)
     assert all(f == window or f & (f - 1) == 0 for f in fill.values())
+
+
+def rests(packer, sizes):
+    """Pack documents of these sizes; every id comes out once, in whole windows but for the last ones."""
+    out, most = [], 0
+    for d, n in enumerate(sizes):
+        out += list(packer.add(d, np.arange(n, dtype="<u4").tobytes()))
+        most = max(most, packer.n_open)
+        assert packer.n_open == sum(map(len, packer.open.values())) == packer.level.sum()
+        assert all(packer._near(f) in (k, 0, packer.units) and f == sum(len(p[2]) // 4 for p in ps) for k, ws in packer.open.items() for f, ps in ws)
+    out += list(packer.finish())
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for doc, start, n, crc, total, seq, offset in out:
+        assert total == sizes[doc] and crc == zlib.crc32(np.arange(start, start + n, dtype="<u4").tobytes())
+        by_doc[doc].append((start, n))
+        by_seq[seq].append((offset, n))
+    for parts in [*by_doc.values(), *by_seq.values()]:
+        at = 0
+        for start, n in sorted(parts):
+            assert start == at and n > 0
+            at += n
+    assert {d: sum(n for _, n in v) for d, v in by_doc.items()} == {d: n for d, n in enumerate(sizes) if n}
+    lengths = [sum(n for _, n in v) for v in by_seq.values()]
+    assert all(f == packer.window or f & (f - 1) == 0 for f in lengths) and sum(f != packer.window for f in lengths) <= 12
+    return most
+
+
+def test_nearly_all_tokens_are_placed_by_level():
+    rng = np.random.default_rng(3)
+    packer = packing.Packer(0)
+    sizes = rng.lognormal(6.3, 0.8, 6000).astype(int) + 1
+    most = rests(packer, sizes.tolist())
+    assert packer.merged < 0.04 * sum(n % 2048 for n in sizes.tolist()) and most <= packing.MOST_OPEN + 1
+
+
+@pytest.mark.parametrize("sizes", [[1100] * 900, [5] * 3000, [2041] * 300, [2047, 1] * 300, [7, 2040, 9, 1024, 8] * 200, [2048, 4096, 2049]])
+def test_rests_that_do_not_fit_together(sizes):
+    assert rests(packing.Packer(0, most_open=64), sizes) <= 65
