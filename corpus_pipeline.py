@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tandemlake.llm import decontaminate, near_copies, packing, suffix_dedup, toxicity
-from tandemlake.llm.common import stored
+from tandemlake.llm.common import drop_all_but, write_stored, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,6 +50,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = written()
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"corpus-{name}")
+        path = write_stored(stage(spark, docs, sf_dir), f"corpus-{name}")
+        drop_all_but(spark, before, {path})  # the stage before and what this one wrote on its way
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
