@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -63,8 +63,7 @@ def daily_ledger(prices: DataFrame, signals: DataFrame, keys: list[str], costs:
     on = [*keys, ts]
     held = signals.select(*on, "n1", "n2", *(["z"] if "z" in signals.columns else []))
     df = prices.select(*on, "P1", "P2").join(held, on, "left")
-    good = lambda c: (F.col(c) > 0) & ~F.isnan(c) & (F.col(c) != float("inf"))
-    df = df.where(good("P1") & good("P2")).withColumns({c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)) for c in ("n1", "n2")})
+    df = df.where(_priced(F.col("P1")) & _priced(F.col("P2"))).withColumns({c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)) for c in ("n1", "n2")})
     w = Window.partitionBy(*keys).orderBy(ts)
     every = Window.partitionBy(*keys)
     lag0 = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0.0))
@@ -181,39 +180,67 @@ def summary(ledger: DataFrame, trades: DataFrame, keys: list[str], costs: Costs
 # ------------------------------------------------------------------ books
 
 
+def with_dividends(df: DataFrame, dividends: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
+    """df plus D1 and D2 of dividends (keys, ts, D1, D2); a NaN or null amount is none, but a row of df that dividends don't have is
+    refused when it is read."""
+    on = [*keys, ts]
+    out = df.drop("D1", "D2").join(dividends.select(*on, F.struct("D1", "D2").alias("_d")), on, "left")
+    amount = lambda c: F.coalesce(F.nanvl(F.col(f"_d.{c}").cast("double"), F.lit(0.0)), F.lit(0.0))
+    missing = F.raise_error(F.concat(F.lit("dividends do not cover the ledger at "), F.col(ts).cast("string"))).cast("double")
+    return out.withColumns({c: F.when(F.col("_d").isNull(), missing).otherwise(amount(c)) for c in ("D1", "D2")}).drop("_d")
+
+
+def _priced(c: Column) -> Column:
+    """A finite price above zero."""
+    return F.coalesce(~F.isnan(c) & (c > 0) & (c != float("inf")), F.lit(False))
+
+
 def book(df: DataFrame, keys: list[str], reset: str = "daily", band: float = 0.1, cost_bps: tuple[float, float] = (0.0, 0.0), borrow_bps: float = 50.0, days_per_year: float = 252.0, ts: str = "ts") -> DataFrame:
     """df (keys, ts, P1, P2, pos, beta, target, D1?, D2?) -> the book ledger: the decision at a bar's close sizes the next bar.
 
     daily sizes anew on each bar, frozen keeps the shares of the trade's first bar (both by windows), band sizes anew when
-    the gross leaves the target by more than the band (a fold over the pair's bars).
+    the gross leaves the target by more than the band (a fold over the pair's bars). Shares are found on all bars; the ledger,
+    its entries, exits and trade numbers are between bars with usable prices. A position that can't be sized (on the first bar, or
+    after a bar without usable prices, beta or target) is refused when it is read, and so is a pos other than -1, 0 and 1.
     """
     if reset not in ("daily", "frozen", "band"):
         raise ValueError("reset must be daily, frozen or band")
+    if not 0 <= band < float("inf") or days_per_year <= 0 or not 0 <= borrow_bps < float("inf") or not all(0 <= c < float("inf") for c in cost_bps):
+        raise ValueError("band, borrow_bps and cost_bps must be finite and not negative, days_per_year positive")
     w = Window.partitionBy(*keys).orderBy(ts)
     for d in ("D1", "D2"):
         df = df if d in df.columns else df.withColumn(d, F.lit(0.0))
     df = df.select(*keys, ts, "P1", "P2", F.col("pos").cast("int").alias("pos"), "beta", "target", F.coalesce("D1", F.lit(0.0)).alias("D1"), F.coalesce("D2", F.lit(0.0)).alias("D2"))
     prev = F.coalesce(F.lag("pos").over(w), F.lit(0))
-    size = F.col("pos") * F.lag("target").over(w) / (F.lag("P1").over(w) + F.abs(F.lag("beta").over(w)) * F.lag("P2").over(w))
-    df = df.withColumns({"entry": (F.col("pos") != 0) & (F.col("pos") != prev), "exit": (prev != 0) & (F.col("pos") != prev), "n1": F.when(F.col("pos") != 0, size).otherwise(0.0), "b0": F.lag("beta").over(w)})
-    df = df.withColumn("n2", F.when(F.col("pos") != 0, -F.col("b0") * F.col("n1")).otherwise(0.0)).withColumn("trade_id", F.sum(F.col("entry").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    finite_ = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False))
+    known = _priced(F.col("P1")) & _priced(F.col("P2")) & finite_(F.col("beta")) & finite_(F.col("target")) & (F.col("target") >= 0)
+    df = df.withColumns({"_known": F.coalesce(F.lag(known).over(w), F.lit(False)), "_s": F.lag(F.col("target") / (F.col("P1") + F.abs("beta") * F.col("P2"))).over(w), "b0": F.lag("beta").over(w), "held": prev == F.col("pos")})
+    refused = F.raise_error(F.concat(F.lit("cannot size the position held on "), F.col(ts).cast("string"))).cast("double")
+    size = F.when(F.col("pos") == 0, 0.0).when(~F.col("pos").isin(-1, 1), refused)
     if reset == "frozen":
-        t = Window.partitionBy(*keys, "trade_id", "pos").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-        df = df.withColumns({c: F.when(F.col("pos") != 0, F.first(c).over(t)).otherwise(0.0) for c in ("n1", "n2")})
+        size = size.when(F.col("held"), F.lit(None).cast("double"))
+    df = df.withColumn("n1", size.when(F.col("_known"), F.col("pos") * F.col("_s")).otherwise(refused))
+    df = df.withColumn("n2", F.when(F.col("pos") == 0, 0.0).otherwise(-F.col("b0") * F.col("n1")))
+    if reset == "frozen":
+        df = df.withColumn("_trade", F.sum((~F.col("held")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        t = Window.partitionBy(*keys, "_trade").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumns({c: F.when(F.col("pos") == 0, 0.0).otherwise(F.first(c).over(t)) for c in ("n1", "n2")}).drop("_trade")
     elif reset == "band":
         schema = df.schema.simpleString()[7:-1].replace(":", " ")
 
         def work(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(ts, kind="stable").reset_index(drop=True)
             n1, n2 = pdf["n1"].to_numpy(copy=True), pdf["n2"].to_numpy(copy=True)
-            p1, p2, pos, target, entry = (pdf[c].to_numpy() for c in ("P1", "P2", "pos", "target", "entry"))
+            p1, p2, pos, target, held = (pdf[c].to_numpy() for c in ("P1", "P2", "pos", "target", "held"))
             for i in range(1, len(pdf)):
-                if pos[i] and not entry[i] and abs(abs(n1[i - 1]) * p1[i - 1] + abs(n2[i - 1]) * p2[i - 1] - target[i - 1]) <= band * target[i - 1]:
+                if pos[i] and held[i] and abs(abs(n1[i - 1]) * p1[i - 1] + abs(n2[i - 1]) * p2[i - 1] - target[i - 1]) <= band * target[i - 1]:
                     n1[i], n2[i] = n1[i - 1], n2[i - 1]
             return pdf.assign(n1=n1, n2=n2)
 
         df = df.groupBy(*keys).applyInPandas(work, schema)
-    df = df.where((F.col("P1") > 0) & (F.col("P2") > 0))
+    df = df.where(_priced(F.col("P1")) & _priced(F.col("P2")))
+    df = df.withColumns({"entry": (F.col("pos") != 0) & (F.col("pos") != prev), "exit": (prev != 0) & (F.col("pos") != prev)})
+    df = df.withColumn("trade_id", F.sum(F.col("entry").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     d = lambda c, start: F.coalesce(F.col(c) - F.lag(c).over(w), start)
     df = df.withColumns({"dn1": d("n1", F.col("n1")), "dn2": d("n2", F.col("n2")), "pnl_price": F.col("n1") * d("P1", F.lit(0.0)) + F.col("n2") * d("P2", F.lit(0.0))})
     short = F.greatest(-F.col("n1"), F.lit(0.0)) * F.col("P1") + F.greatest(-F.col("n2"), F.lit(0.0)) * F.col("P2")
@@ -233,7 +260,7 @@ def book(df: DataFrame, keys: list[str], reset: str = "daily", band: float = 0.1
     df = df.withColumn("cost", (cost_bps[0] * F.col("traded_notional_1") + cost_bps[1] * F.col("traded_notional_2")) / 1e4)
     df = df.withColumns({"pnl": F.col("pnl_price") - F.col("cost") - F.col("borrow") + F.col("dividends"), "gross_notional": F.col("notional_1") + F.col("notional_2")})
     shown = ["pos", "n1", "n2", "dn1", "dn2", "pnl_price", "cost", "borrow", "dividends", "pnl", "traded_notional_1", "traded_notional_2", "notional_1", "notional_2", "gross_notional", "net_notional", "entry", "exit", "resize", "trade_id"]
-    return df.select(*keys, ts, *shown)
+    return df.select(*keys, ts, "P1", "P2", *shown)
 
 
 # ------------------------------------------------------------------ circuit breaker
@@ -247,19 +274,27 @@ class Breaker:
     max_drawdown_pct: float | None = None
     drawdown_window: int = 63
     halt_bars: int = 21
-    capital_base: float = 10_000.0
+    #: None: that of the ledger.
+    capital_base: float | None = 10_000.0
+
+    def __post_init__(self):
+        if self.z_halt is not None and self.z_halt <= 0 or self.max_drawdown_pct is not None and not 0 < self.max_drawdown_pct <= 1:
+            raise ValueError("z_halt must be positive, max_drawdown_pct between 0 and 1")
+        if self.halt_bars < 1 or self.cooldown < 0 or self.drawdown_window < 1:
+            raise ValueError("halt_bars and drawdown_window must be 1 or more, cooldown 0 or more")
 
 
 def z_halts(df: DataFrame, keys: list[str], b: Breaker, ts: str = "ts") -> DataFrame:
     """df (keys, ts, z) plus halted: from a bar with |z| above the limit for cooldown + 1 bars, and on while |z| stays at re-entry or more."""
     w = Window.partitionBy(*keys).orderBy(ts)
-    trigger = F.coalesce(F.abs("z") > b.z_halt, F.lit(False))
+    z = F.abs(F.when(~F.isnan("z"), F.col("z")))  # a NaN neither trips nor holds a halt
+    trigger = F.coalesce(z > b.z_halt, F.lit(False))
     base = F.coalesce(F.max(trigger.cast("int")).over(w.rowsBetween(-b.cooldown, 0)) == 1, F.lit(False))
     df = df.withColumn("halted", base)
     if b.z_reentry is None:
         return df
     # runs of |z| >= z_reentry: a run goes on being halted if it is halted anywhere before, or follows a halted bar at once
-    high = F.coalesce(F.abs("z") >= b.z_reentry, F.lit(False))
+    high = F.coalesce(z >= b.z_reentry, F.lit(False))
     df = df.withColumns({"_high": high, "_before": F.coalesce(F.lag("halted").over(w), F.lit(False))})
     df = df.withColumn("_run", F.sum(F.when(F.col("_high"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     r = Window.partitionBy(*keys, "_run", "_high").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
@@ -269,12 +304,17 @@ def z_halts(df: DataFrame, keys: list[str], b: Breaker, ts: str = "ts") -> DataF
 
 def drawdown_halts(ledger: DataFrame, keys: list[str], b: Breaker, ts: str = "ts") -> DataFrame:
     """ledger (keys, ts, equity, ...) plus halted: halt_bars bars from one where equity is below its rolling peak by more than the limit."""
+    df = drawdown_trips(ledger, keys, b, ts)
     w = Window.partitionBy(*keys).orderBy(ts)
-    dip = (F.col("equity") - F.max("equity").over(rows(w, b.drawdown_window))) / b.capital_base
-    df = ledger.withColumn("_trip", (dip < -b.max_drawdown_pct).cast("int"))
     return df.withColumn("halted", F.coalesce(F.max("_trip").over(rows(w, b.halt_bars)) == 1, F.lit(False))).drop("_trip")
 
 
+def drawdown_trips(ledger: DataFrame, keys: list[str], b: Breaker, ts: str) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(ts)
+    dip = (F.col("equity") - F.max("equity").over(rows(w, b.drawdown_window))) / (F.col("capital_base") if b.capital_base is None else b.capital_base)
+    return ledger.withColumn("_trip", (dip < -b.max_drawdown_pct).cast("int"))
+
+
 def patched(signals: DataFrame, halted: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """signals with pos, n1, n2 flat on halted bars; the flags stay."""
     on = [*keys, ts]
@@ -290,6 +330,49 @@ def spans(df: DataFrame, keys: list[str], flag: str, ts: str = "ts") -> DataFram
     return runs.groupBy(*keys, "_run").agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count("*").alias("bars")).drop("_run")
 
 
+def apply_breaker(signals: DataFrame, prices: DataFrame, keys: list[str], b: Breaker, costs: Costs = Costs(), ts: str = "ts") -> tuple[DataFrame, DataFrame]:
+    """signals (keys, ts, z, pos, n1, n2, ...) through both halts -> (signals that are flat on halted bars, the audit table).
+
+    The drawdown is that of a shadow ledger of the signals as they were. A bar is halted if either rule halts it; flags of the
+    decisions stay. The audit has a row for each run of halted bars: trigger_type (z_halt, drawdown or both, by its first bar),
+    z_at_trigger, dd_pct_at_trigger (the shadow ledger's), halt_start, halt_end, n_halted_bars. A pair that is always flat is left
+    as it is, and so is everything without limits.
+    """
+    on, w = [*keys, ts], Window.partitionBy(*keys).orderBy(ts)
+    df = signals.withColumn("_active", F.max(F.abs("pos")).over(Window.partitionBy(*keys)) > 0)
+    no = F.lit(False)
+    if b.z_halt is not None:
+        df = z_halts(df, keys, b, ts).withColumnRenamed("halted", "_z")
+    if b.max_drawdown_pct is not None:
+        shadow = daily_ledger(prices, signals, keys, costs if b.capital_base is None else replace(costs, capital_base=b.capital_base), ts)
+        halts = drawdown_halts_on(signals.select(*on).join(shadow, on, "left"), keys, b, ts)
+        df = df.join(halts.select(*on, F.col("halted").alias("_dd"), F.col("drawdown_pct").alias("_dd_pct")), on, "left")
+    for c, empty in (("_z", no), ("_dd", no), ("_dd_pct", F.lit(None).cast("double"))):
+        df = df if c in df.columns else df.withColumn(c, empty)
+    df = df.withColumn("halted", F.col("_active") & (F.coalesce("_z", no) | F.coalesce("_dd", no)))
+    flat = {c: F.when(F.col("halted"), F.lit(0).cast(t)).otherwise(F.col(c)) for c, t in (("pos", "int"), ("n1", "double"), ("n2", "double"))}
+    patched_ = df.withColumns(flat).select(*signals.columns, "halted")
+    new = F.col("halted") & ~F.coalesce(F.lag("halted").over(w), no)
+    runs = df.withColumn("_run", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("halted")
+    first = lambda c: F.min_by(c, ts)
+    z = F.abs(F.when(~F.isnan("z"), F.col("z"))) if "z" in signals.columns else F.lit(None).cast("double")
+    audit = runs.withColumn("_abs_z", z).groupBy(*keys, "_run").agg(first(F.coalesce("_z", no)).alias("a"), first(F.coalesce("_dd", no)).alias("d"), first("_abs_z").alias("_abs_z"), first("_dd_pct").alias("_dd_pct"), F.min(ts).alias("halt_start"), F.max(ts).alias("halt_end"), F.count("*").alias("n_halted_bars"))
+    kind = F.when(F.col("a") & F.col("d"), "both").when(F.col("d"), "drawdown").otherwise("z_halt")
+    audit = audit.withColumn("trigger_type", kind)
+    return patched_, audit.select(
+        *keys, "trigger_type", F.when(F.col("trigger_type") != "drawdown", F.col("_abs_z")).alias("z_at_trigger"), F.when(F.col("trigger_type") != "z_halt", F.col("_dd_pct")).alias("dd_pct_at_trigger"), "halt_start", "halt_end", "n_halted_bars",
+    )
+
+
+def drawdown_halts_on(ledger: DataFrame, keys: list[str], b: Breaker, ts: str = "ts") -> DataFrame:
+    """drawdown_halts() on bars some of which aren't in the ledger: their equity is null, they trip nothing, and the rolling peak is over
+    the ledger's own bars."""
+    there = drawdown_trips(ledger.where("equity is not null"), keys, b, ts).select(*keys, ts, "_trip")
+    w = Window.partitionBy(*keys).orderBy(ts)
+    df = ledger.join(there, [*keys, ts], "left")
+    return df.withColumn("halted", F.coalesce(F.max("_trip").over(rows(w, b.halt_bars)) == 1, F.lit(False))).drop("_trip")
+
+
 # ------------------------------------------------------------------ spread accounting
 
 

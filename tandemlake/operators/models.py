@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from statistics import NormalDist
 
 import numpy as np
@@ -16,20 +16,24 @@ from pyspark.sql import functions as F
 from .stats import benjamini_hochberg
 
 # ------------------------------------------------------------------ fixed values, from the published tables
-#: MacKinnon's surfaces with a constant: switch, lower and upper bound, small-p and large-p polynomials.
+#: MacKinnon's surfaces by deterministic part and number of series: switch, lower and upper bound, small-p and large-p polynomials.
 MACKINNON = {
-    1: (-1.61, -18.83, 2.74, (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)),
-    2: (-2.62, -18.86, 0.92, (2.92, 1.5012, 0.039796), (2.1945, 0.64695, -0.29198, -0.042377)),
+    ("n", 1): (-1.04, -19.04, math.inf, (0.6344, 1.2378, 0.032496), (0.4797, 0.93557, -0.06999, 0.033066)),
+    ("n", 2): (-1.53, -19.62, 1.51, (1.9129, 1.3857, 0.035322), (1.5578, 0.8558, -0.2083, -0.033549)),
+    ("c", 1): (-1.61, -18.83, 2.74, (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)),
+    ("c", 2): (-2.62, -18.86, 0.92, (2.92, 1.5012, 0.039796), (2.1945, 0.64695, -0.29198, -0.042377)),
+    ("ct", 1): (-2.89, -16.18, 0.7, (3.2512, 1.6047, 0.049588), (2.5261, 0.61654, -0.37956, -0.060285)),
+    ("ct", 2): (-3.19, -21.15, 0.63, (3.6646, 1.5419, 0.036448), (2.85, 0.5272, -0.36622, -0.051695)),
 }
-#: Two series, a constant: 90, 95 and 99 % for rank 0 and 1.
-JOHANSEN_TRACE = ((13.4294, 15.4943, 19.9349), (2.7055, 3.8415, 6.6349))
-JOHANSEN_MAXEIG = ((12.2971, 14.2639, 18.5200), (2.7055, 3.8415, 6.6349))
+#: Two series, by order of the deterministic part: 90, 95 and 99 % for rank 0 and 1.
+JOHANSEN_TRACE = {-1: ((10.4741, 12.3212, 16.3640), (2.9762, 4.1296, 6.9406)), 0: ((13.4294, 15.4943, 19.9349), (2.7055, 3.8415, 6.6349)), 1: ((16.1619, 18.3985, 23.1485), (2.7055, 3.8415, 6.6349))}
+JOHANSEN_MAXEIG = {-1: ((9.4748, 11.2246, 15.0923), (2.9762, 4.1296, 6.9406)), 0: ((12.2971, 14.2639, 18.5200), (2.7055, 3.8415, 6.6349)), 1: ((15.0006, 17.1481, 21.7465), (2.7055, 3.8415, 6.6349))}
 #: 10, 5, 2.5 and 1 %.
 KPSS_CRITICAL = {"c": (0.347, 0.463, 0.574, 0.739), "ct": (0.119, 0.146, 0.176, 0.216)}
 
 
-def mackinnon_p(stat: float, n: int = 1) -> float:
-    switch, low, high, small, large = MACKINNON[n]
+def mackinnon_p(stat: float, n: int = 1, trend: str = "c") -> float:
+    switch, low, high, small, large = MACKINNON[trend, n]
     if stat <= low:
         return 0.0
     if stat >= high:
@@ -60,36 +64,43 @@ def adf(x: np.ndarray, constant: bool = True, max_lag: int | None = None, autola
     lag = max_lag
     if autolag:
         y, full = design(max_lag, max_lag)
-        best = math.inf
-        for k in range(max_lag + 1):
-            use = full[:, [*range(k + 1), *range(max_lag + 1, full.shape[1])]]
-            _, ssr = _ols(y, use)
-            aic = len(y) * math.log(max(ssr, 1e-300) / len(y)) + 2 * use.shape[1]
-            if aic < best:
-                best, lag = aic, k
+        # one QR decomposition serves all lags: with the constants and the level first, lag k adds a column
+        q = np.linalg.qr(np.column_stack([full[:, max_lag + 1 :], full[:, : max_lag + 1]]))[0]
+        ssr = y @ y - np.cumsum((q.T @ y) ** 2)[trend:]
+        aic = len(y) * np.log(np.maximum(ssr, 1e-300) / len(y)) + 2 * (np.arange(max_lag + 1) + 1 + trend)
+        lag = int(np.argmin(aic))
     y, z = design(lag, lag)
     b, ssr = _ols(y, z)
     var = ssr / (len(y) - z.shape[1]) * np.linalg.pinv(z.T @ z)[0, 0]
     return (b[0] / math.sqrt(var) if var > 0 else -math.inf), lag
 
 
-def engle_granger(y: np.ndarray, x: np.ndarray, max_lag: int | None = None, autolag: bool = True) -> tuple[float, float]:
-    """t and p of no cointegration, from the residual of y on x; a near-perfect fit counts as minus infinity."""
-    z = np.column_stack([x, np.ones(len(x))])
+#: A residual of no more than this share of the variation counts as a perfect fit.
+PERFECT = 100 * np.finfo(float).eps ** 0.5
+
+
+def engle_granger(y: np.ndarray, x: np.ndarray, max_lag: int | None = None, autolag: bool = True, trend: str = "c") -> tuple[float, float]:
+    """t and p of no cointegration, from the residual of y on x and the trend (n, c or ct); a near-perfect fit counts as minus infinity."""
+    n = len(x)
+    z = np.column_stack([x, *([np.ones(n)] if trend != "n" else []), *([np.arange(1.0, n + 1)] if trend == "ct" else [])])
     b, ssr = _ols(y, z)
-    if ssr <= 1e-15 * max(((y - y.mean()) ** 2).sum(), 1e-300):
+    if ssr <= PERFECT * ((y - (y.mean() if trend != "n" else 0)) ** 2).sum():
         return -math.inf, 0.0
     t, _ = adf(y - z @ b, constant=False, max_lag=max_lag, autolag=autolag)
-    return t, mackinnon_p(t, 2)
+    return t, mackinnon_p(t, 2, trend)
 
 
-def johansen(x: np.ndarray, lags: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Trace and largest-eigenvalue statistics by rank, with a constant and `lags` lagged differences."""
-    x = x - x.mean(axis=0)
+def johansen(x: np.ndarray, lags: int = 1, det_order: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Trace and largest-eigenvalue statistics by rank, with `lags` lagged differences and a constant (det_order 0), a linear trend (1) or neither (-1)."""
+    if det_order == 1:
+        t = np.column_stack([np.linspace(-1, 1, len(x)), np.ones(len(x))])
+        x = x - t @ np.linalg.lstsq(t, x, rcond=None)[0]
+    elif not det_order:
+        x = x - x.mean(axis=0)
     d = np.diff(x, axis=0)
     rows = np.arange(lags, len(d))
     z = np.column_stack([d[rows - i] for i in range(1, lags + 1)]) if lags else np.empty((len(rows), 0))
-    demean = lambda m: m - m.mean(axis=0) if m.shape[1] else m
+    demean = lambda m: m - m.mean(axis=0) if m.shape[1] and det_order > -1 else m
     z, r0, rk = demean(z), demean(d[rows]), demean(x[1 : len(x) - lags] if lags else x[:-1])
     if z.shape[1]:
         r0, rk = (m - z @ np.linalg.lstsq(z, m, rcond=None)[0] for m in (r0, rk))
@@ -116,49 +127,122 @@ def kpss(x: np.ndarray, trend: str = "c") -> tuple[float, float]:
     return float(stat), float(np.interp(stat, crit, (0.10, 0.05, 0.025, 0.01)))
 
 
-def dual_gate(y: np.ndarray, x: np.ndarray, alpha_eg: float, alpha_joh: float, stat: str = "trace") -> tuple[float, float, float, bool]:
-    """Engle-Granger t and p, Johansen's statistic and whether it passes; fewer than 50 rows pass nothing."""
-    if len(y) < 50:
-        return 0.0, math.nan, math.nan, False
-    t, p = engle_granger(y, x)
-    try:
-        trace, top = johansen(np.column_stack([y, x]))
-    except np.linalg.LinAlgError:
-        return t, p, math.nan, False
-    value, table = (trace[0], JOHANSEN_TRACE) if stat == "trace" else (top[0], JOHANSEN_MAXEIG)
-    column = 2 if alpha_joh <= 0.01 else 1 if alpha_joh <= 0.05 else 0
-    return t, p, float(value), bool(value > table[0][column])
+@dataclass(frozen=True)
+class Gate:
+    """How a pair is tested: both gates, or one of them (method eg or johansen)."""
+
+    alpha_eg: float = 0.05
+    alpha_joh: float = 0.05
+    trend: str = "c"
+    max_lag: int | None = None
+    autolag: bool = True
+    det_order: int = 0
+    lag_diffs: int = 1
+    stat: str = "trace"
+    method: str = "both"
 
+    def __post_init__(self):
+        if self.trend not in ("n", "c", "ct") or self.det_order not in (-1, 0, 1) or self.stat not in ("trace", "maxeig") or self.method not in ("both", "eg", "johansen"):
+            raise ValueError("trend must be n, c or ct, det_order -1, 0 or 1, stat trace or maxeig, method both, eg or johansen")
 
-def screen(bars: DataFrame, alpha_eg: float = 0.05, alpha_joh: float = 0.05, fdr: bool = True, fdr_alpha: float = 0.05, stat: str = "trace", price: str = "px", ts: str = "d", partitions: int = 64) -> DataFrame:
-    """Every pair t1 < t2 through both tests: t1, t2, eg_t, eg_p, eg_p_fdr, eg_pass, joh_stat, joh_pass, verdict.
 
-    Each ticker is packed to one row (dates and prices); pairs of packed rows are dealt over the tasks, so a series crosses
-    the network once for each of its pairs and never row by row. The raw gate is below alpha, the adjusted one at most.
+def critical_column(alpha: float) -> int:
+    return 2 if alpha <= 0.01 else 1 if alpha <= 0.05 else 0 if alpha <= 0.10 else 1
+
+
+def dual_gate(y: np.ndarray, x: np.ndarray, gate: Gate = Gate()) -> tuple[float, float, float, bool]:
+    """Engle-Granger t and p, Johansen's statistic and whether it passes; fewer than 50 rows give (0, NaN, 0) and pass nothing."""
+    if len(y) < 50:
+        return 0.0, math.nan, 0.0, False
+    t, p, value, passes = 0.0, math.nan, 0.0, False
+    if gate.method != "johansen":
+        t, p = engle_granger(y, x, gate.max_lag, gate.autolag, gate.trend)
+    if gate.method != "eg":
+        try:
+            trace, top = johansen(np.column_stack([y, x]), gate.lag_diffs, gate.det_order)
+        except np.linalg.LinAlgError:
+            return t, p, math.nan, False
+        value, table = (trace[0], JOHANSEN_TRACE) if gate.stat == "trace" else (top[0], JOHANSEN_MAXEIG)
+        passes = value > table[gate.det_order][0][critical_column(gate.alpha_joh)]
+    return t, p, float(value), bool(passes)
+
+
+def pair_tests(bars: DataFrame, gate: Gate = Gate(), price: str = "px", ts: str = "d", group: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """Every pair t1 < t2 (of each group: a formation's window) through the gate: t1, t2, eg_t, eg_p, joh_stat, joh_pass.
+
+    Both legs must have the first and the last day of their group's bars and 50 days in common. Each ticker is packed to one row
+    (dates and prices); pairs of packed rows are dealt over the tasks, so a series crosses the network once for each of its
+    pairs and never row by row.
     """
-    packed = bars.where(F.col(price).isNotNull()).groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct(F.unix_date(F.col(ts).cast("date")).alias("t"), F.col(price).cast("double").alias("p")))).alias("s"))
-    packed = packed.select("ticker", F.col("s.t").alias("t"), F.col("s.p").alias("p"))
-    a, b = packed.select(*(F.col(c).alias(f"{c}1") for c in packed.columns)), packed.select(*(F.col(c).alias(f"{c}2") for c in packed.columns))
-    pairs = a.join(b, F.col("ticker1") < F.col("ticker2")).repartition(partitions, "ticker1", "ticker2")
+    group = group or []
+    ok = bars.where(F.col(price).isNotNull()).withColumn("_t", F.unix_date(F.col(ts).cast("date")))
+    packed = ok.groupBy(*group, "ticker").agg(F.array_sort(F.collect_list(F.struct(F.col("_t").alias("t"), F.col(price).cast("double").alias("p")))).alias("s"))
+    packed = packed.select(*group, "ticker", F.col("s.t").alias("t"), F.col("s.p").alias("p"))
+    ends = bars.groupBy(*group).agg(F.min(F.unix_date(F.col(ts).cast("date"))).alias("lo"), F.max(F.unix_date(F.col(ts).cast("date"))).alias("hi"))
+    a = packed.select(*group, *(F.col(c).alias(f"{c}1") for c in ("ticker", "t", "p")))
+    b = packed.select(*(F.col(c).alias(f"_{c}") for c in group), *(F.col(c).alias(f"{c}2") for c in ("ticker", "t", "p")))
+    on = F.col("ticker1") < F.col("ticker2")
+    for c in group:
+        on &= F.col(c) == F.col(f"_{c}")
+    pairs = a.join(b, on).drop(*(f"_{c}" for c in group))
+    pairs = pairs.join(ends, group) if group else pairs.crossJoin(F.broadcast(ends))  # one row
+    n = partitions or 2 * bars.sparkSession.sparkContext.defaultParallelism
+    pairs = pairs.select(*group, "ticker1", "ticker2", "t1", "p1", "t2", "p2", "lo", "hi").repartition(n, *group, "ticker1", "ticker2")
+    k = len(group)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                t1, t2 = np.array(r["t1"]), np.array(r["t2"])
-                _, i, j = np.intersect1d(t1, t2, return_indices=True)
-                whole = len(i) and t1[0] == t2[0] and t1[-1] == t2[-1]
-                y, x = np.array(r["p1"])[i], np.array(r["p2"])[j]
-                out.append((r["ticker1"], r["ticker2"], *(dual_gate(y, x, alpha_eg, alpha_joh, stat) if whole else (0.0, math.nan, math.nan, False))))
-            columns = list(zip(*out)) or [[]] * 6
-            kinds = [pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
+            for t1, p1, t2, p2, lo, hi in zip(*(c.to_pylist() for c in batch.columns[k + 2 :])):
+                t1, t2 = np.array(t1), np.array(t2)
+                whole = t1[0] == t2[0] == lo and t1[-1] == t2[-1] == hi
+                _, i, j = np.intersect1d(t1, t2, assume_unique=True, return_indices=True)
+                out.append(dual_gate(np.array(p1)[i], np.array(p2)[j], gate) if whole else (0.0, math.nan, 0.0, False))
+            columns = list(zip(*out)) or [[]] * 4
+            kinds = [pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
             clean = [[None if isinstance(v, float) and math.isnan(v) else v for v in c] for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(clean, kinds)], ["t1", "t2", "eg_t", "eg_p", "joh_stat", "joh_pass"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: k + 2], *(pa.array(c, t) for c, t in zip(clean, kinds))], [*group, "t1", "t2", "eg_t", "eg_p", "joh_stat", "joh_pass"])
+
+    kinds = "".join(f"{c} {bars.schema[c].dataType.simpleString()}, " for c in group)
+    return pairs.mapInArrow(work, f"{kinds}t1 string, t2 string, eg_t double, eg_p double, joh_stat double, joh_pass boolean")
 
-    tests = pairs.mapInArrow(work, "t1 string, t2 string, eg_t double, eg_p double, joh_stat double, joh_pass boolean")
-    out = benjamini_hochberg(tests, "eg_p", fdr_alpha).withColumnRenamed("p_adj", "eg_p_fdr")
-    out = out.withColumn("eg_pass", F.col("reject") if fdr else F.coalesce(F.col("eg_p") < alpha_eg, F.lit(False)))
-    return out.withColumn("verdict", F.when(F.col("eg_pass") & F.col("joh_pass"), "pass").otherwise("fail")).drop("reject")
+
+def screen(bars: DataFrame, gate: Gate = Gate(), fdr: bool = True, fdr_alpha: float | None = None, price: str = "px", ts: str = "d", group: list[str] | None = None, only_pass: bool = False, sort_by: str | None = None, partitions: int | None = None) -> DataFrame:
+    """Every pair through both tests: group, t1, t2, eg_t, eg_p, eg_p_fdr, eg_pass, joh_stat, joh_pass, verdict.
+
+    The raw gate is below alpha, the adjusted one (within each group) at most fdr_alpha. only_pass leaves the pairs that pass both;
+    sort_by (eg_p, which means the adjusted one under fdr, eg_t, joh_stat or any other column) orders them, see screen_order().
+    """
+    alpha = gate.alpha_eg if fdr_alpha is None else fdr_alpha
+    tests = pair_tests(bars, gate, price, ts, group, partitions)
+    if fdr:
+        out = benjamini_hochberg(tests, "eg_p", alpha, group).withColumnRenamed("p_adj", "eg_p_fdr").withColumn("eg_pass", F.col("reject")).drop("reject")
+    else:
+        out = tests.withColumn("eg_p_fdr", F.col("eg_p")).withColumn("eg_pass", F.coalesce(F.col("eg_p") < gate.alpha_eg, F.lit(False)))
+    out = out.withColumn("verdict", F.when(F.col("eg_pass") & F.col("joh_pass"), "pass").otherwise("fail"))
+    out = out.where("verdict = 'pass'") if only_pass else out
+    return screen_order(out, sort_by, fdr) if sort_by else out
+
+
+def screen_order(screen: DataFrame, sort_by: str = "eg_p", fdr: bool = True) -> DataFrame:
+    """Passes first, then by p from the least or by a statistic from the largest; any other column on its own from the least. Ties go by pair."""
+    by = "eg_p_fdr" if sort_by == "eg_p" and fdr else sort_by
+    if by in ("eg_p", "eg_p_fdr"):
+        order = [F.desc("verdict"), F.asc_nulls_last(by)]
+    elif by in ("eg_t", "joh_stat"):
+        order = [F.desc("verdict"), F.desc_nulls_last(by)]
+    else:
+        order = [F.asc_nulls_last(by)]
+    return screen.orderBy(*order, "t1", "t2")
+
+
+def score_table(bars: DataFrame, method: str = "eg", gate: Gate | None = None, **more) -> DataFrame:
+    """The matrices of scores and p-values of one test as a table: t1, t2, score, p (null for johansen), passes; the rest of a matrix is zero and null."""
+    gate = replace(gate or Gate(), method=method)
+    out = pair_tests(bars, gate, **more)
+    if method == "eg":
+        return out.select("t1", "t2", F.col("eg_t").alias("score"), F.col("eg_p").alias("p"), F.coalesce(F.col("eg_p") < gate.alpha_eg, F.lit(False)).alias("passes"))
+    return out.select("t1", "t2", F.col("joh_stat").alias("score"), F.lit(None).cast("double").alias("p"), F.col("joh_pass").alias("passes"))
 
 
 def stationarity(spreads: DataFrame, keys: list[str], ts: str, x: str = "resid", alpha: float = 0.05) -> DataFrame:
@@ -252,8 +336,16 @@ STATE = "alpha double, beta double, y_hat double, resid double"
 PARAMS = "q array<double>, r double, mean array<double>, cov array<double>"
 
 
-def fit_kalman(pairs: DataFrame, keys: list[str], ts: str, q: float = 1e-5, r: float = 1e-2, init_cov: float = 1e6, em_rounds: int = 0, mode: str = "filter") -> DataFrame:
-    """pairs (keys, ts, P1, P2) -> keys, ts, alpha, beta, y_hat, resid, and on the last bar of each pair its parameters. Fewer than 5 bars give nothing."""
+def fit_kalman(pairs: DataFrame, keys: list[str], ts: str, q: float = 1e-5, r: float = 1e-2, init_cov: float = 1e6, em_rounds: int = 0, mode: str = "filter", keep_prior: bool = False, full_span: bool = False) -> DataFrame:
+    """pairs (keys, ts, P1, P2) -> keys, ts, alpha, beta, y_hat, resid, and on the last bar of each pair its parameters. Fewer than 5 bars give nothing.
+
+    keep_prior: expectation maximisation estimates the noises alone, not the prior. full_span: only pairs that have the first and
+    the last bar of all pairs.
+    """
+    if full_span:
+        ends = pairs.agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+        mine = pairs.dropna(subset=["P1", "P2"]).groupBy(*keys).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b")).join(F.broadcast(ends), (F.col("_a") == F.col("_lo")) & (F.col("_b") == F.col("_hi")))
+        pairs = pairs.join(mine.select(*keys), keys, "left_semi")
     if min(q, r, init_cov) <= 0 or not all(map(math.isfinite, (q, r, init_cov))):
         raise ValueError("q, r and init_cov must be positive and finite")
     if mode not in ("filter", "smooth"):
@@ -268,7 +360,7 @@ def fit_kalman(pairs: DataFrame, keys: list[str], ts: str, q: float = 1e-5, r: f
             return pd.DataFrame(columns=columns)
         y, x = pdf["P1"].to_numpy(float), pdf["P2"].to_numpy(float)
         h = Hedge(np.eye(2) * q, r, np.zeros(2), np.eye(2) * init_cov)
-        h = kalman_em(y, x, h, em_rounds) if em_rounds else h
+        h = kalman_em(y, x, h, em_rounds, keep_prior) if em_rounds else h
         states = smooth(y, x, h) if mode == "smooth" else None
         filtered, _ = kalman_filter(y, x, h)
         return _states(pdf, keys, ts, filtered if states is None else states, y, x, h)[columns]
@@ -300,6 +392,77 @@ def continue_kalman(pairs: DataFrame, params: DataFrame, keys: list[str], ts: st
     return joined.groupBy(*keys).applyInPandas(work, schema)
 
 
+def coerce_state(state: object) -> tuple[np.ndarray, np.ndarray] | None:
+    """(mean, covariance) of a state that is given as a pair, as a mapping with mean and cov, as six numbers (mean, then the covariance
+    by rows), or as None (a diffuse prior)."""
+    if state is None:
+        return None
+    if isinstance(state, dict):
+        if not {"mean", "cov"} <= set(state):
+            raise ValueError("a state needs mean and cov")
+        state = (state["mean"], state["cov"])
+    if isinstance(state, np.ndarray) and state.shape == (6,):
+        state = (state[:2], state[2:])
+    if not isinstance(state, (tuple, list)) or len(state) != 2:
+        raise ValueError("a state is a pair of mean and covariance")
+    mean, cov = np.asarray(state[0], float).ravel(), np.asarray(state[1], float)
+    if mean.shape != (2,) or cov.size != 4 or not (np.isfinite(mean).all() and np.isfinite(cov).all()):
+        raise ValueError("the mean has two finite numbers, the covariance four")
+    return mean, cov.reshape(2, 2)
+
+
+def filter_on_new(y: np.ndarray, x: np.ndarray, q: np.ndarray, r: float, state: object = None, init_cov: float = 1e6) -> tuple[np.ndarray, Hedge]:
+    """Filtered (beta, alpha) of new bars from frozen noises. A given state is the posterior of the bar before and advances first; none is
+    diffuse and doesn't. Fewer than 5 bars are refused."""
+    if len(y) < 5:
+        raise ValueError("need 5 bars or more")
+    known = coerce_state(state)
+    mean, cov = known or (np.zeros(2), np.eye(2) * init_cov)
+    h = Hedge(np.asarray(q, float).reshape(2, 2), float(r), mean, cov)
+    return kalman_filter(np.asarray(y, float), np.asarray(x, float), h, continued=known is not None)[0], h
+
+
+def kalman_ahead(y: np.ndarray, x: np.ndarray, train: int, alpha: float = 1e-5, momentum: bool = False, alpha_speed: float = 1e-6) -> np.ndarray:
+    """One-step-ahead (intercept, slope) of y on x by bar, from what was before the bar: a random walk, or with momentum a slope that
+    drifts by a third state. The prior is the least-squares fit of the first `train` bars, noises are shares of its residual's."""
+    y0, x0 = y[:train], x[:train]
+    slope = float((x0 - x0.mean()) @ (y0 - y0.mean()) / ((x0 - x0.mean()) ** 2).sum())
+    const = float((y0 - slope * x0).mean())
+    noise, var_x = float((y0 - const - slope * x0).var(ddof=1)), float(x0.var(ddof=1))
+    scale = np.array([noise, noise / var_x, noise / var_x])
+    m = 3 if momentum else 2
+    move = np.eye(m)
+    if momentum:
+        move[1, 2] = 1
+    state = np.array([const, slope, 0.0])[:m]
+    cov = np.zeros((m, m)) if momentum else np.diag(scale[:2] / train)
+    q = np.diag(np.array([alpha, alpha, alpha_speed])[:m] * scale[:m])
+    out = np.empty((len(y), 2))
+    for t in range(len(y)):
+        state, cov = move @ state, move @ cov @ move.T + q
+        out[t] = state[:2]
+        h = np.array([1.0, x[t], 0.0])[:m]
+        ph = cov @ h
+        gain = ph / (h @ ph + noise)
+        state, cov = state + gain * (y[t] - h @ state), cov - np.outer(gain, ph)
+    return out
+
+
+def fit_kalman_ahead(pairs: DataFrame, keys: list[str], ts: str, train: int, momentum: bool = False, alpha: float = 1e-5, alpha_speed: float = 1e-6) -> DataFrame:
+    """pairs (keys, ts, P1, P2) -> keys, ts, mu, gamma known before each bar; pairs with no more than `train` bars give nothing."""
+    kind = lambda c: pairs.schema[c].dataType.simpleString()
+    schema = ", ".join(f"{c} {kind(c)}" for c in (*keys, ts)) + ", mu double, gamma double"
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna().sort_values(ts, kind="stable")
+        if len(pdf) <= train:
+            return pd.DataFrame(columns=[*keys, ts, "mu", "gamma"])
+        got = kalman_ahead(pdf["P1"].to_numpy(float), pdf["P2"].to_numpy(float), train, alpha, momentum, alpha_speed)
+        return pdf[[*keys, ts]].assign(mu=got[:, 0], gamma=got[:, 1])
+
+    return pairs.select(*keys, ts, "P1", "P2").groupBy(*keys).applyInPandas(work, schema)
+
+
 # ------------------------------------------------------------------ time-varying cointegration
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import finite, full, median, rows
+from .stats import half_life, half_life_window
 
 SIGNAL_SCHEMA = "ts date, z double, pos int, n1 double, n2 double, entry boolean, exit boolean, stop boolean"
 
@@ -44,7 +45,8 @@ class SignalState:
 
 
 def step(state: SignalState, rule: SignalRule, z, p1, p2, beta, flat: bool = False, block: bool = False) -> tuple[int, float, float, bool, bool, bool]:
-    """One bar: the decision (pos, n1, n2, entry, exit, stop). A bar with an unusable input flattens silently and leaves the cooldown."""
+    """One bar: the decision (pos, n1, n2, entry, exit, stop); a stop is no exit. A bar with an unusable input flattens silently and
+    leaves the cooldown."""
     if any(v is None or not isfinite(v) for v in (z, p1, p2, beta)) or p1 <= 0 or p2 <= 0:
         state.pos = state.hold = 0
         return 0, 0.0, 0.0, False, False, False
@@ -71,7 +73,7 @@ def step(state: SignalState, rule: SignalRule, z, p1, p2, beta, flat: bool = Fal
         state.pos = state.hold = 0
         state.cooldown = rule.cooldown
     n1 = state.pos * rule.capital / (p1 + abs(beta) * p2)
-    return state.pos, n1, -beta * n1, entry, leave, stop
+    return state.pos, n1, -beta * n1, entry, leave and not stop, stop
 
 
 def delayed(state: SignalState, rule: SignalRule, decision: tuple, initial: tuple) -> tuple:
@@ -137,22 +139,56 @@ def ewm_z(values: np.ndarray, halflife: float) -> np.ndarray:
     return ((s - m.mean()) / sd.where(sd > 0)).replace([np.inf, -np.inf], np.nan).to_numpy()
 
 
-def z_by_pair(df: DataFrame, keys: list[str], ts: str, spread: str, window: str | None = None, method: str = "rolling", halflife: float = 10.0) -> DataFrame:
-    """df plus z where each pair has a window of its own (column `window`), or recursively weighted (method ewm)."""
+def _rolling(s: pd.Series, n: int) -> tuple[pd.Series, pd.Series]:
+    return s.rolling(n, min_periods=n).mean(), s.rolling(n, min_periods=n).std(ddof=0)
+
+
+def _robust(s: pd.Series, n: int) -> tuple[pd.Series, pd.Series]:
+    med = s.rolling(n, min_periods=n).median()
+    return med, 1.4826 * (s - med).abs().rolling(n, min_periods=n).median()
+
+
+def z_by_pair(df: DataFrame, keys: list[str], ts: str, spread: str, window: str | None = None, method: str = "rolling", halflife: str | float = 10.0) -> DataFrame:
+    """df plus z where each pair has a window (column `window`; method rolling or robust) or a half-life (a column or a number; ewm) of its own."""
+    if method not in ("rolling", "robust", "ewm"):
+        raise ValueError("method must be rolling, robust or ewm")
     schema = df.schema.simpleString()[7:-1].replace(":", " ")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ts, kind="stable")
         s = pdf[spread].astype(float)
         if method == "ewm":
-            return pdf.assign(z=ewm_z(s.to_numpy(), halflife))
-        n = int(pdf[window].iloc[0])
-        sd = s.rolling(n).std(ddof=0)
-        return pdf.assign(z=((s - s.rolling(n).mean()) / sd.where(sd > 0)).replace([np.inf, -np.inf], np.nan))
+            return pdf.assign(z=ewm_z(s.to_numpy(), float(pdf[halflife].iloc[0]) if isinstance(halflife, str) else halflife))
+        m, sd = (_rolling if method == "rolling" else _robust)(s, int(pdf[window].iloc[0]))
+        return pdf.assign(z=((s - m) / sd.where(sd > 0)).replace([np.inf, -np.inf], np.nan))
 
     return df.groupBy(*keys).applyInPandas(work, schema + ", z double").withColumn("z", finite("z"))
 
 
+def z_from_spread(df: DataFrame, keys: list[str], ts: str, spread: str, method: str = "rolling", window: int | None = None, halflife: float | None = None, history: DataFrame | None = None) -> DataFrame:
+    """df (keys, ts, spread, ...) plus z. Without a window (rolling, robust) three half-lives of the pair's spread are taken, 30 to
+    252 bars; without a half-life (ewm) its own, or 10 bars where it has none.
+
+    history (keys, ts, spread): what was before df. The look-back is then estimated from it alone, so that nothing of df chooses
+    its own look-back, and it warms up the statistics; only rows of df come out. It stands before df whatever its ts are.
+    """
+    ref = df if history is None else history
+    hl = half_life(ref.select(*keys, ts, spread), spread, keys, ts).select(*keys, "half_life")
+    look = hl.select(*keys, half_life_window(F.col("half_life")).alias("_n"), F.coalesce("half_life", F.lit(10.0)).alias("_hl"))
+    if window is not None:
+        look = look.withColumn("_n", F.lit(window))
+    if halflife is not None:
+        look = look.withColumn("_hl", F.lit(float(halflife)))
+    every = df.withColumn("_old", F.lit(0))
+    if history is not None:
+        every = every.unionByName(history.select(*keys, ts, spread).withColumn("_old", F.lit(1)), allowMissingColumns=True)
+    every = every.join(look, keys, "left").withColumns({"_n": F.coalesce("_n", F.lit(window or 30)), "_hl": F.coalesce("_hl", F.lit(float(halflife or 10.0)))})
+    every = every.withColumn("_place", F.struct((-F.col("_old")).alias("old"), F.col(ts).alias("ts")))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_place")).alias("_place")
+    got = z_by_pair(every.select(*keys, place, "_old", "_n", "_hl", *(c for c in df.columns if c not in keys)), keys, "_place", spread, "_n", method, "_hl")
+    return got.where("_old = 0").select(*df.columns, "z")
+
+
 def session_masks(df: DataFrame, keys: list[str], ts: str, exec_lag: int = 1, flatten: bool = True, cutoff_minute: int | None = None) -> DataFrame:
     """df plus force_flat (the last exec_lag bars of a session) and block_entry (those, and bars from cutoff_minute of the day on)."""
     session = F.to_date(ts)

@@ -154,23 +154,43 @@ def autocorr(df: DataFrame, keys: list[str], session: str, ts: str, every: list[
     return df.groupBy(*keys, "k").agg(F.corr("_d", "_d0").alias("autocorrelation"), F.count(F.col("_d") * F.col("_d0")).alias("n"))
 
 
+def half_life_by_interval(df: DataFrame, keys: list[str], session: str, ts: str, x: str, every: list[int]) -> DataFrame:
+    """keys, k, half_life in bars of df: AR(1) of each k-th bar of the sessions, k times its half-life; null where it doesn't revert."""
+    s = sampled(df, [*keys, session], ts, every)
+    return half_life(s, x, [*keys, "k"], ts).select(*keys, "k", (F.col("half_life") * F.col("k")).alias("half_life"))
+
+
 # ------------------------------------------------------------------ multiple testing
 
+RANGES = 64
+
 
 def benjamini_hochberg(df: DataFrame, p: str = "p", alpha: float = 0.05, group: list[str] | None = None) -> DataFrame:
     """df plus p_adj and reject: the step-up rule within each group (a screen's formation). A null p is not counted and never rejects.
 
-    Ranks are by value with ties alike, which leaves the adjusted values as they are.
+    Ranks are by value with ties alike, which leaves the adjusted values as they are. Without a group the distinct values are
+    dealt into ranges, and only a count and a minimum of each range meet: no task sees all rows.
     """
-    group = group or []
-    df = df.withColumn("_ok", F.col(p).isNotNull() & ~F.isnan(p))
-    part = Window.partitionBy(*group, "_ok")
-    order = part.orderBy(F.asc(p))
-    rank = F.row_number().over(order)
-    df = df.withColumn("_q", F.when(F.col("_ok"), F.col(p) * F.count("*").over(part) / rank))
-    adj = F.min("_q").over(order.rangeBetween(0, Window.unboundedFollowing))
-    df = df.withColumn("p_adj", F.when(F.col("_ok"), F.least(F.greatest(adj, F.lit(0.0)), F.lit(1.0))).otherwise(1.0))
-    return df.withColumn("reject", F.col("_ok") & (F.col("p_adj") <= alpha)).drop("_ok", "_q")
+    ok = F.col(p).isNotNull() & ~F.isnan(p)
+    values = df.where(ok).groupBy(*(group or []), p).agg(F.count("*").alias("_n"))
+    if group:
+        order = Window.partitionBy(*group).orderBy(p)
+        rank = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        values = values.withColumn("_q", F.col(p) * F.sum("_n").over(Window.partitionBy(*group)) / rank)
+        values = values.withColumn("_adj", F.min("_q").over(order.rowsBetween(0, Window.unboundedFollowing)))
+    else:
+        cuts = values.agg(F.percentile_approx(p, F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), F.lit(10_000)).alias("_cuts"))
+        values = values.crossJoin(F.broadcast(cuts)).withColumn("_r", F.size(F.filter("_cuts", lambda c: c < F.col(p)))).drop("_cuts")
+        ranges = Window.orderBy("_r")  # a row for each range
+        counts = values.groupBy("_r").agg(F.sum("_n").alias("_c"))
+        counts = counts.select("_r", F.coalesce(F.sum("_c").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_all"))
+        order = Window.partitionBy("_r").orderBy(p)
+        values = values.join(F.broadcast(counts), "_r").withColumn("_q", F.col(p) * F.col("_all") / (F.col("_before") + F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))))
+        least = values.groupBy("_r").agg(F.min("_q").alias("_m")).select("_r", F.min("_m").over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+        values = values.join(F.broadcast(least), "_r").withColumn("_adj", F.least(F.min("_q").over(order.rowsBetween(0, Window.unboundedFollowing)), F.col("_later")))
+    out = df.join(values.select(*(group or []), p, "_adj"), [*(group or []), p], "left")
+    out = out.withColumn("p_adj", F.when(ok, F.least(F.greatest("_adj", F.lit(0.0)), F.lit(1.0))).otherwise(1.0))
+    return out.withColumn("reject", ok & (F.col("p_adj") <= alpha)).select(*df.columns, "p_adj", "reject")
 
 
 def holm(df: DataFrame, p: str = "p", group: list[str] | None = None) -> DataFrame:

@@ -115,19 +115,20 @@ def robust_rolling_z(spark, sf):
 
 SIGNALS = f"""{W.Z}, s AS (SELECT t1, t2, d, P1, P2, beta, z, row_number() OVER (PARTITION BY t1, t2 ORDER BY d) AS i FROM zs),
 fold AS (
-  SELECT t1, t2, i, pos, hold, cool, CASE WHEN pos <> 0 THEN pos * 10000.0 / (P1 + abs(beta) * P2) ELSE 0.0 END AS n1, beta, CAST(NOT bad AND pos <> 0 AND was = 0 AS BOOLEAN) AS entry, CAST(NOT bad AND pos = 0 AND was <> 0 AS BOOLEAN) AS leave
+  SELECT t1, t2, i, pos, hold, cool, CASE WHEN pos <> 0 THEN pos * 10000.0 / (P1 + abs(beta) * P2) ELSE 0.0 END AS n1, beta, CAST(NOT bad AND pos <> 0 AND was = 0 AS BOOLEAN) AS entry, false AS leave, false AS stop
   FROM (SELECT *, CASE WHEN bad THEN 0 WHEN z <= -1.5 AND z > -4 THEN 1 WHEN z >= 1.5 AND z < 4 THEN -1 ELSE 0 END AS pos, CASE WHEN NOT bad AND abs(z) >= 1.5 AND abs(z) < 4 THEN 1 ELSE 0 END AS hold, 0 AS cool, 0 AS was
     FROM (SELECT *, z IS NULL AS bad FROM s WHERE i = 1))
   UNION ALL
   SELECT t1, t2, i, pos, CASE WHEN pos = 0 THEN 0 WHEN was = 0 THEN 1 ELSE h + 1 END, CASE WHEN NOT bad AND pos = 0 AND was <> 0 THEN 2 ELSE c END,
-    CASE WHEN pos <> 0 THEN pos * 10000.0 / (P1 + abs(beta) * P2) ELSE 0.0 END, beta, NOT bad AND pos <> 0 AND was = 0, NOT bad AND pos = 0 AND was <> 0
+    CASE WHEN pos <> 0 THEN pos * 10000.0 / (P1 + abs(beta) * P2) ELSE 0.0 END, beta, NOT bad AND pos <> 0 AND was = 0, NOT bad AND pos = 0 AND was <> 0 AND NOT stopped, NOT bad AND stopped
   FROM (SELECT *, CASE WHEN bad THEN 0
       WHEN was = 0 AND c = 0 AND z <= -1.5 AND z > -4 THEN 1 WHEN was = 0 AND c = 0 AND z >= 1.5 AND z < 4 THEN -1 WHEN was = 0 THEN 0
-      WHEN abs(z) <= 0.5 THEN 0 WHEN was = 1 AND z <= -4 THEN 0 WHEN was = -1 AND z >= 4 THEN 0 WHEN h + 1 >= 12 THEN 0 ELSE was END AS pos
-    FROM (SELECT s.*, s.z IS NULL AS bad, fold.pos AS was, fold.hold AS h, CASE WHEN s.z IS NULL THEN fold.cool ELSE greatest(fold.cool - 1, 0) END AS c
+      WHEN abs(z) <= 0.5 THEN 0 WHEN stopped THEN 0 WHEN h + 1 >= 12 THEN 0 ELSE was END AS pos
+    FROM (SELECT s.*, s.z IS NULL AS bad, fold.pos AS was, fold.hold AS h, CASE WHEN s.z IS NULL THEN fold.cool ELSE greatest(fold.cool - 1, 0) END AS c,
+        coalesce((fold.pos = 1 AND s.z <= -4) OR (fold.pos = -1 AND s.z >= 4), false) AS stopped
       FROM fold JOIN s ON s.t1 = fold.t1 AND s.t2 = fold.t2 AND s.i = fold.i + 1)))
 , sig AS (SELECT s.t1, s.t2, s.d, s.P1, s.P2, s.beta, s.z, coalesce(lag(pos) OVER w, 0) AS pos, round(coalesce(lag(n1) OVER w, 0), 9) AS n1, round(coalesce(lag(-f.beta * n1) OVER w, 0), 9) AS n2,
-  coalesce(lag(entry) OVER w, false) AS entry, coalesce(lag(leave) OVER w, false) AS leave
+  coalesce(lag(entry) OVER w, false) AS entry, coalesce(lag(leave) OVER w, false) AS leave, coalesce(lag(stop) OVER w, false) AS stop
   FROM s JOIN fold f USING (t1, t2, i) WINDOW w AS (PARTITION BY s.t1, s.t2 ORDER BY s.d))"""
 RULE = G.SignalRule(z_entry=1.5, z_exit=0.5, z_stop=4.0, max_hold=12, cooldown=2, exec_lag=1)
 COSTS = L.Costs(cost_bps=5, fee_1=0.001, fee_2=0.002, borrow_bps=50, adv_1=50_000.0, adv_2=80_000.0, impact_window=26, periods_per_year=52)
@@ -138,9 +139,9 @@ def _signals(spark, sf):
     return s.withColumns({c: F.round(c, 9) for c in ("n1", "n2")})
 
 
-@query(f"WITH RECURSIVE {SIGNALS} SELECT t1, t2, d, z, pos, n1, n2, entry, leave AS exit FROM sig", dates="d")
+@query(f"WITH RECURSIVE {SIGNALS} SELECT t1, t2, d, z, pos, n1, n2, entry, leave AS exit, stop FROM sig", dates="d")
 def pair_signals(spark, sf):
-    return _signals(spark, sf).select(*PAIR, "d", "z", "pos", "n1", "n2", "entry", "exit")
+    return _signals(spark, sf).select(*PAIR, "d", "z", "pos", "n1", "n2", "entry", "exit", "stop")
 
 
 LEDGER = f"""{SIGNALS}, l0 AS (SELECT *, coalesce(lag(n1) OVER w, 0) AS m1, coalesce(lag(n2) OVER w, 0) AS m2, coalesce(P1 - lag(P1) OVER w, 0) AS dP1, coalesce(P2 - lag(P2) OVER w, 0) AS dP2,
@@ -333,9 +334,12 @@ def five_minute_bars(spark, sf):
     return K.k_minute(_grid(spark, sf), 5)
 
 
-SESSIONS = f"""{W.GRID}, c AS (SELECT *, close - lag(close) OVER (PARTITION BY ticker, session ORDER BY minute) AS d1 FROM grid), c2 AS (SELECT *, lag(d1) OVER (PARTITION BY ticker, session ORDER BY minute) AS d0 FROM c),
-sb AS (SELECT ticker, session, arg_min(close, minute) FILTER (traded = 1) AS open, arg_max(close, minute) FILTER (close IS NOT NULL) AS close, CAST(sum(volume) AS BIGINT) AS volume, sum(print * volume) AS dollar_volume, CAST(sum(traded) AS BIGINT) AS n_traded, count(*) AS n_bars,
-  CASE WHEN avg(d1 * d0) - avg(d1) * avg(d0) < 0 AND count(d1 * d0) >= 30 THEN 2 * sqrt(-(avg(d1 * d0) - avg(d1) * avg(d0))) / avg(close) * 1e4 END AS roll FROM c2 GROUP BY ALL)"""
+#: Roll's spread from the minutes with a print of their own, each mean over its own values.
+SESSIONS = f"""{W.GRID}, c AS (SELECT ticker, session, minute, print, print - lag(print) OVER (PARTITION BY ticker, session ORDER BY minute) AS d1 FROM grid WHERE print IS NOT NULL),
+c2 AS (SELECT *, lag(d1) OVER (PARTITION BY ticker, session ORDER BY minute) AS d0 FROM c),
+ro AS (SELECT ticker, session, CASE WHEN avg(d1 * d0) - avg(d1) * avg(d0) < 0 AND count(d1 * d0) >= 30 THEN 2 * sqrt(-(avg(d1 * d0) - avg(d1) * avg(d0))) / avg(print) * 1e4 END AS roll FROM c2 GROUP BY ALL),
+sb AS (SELECT ticker, session, arg_min(print, minute) FILTER (print IS NOT NULL) AS open, arg_max(close, minute) FILTER (close IS NOT NULL) AS close, CAST(sum(volume) AS BIGINT) AS volume, sum(coalesce(print * volume, 0)) AS dollar_volume,
+  CAST(sum(traded) AS BIGINT) AS n_traded, count(*) AS n_bars, any_value(roll) AS roll FROM grid LEFT JOIN ro USING (ticker, session) GROUP BY ALL)"""
 
 
 @query(f"WITH {SESSIONS} SELECT ticker, session, open, close, volume, round(dollar_volume, 4) AS dollar_volume, n_traded, n_bars, round(roll, 4) AS roll_spread_bps FROM sb WHERE close IS NOT NULL", dates="session")
@@ -601,13 +605,15 @@ def top_by_year(spark, sf):
     return V.top_by(b, ["y"], [F.desc("dollar_volume"), "ticker", "d"], 5).select("y", F.col("rank").cast("long").alias("rank"), "ticker", "d", "dollar_volume")
 
 
-@query(f"""WITH {W.BARS}, c AS (SELECT year(d) AS formation, ticker, round(avg(volume) / 10, 4) AS bps FROM bars GROUP BY ALL HAVING count(*) >= 52), t AS (SELECT DISTINCT ticker FROM bars), p AS (SELECT a.ticker AS t1, b.ticker AS t2, y AS formation FROM t a JOIN t b ON a.ticker < b.ticker, (SELECT CAST(unnest([1993, 1995, 2020]) AS BIGINT) AS y))
+@query(f"""WITH {W.BARS}, c AS (SELECT year(d) AS formation, ticker, round(avg(volume) / 10, 4) AS bps FROM bars GROUP BY ALL HAVING count(*) >= 52), t AS (SELECT DISTINCT ticker FROM bars), y AS (SELECT DISTINCT year(d) AS y FROM bars UNION SELECT max(year(d)) + 1 FROM bars), p AS (SELECT a.ticker AS t1, b.ticker AS t2, y AS formation FROM t a JOIN t b ON a.ticker < b.ticker, y)
 SELECT p.formation, p.t1, p.t2, round(CASE WHEN x.bps IS NOT NULL AND z.bps IS NOT NULL THEN (2 * x.bps + z.bps) / 3 ELSE coalesce(x.bps, z.bps, 5) END, 5) AS bps FROM p LEFT JOIN c x ON x.formation = p.formation AND x.ticker = p.t1 LEFT JOIN c z ON z.formation = p.formation AND z.ticker = p.t2""")
 def pair_fold_costs(spark, sf):
     b = W.bars(spark, sf)
     c = b.groupBy(F.year("d").cast("long").alias("formation"), "ticker").agg(F.round(F.avg("volume") / 10, 4).alias("bps"), F.count("*").alias("bars")).where("bars >= 52").drop("bars")
     t = b.select("ticker").distinct()
-    p = t.select(F.col("ticker").alias("t1")).join(t.select(F.col("ticker").alias("t2")), F.col("t1") < F.col("t2")).withColumn("formation", F.explode(F.array(*(F.lit(y).cast("long") for y in (1993, 1995, 2020))))).withColumns({"w1": F.lit(2.0), "w2": F.lit(1.0)})
+    years = b.select(F.year("d").cast("long").alias("formation")).distinct()
+    years = years.unionByName(years.agg((F.max("formation") + 1).alias("formation")))  # the last one has no measured costs
+    p = t.select(F.col("ticker").alias("t1")).join(t.select(F.col("ticker").alias("t2")), F.col("t1") < F.col("t2")).crossJoin(years).withColumns({"w1": F.lit(2.0), "w2": F.lit(1.0)})
     return P.pair_costs(p, c, 5.0).select("formation", *PAIR, F.round("bps", 5).alias("bps"))
 
 
@@ -630,7 +636,7 @@ def _monthly(spark, sf):
 
 @query(dates="")
 def dual_gate_screen(spark, sf):
-    out = M.screen(_monthly(spark, sf), partitions=32)
+    out = M.screen(_monthly(spark, sf))
     return out.select(*PAIR, *r6("eg_t", "eg_p", "eg_p_fdr", "joh_stat", n=5), "eg_pass", "joh_pass", "verdict")
 
 
@@ -784,12 +790,9 @@ def measured_window_costs(spark, sf):
 @query(f"""WITH {W.TICKS}, p AS (SELECT ticker, ts, close - lag(close) OVER (PARTITION BY ticker ORDER BY ts, event_id) AS pnl, row_number() OVER (PARTITION BY ticker, CAST(ts AS DATE) ORDER BY ts, event_id) AS i FROM ticks)
 SELECT ticker, CASE WHEN i = 1 THEN 'overnight' ELSE 'slot ' || CAST(CAST(floor((hour(ts) * 60 + minute(ts) - 570) / 30) AS INTEGER) AS VARCHAR) END AS part, round(coalesce(sum(pnl), 0), 4) AS pnl, count(*) AS bars FROM p GROUP BY ALL""")
 def intraday_attribution(spark, sf):
-    t = W.ticks(spark, sf).withColumn("ts_", F.col("ts"))
-    w = Window.partitionBy("ticker").orderBy("ingest")
-    t = t.withColumn("pnl", F.col("close") - F.lag("close").over(w)).withColumn("i", F.row_number().over(Window.partitionBy("ticker", F.to_date("ts")).orderBy("ingest")))
-    slot = F.floor((F.hour("ts") * 60 + F.minute("ts") - 570) / 30).cast("int").cast("string")
-    part = F.when(F.col("i") == 1, "overnight").otherwise(F.concat(F.lit("slot "), slot))
-    return t.groupBy("ticker", part.alias("part")).agg(F.round(F.coalesce(F.sum("pnl"), F.lit(0.0)), 4).alias("pnl"), F.count("*").alias("bars"))
+    t = W.ticks(spark, sf)
+    t = t.withColumn("pnl", F.col("close") - F.lag("close").over(Window.partitionBy("ticker").orderBy("ingest")))
+    return Y.attribution(t, ["ticker"], "ts", "pnl", "ingest").select("ticker", "part", F.round("pnl", 4).alias("pnl"), "bars")
 
 
 @query(f"""WITH {W.BARS}, x AS (SELECT ticker, d, px / lag(px) OVER (PARTITION BY ticker ORDER BY d) - 1 AS r FROM bars), m AS (SELECT DISTINCT ticker, CASE WHEN ticker < 'Brand#2' THEN DATE '1994-01-01' ELSE DATE '1997-06-30' END AS lo, DATE '2001-06-30' AS hi FROM bars),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.stats import pair_series, static_hedge
+from ..session import panel
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +20,21 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.join(part, line.l_partkey == part.p_partkey)
 
 
+def _panel(spark: SparkSession, sf_dir: str, name: str, make, *tables: str) -> DataFrame:
+    """Panels are written once and read by all queries over the same files."""
+    return panel(spark, name, [f"{sf_dir}/{t}.parquet" for t in tables or ("lineitem", "part")], make)
+
+
 def bars(spark: SparkSession, sf_dir: str, unit: str = "week", by: tuple[str, ...] = ("ticker",)) -> DataFrame:
     """by, d, px, volume, dollar_volume."""
-    d = F.to_date(F.date_trunc(unit, "l_shipdate")).alias("d")
-    cents = F.sum(F.round(F.col("dollars") * 10000).cast("long"))  # whole numbers add up alike in any order
-    sums = trades(spark, sf_dir).groupBy(*by, d).agg(cents.alias("cents"), F.sum("l_quantity").alias("volume"))
-    return sums.select(*by, "d", (F.floor(F.col("cents") / (F.col("volume") * 10000) * 1e6 + 0.5) / 1e6).alias("px"), "volume", (F.col("cents") / 10000).alias("dollar_volume"))
+
+    def make() -> DataFrame:
+        d = F.to_date(F.date_trunc(unit, "l_shipdate")).alias("d")
+        cents = F.sum(F.round(F.col("dollars") * 10000).cast("long"))  # whole numbers add up alike in any order
+        sums = trades(spark, sf_dir).groupBy(*by, d).agg(cents.alias("cents"), F.sum("l_quantity").alias("volume"))
+        return sums.select(*by, "d", (F.floor(F.col("cents") / (F.col("volume") * 10000) * 1e6 + 0.5) / 1e6).alias("px"), "volume", (F.col("cents") / 10000).alias("dollar_volume"))
+
+    return _panel(spark, sf_dir, f"bars-{unit}-{'-'.join(by)}", make)
 
 
 def bars_sql(unit: str = "week", by: str = "p_brand AS ticker", name: str = "bars") -> str:
@@ -56,16 +66,22 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pairs(spark, sf_dir)
-    h = static_hedge(p).select("t1", "t2", F.round("alpha", 4).alias("alpha"), F.round("beta", 8).alias("beta"))
-    return p.join(h, ["t1", "t2"]).withColumn("resid", F.round(F.col("P1") - F.col("alpha") - F.col("beta") * F.col("P2"), 5))
+    def make() -> DataFrame:
+        p = pairs(spark, sf_dir)
+        h = static_hedge(p).select("t1", "t2", F.round("alpha", 4).alias("alpha"), F.round("beta", 8).alias("beta"))
+        return p.join(h, ["t1", "t2"]).withColumn("resid", F.round(F.col("P1") - F.col("alpha") - F.col("beta") * F.col("P2"), 5))
+
+    return _panel(spark, sf_dir, "resid", make)
 
 
 def zs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.signals import rolling_z
     from pyspark.sql import Window
 
-    return resid(spark, sf_dir).withColumn("z", F.round(rolling_z("resid", Window.partitionBy("t1", "t2").orderBy("d"), 26), 5))
+    def make() -> DataFrame:
+        return resid(spark, sf_dir).withColumn("z", F.round(rolling_z("resid", Window.partitionBy("t1", "t2").orderBy("d"), 26), 5))
+
+    return _panel(spark, sf_dir, "zs", make)
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +91,9 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TICKS = "ticks AS (SELECT event_type AS ticker, CAST(ts AS TIMESTAMP) AS ts, round(value, 6) AS close, 1 AS volume, event_id FROM events WHERE value > 0)"
+#: Every minute of a session, from 09:30 to the close, of every ticker that has a print in it.
 GRID = TICKS + """, m AS (SELECT ticker, CAST(ts AS DATE) AS session, CAST(hour(ts) * 60 + minute(ts) AS INTEGER) AS m, arg_max(close, row(ts, event_id)) AS print, 1 AS volume
   FROM ticks WHERE hour(ts) * 60 + minute(ts) >= 570 AND hour(ts) * 60 + minute(ts) < 960 GROUP BY ALL),
-mm AS (SELECT DISTINCT session, m FROM m), ts_ AS (SELECT DISTINCT ticker, session FROM m),
+mm AS (SELECT ticker, session, CAST(unnest(range(570, 960)) AS INTEGER) AS m FROM (SELECT DISTINCT ticker, session FROM m)),
 grid AS (SELECT ticker, session, m - 570 AS minute, last_value(print IGNORE NULLS) OVER (PARTITION BY ticker, session ORDER BY m ROWS UNBOUNDED PRECEDING) AS close,
-  coalesce(volume, 0) AS volume, CAST(coalesce(volume, 0) > 0 AS INTEGER) AS traded, print FROM ts_ JOIN mm USING (session) LEFT JOIN m USING (ticker, session, m))"""
+  coalesce(volume, 0) AS volume, CAST(coalesce(volume, 0) > 0 AS INTEGER) AS traded, print FROM mm LEFT JOIN m USING (ticker, session, m))"""

@@ -53,6 +53,23 @@ def select_files(spark: SparkSession, root: str, start: dt.date, end: dt.date, t
     return out
 
 
+def select_day_files(spark: SparkSession, root: str, start: dt.date, end: dt.date, tickers: Iterable[str] | None = None, layout: str | None = None) -> list[str]:
+    """Day files <YYYY>/<MM>/<DD>.parquet (under a ticker's folder in the ticker layout) of the range; only folders that exist are listed, and
+    index files beside the day files are not data."""
+    layout = layout or detect_layout(spark, root)
+    tops = [root] if layout == "market" else [f"{root}/{t}" for t in (sorted({t.upper() for t in tickers}) if tickers else sorted(n for n, d in _children(spark, root) if d))]
+    days = [start + dt.timedelta(days=i) for i in range((end - start).days + 1)]
+    out = []
+    for top in tops:
+        for y, m in sorted({(d.year, d.month) for d in days}):
+            try:
+                files = {n for n, _ in _children(spark, f"{top}/{y:04d}/{m:02d}")}
+            except FileNotFoundError:
+                continue
+            out += [f"{top}/{y:04d}/{m:02d}/{d.day:02d}.parquet" for d in days if (d.year, d.month) == (y, m) and f"{d.day:02d}.parquet" in files]
+    return out
+
+
 def select_from_manifest(manifest: DataFrame, start: str, end: str, tickers: Iterable[str] | None = None) -> DataFrame:
     """manifest (ticker, path, start, end, rows) -> the distinct paths whose span overlaps the range."""
     df = manifest.where((F.col("end") >= F.lit(start).cast("timestamp")) & (F.col("start") <= F.lit(end).cast("timestamp")))
@@ -160,10 +177,11 @@ def daily_bars(raw: DataFrame, price: str = "split", tz: str = "US/Eastern", sta
     return df.drop("close_split", "tr_price_factor")
 
 
-def liquidity_screen(bars: DataFrame, min_price: float = 5.0, min_dollar_volume: float = 1e6, min_ann_vol: float = 0.05, min_coverage: float = 0.95, max_abs_return: float = 1.0, exclude: Iterable[str] = (), price: str = "raw_close", top_n: int | None = None, ts: str = "ts") -> DataFrame:
+def liquidity_screen(bars: DataFrame, min_price: float = 5.0, min_dollar_volume: float = 1e6, min_ann_vol: float = 0.05, min_coverage: float = 0.95, max_abs_return: float | None = 1.0, exclude: Iterable[str] = (), price: str = "raw_close", top_n: int | None = None, ts: str = "ts") -> DataFrame:
     """One row for each ticker with its figures and whether it is eligible (of those the top_n by median dollar volume).
 
     Returns are between neighbouring sessions of the common calendar, so a gap gives none; a ticker without any return fails.
+    max_abs_return None: no bound on returns.
     """
     sessions = bars.select(ts).distinct()
     ordinal = sessions.withColumn("_ord", F.row_number().over(Window.orderBy(ts)))  # a row for each session: bounded by the calendar
@@ -177,7 +195,9 @@ def liquidity_screen(bars: DataFrame, min_price: float = 5.0, min_dollar_volume:
         (F.count("close") / n).alias("coverage"),
         F.max(F.abs(F.col("_r") - 1)).alias("max_abs_return"),
     )
-    ok = (F.col("median_price") >= min_price) & (F.col("median_dollar_volume") >= min_dollar_volume) & (F.col("ann_vol") >= min_ann_vol) & (F.col("coverage") >= min_coverage) & (F.col("max_abs_return") <= max_abs_return)
+    ok = (F.col("median_price") >= min_price) & (F.col("median_dollar_volume") >= min_dollar_volume) & (F.col("ann_vol") >= min_ann_vol) & (F.col("coverage") >= min_coverage)
+    if max_abs_return is not None:
+        ok &= F.col("max_abs_return") <= max_abs_return
     ok = F.coalesce(ok, F.lit(False)) & ~F.col("ticker").isin([t.upper() for t in exclude] or [""])
     out = stats.withColumn("eligible", ok)
     if top_n is not None:
@@ -214,22 +234,24 @@ def freq_minutes(freq: str) -> int | None:
 
 
 def session_grid(raw: DataFrame, early: DataFrame | None = None, tz: str | None = "US/Eastern", order: str | None = None) -> DataFrame:
-    """Minute rows (ticker, ts, close, volume) -> every session minute of every ticker that traded in the session, filled forward within it.
+    """Minute rows (ticker, ts, close, volume) -> every minute of the session, from the open to the (early) close, of every ticker
+    that has a close in it, filled forward within the session.
 
-    ticker, session, minute (from the open), ts, close (null before the first trade), volume, traded. The grid has the
-    minutes that occur in the data; the calendar of early closes is small and joined by session.
+    ticker, session, minute (from the open), close (null before the first trade), volume, traded (a volume and a close), print (the
+    minute's own close). Rows outside the session are left out, of rows of one minute the last one counts. The grid is made by a
+    sequence for each session, so minutes in which nobody traded are there as well. Early closes are a row for each such day.
     """
     local = F.convert_timezone(F.lit("UTC"), F.lit(tz), "ts") if tz else F.col("ts")
     df = raw.withColumn("ts", F.date_trunc("minute", local)).withColumn("session", F.to_date("ts")).withColumn("m", F.hour("ts") * 60 + F.minute("ts"))
+    shut = F.lit(CLOSE_MINUTE)
     if early is not None:
-        df = df.join(early.select(F.col("day").alias("session"), F.lit(EARLY_CLOSE).alias("_shut")), "session", "left")
-    else:
-        df = df.withColumn("_shut", F.lit(None).cast("int"))
-    df = df.where((F.col("m") >= OPEN_MINUTE) & (F.col("m") < F.coalesce("_shut", F.lit(CLOSE_MINUTE))))
-    df = df.groupBy("ticker", "session", "m").agg(F.max_by("close", order or "ts").alias("close"), F.max_by("volume", order or "ts").alias("volume"))
-    minutes = df.select("session", "m").distinct()
-    traded = df.groupBy("ticker", "session").agg(F.count("close").alias("n")).where("n > 0").select("ticker", "session")
-    grid = traded.join(minutes, "session").join(df, ["ticker", "session", "m"], "left")
+        df = df.join(early.select(F.col("day").alias("session"), F.lit(EARLY_CLOSE).alias("_early")), "session", "left")
+        shut = F.coalesce("_early", shut)
+    df = df.withColumn("shut", shut).where((F.col("m") >= OPEN_MINUTE) & (F.col("m") < F.col("shut")))
+    prints = df.groupBy("ticker", "session", "m").agg(F.max_by("close", order or "ts").alias("close"), F.max_by("volume", order or "ts").alias("volume"), F.first("shut").alias("shut"))
+    there = prints.groupBy("ticker", "session").agg(F.count("close").alias("n"), F.first("shut").alias("shut")).where("n > 0")
+    minutes = there.select("ticker", "session", F.explode(F.sequence(F.lit(OPEN_MINUTE), F.col("shut") - 1)).alias("m"))
+    grid = minutes.join(prints.drop("shut"), ["ticker", "session", "m"], "left")
     w = Window.partitionBy("ticker", "session").orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
     volume = F.coalesce("volume", F.lit(0))
     return grid.select(
@@ -246,27 +268,65 @@ def k_minute(grid: DataFrame, k: int) -> DataFrame:
     )
 
 
-def session_bars(grid: DataFrame) -> DataFrame:
-    """A bar for each session: open (first traded close), close, volume, dollar volume, minutes, traded minutes and Roll's spread in bps.
-
-    The spread takes each mean over its own values, needs 30 products and a negative covariance.
-    """
+def roll_by_session(grid: DataFrame) -> DataFrame:
+    """ticker, session, roll_spread_bps from the minutes that have a close of their own: twice the root of the negative covariance
+    of neighbouring changes over the mean close. Each mean is over its own values; it needs 30 products."""
     w = Window.partitionBy("ticker", "session").orderBy("minute")
-    d1 = F.col("close") - F.lag("close").over(w)
-    df = grid.withColumn("d1", d1).withColumn("d0", F.lag("d1").over(w))
-    out = df.groupBy("ticker", "session").agg(
-        F.min_by("close", F.when(F.col("traded") == 1, F.col("minute"))).alias("open"),
+    p = grid.where("print is not null").select("ticker", "session", "minute", "print")
+    p = p.withColumn("d1", F.col("print") - F.lag("print").over(w)).withColumn("d0", F.lag("d1").over(w))
+    out = p.groupBy("ticker", "session").agg(
+        (F.avg(F.col("d1") * F.col("d0")) - F.avg("d1") * F.avg("d0")).alias("cov"), F.count(F.col("d1") * F.col("d0")).alias("n"), F.avg("print").alias("mean")
+    )
+    return out.select("ticker", "session", F.when((F.col("cov") < 0) & (F.col("n") >= 30), 2 * F.sqrt(-F.col("cov")) / F.col("mean") * 1e4).alias("roll_spread_bps"))
+
+
+def session_bars(grid: DataFrame) -> DataFrame:
+    """A bar for each session: open (its first own close), close (the last one, filled), volume, dollar volume, traded minutes, all
+    minutes, and Roll's spread in bps."""
+    out = grid.groupBy("ticker", "session").agg(
+        F.min_by("print", F.when(F.col("print").isNotNull(), F.col("minute"))).alias("open"),
         F.max_by("close", F.when(F.col("close").isNotNull(), F.col("minute"))).alias("close"),
         F.sum("volume").alias("volume"),
-        F.sum(F.col("print") * F.col("volume")).alias("dollar_volume"),
+        F.sum(F.coalesce(F.col("print") * F.col("volume"), F.lit(0.0))).alias("dollar_volume"),
         F.sum("traded").alias("n_traded"),
         F.count("*").alias("n_bars"),
-        (F.avg(F.col("d1") * F.col("d0")) - F.avg("d1") * F.avg("d0")).alias("cov"),
-        F.count(F.col("d1") * F.col("d0")).alias("n"),
-        F.avg("close").alias("mean"),
     )
-    roll = F.when((F.col("cov") < 0) & (F.col("n") >= 30), 2 * F.sqrt(-F.col("cov")) / F.col("mean") * 1e4)
-    return out.where("close is not null").withColumn("roll_spread_bps", roll).drop("cov", "n", "mean")
+    return out.where("close is not null").join(roll_by_session(grid), ["ticker", "session"], "left")
+
+
+PRICES = ("close_tr", "close_split", "close")
+
+
+def load_minute_bars(spark: SparkSession, root: str, tickers: Iterable[str], start: str, end: str, freq: str = "1min", price: str = "close_tr", tz: str = "US/Eastern", layout: str | None = None, early: DataFrame | None = None) -> DataFrame:
+    """Regular-session bars of the tickers from start to end (both days, in tz) from a minute lake in either layout.
+
+    1min: ticker, session, ts (the bar's start), close, volume, n_traded; k minutes: the same by bars from 09:30; session: as
+    session_bars(). Files hold UTC days, so one day more is read on either side and cut off afterwards; tickers are a filter of
+    the scan, by which row groups are skipped. No files or rows: no bars. early: days that close early, in place of the rule.
+    """
+    k = freq_minutes(freq)
+    names = sorted({str(t).upper() for t in tickers})
+    lo, hi = dt.date.fromisoformat(str(start)[:10]), dt.date.fromisoformat(str(end)[:10])
+    if not names:
+        raise ValueError("no tickers")
+    if hi < lo:
+        raise ValueError("end is before start")
+    if price not in PRICES:
+        raise ValueError(f"price must be one of {PRICES}")
+    layout = layout or detect_layout(spark, root)
+    if layout not in ("ticker", "market"):
+        raise ValueError("layout must be ticker or market")
+    files = select_day_files(spark, root, lo - dt.timedelta(days=1), hi + dt.timedelta(days=1), names, layout)
+    raw = scan(spark, files, "minute", [price, "volume"]).where(F.col("ticker").isin(names))
+    # of rows of one minute the last in the files counts
+    raw = raw.select("ticker", F.col("datetime").alias("ts"), F.col(price).cast("double").alias("close"), "volume", F.struct("datetime", F.monotonically_increasing_id().alias("row")).alias("ingest"))
+    grid = session_grid(raw, early_closes(spark, str(lo), str(hi)) if early is None else early, tz, "ingest").where(F.col("session").between(F.lit(lo), F.lit(hi)))
+    at = lambda minute: (F.col("session").cast("timestamp_ntz") + F.make_dt_interval(mins=F.lit(OPEN_MINUTE) + minute)).alias("ts")
+    if k is None:
+        return session_bars(grid)
+    if k == 1:
+        return grid.select("ticker", "session", at(F.col("minute")), "close", "volume", F.col("traded").alias("n_traded"))
+    return k_minute(grid, k).select("ticker", "session", at(F.col("bucket") * k), "close", "volume", "n_traded")
 
 
 def summarize_sessions(bars: DataFrame) -> DataFrame:
@@ -301,6 +361,23 @@ def load_tickers(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"can't read tickers from {path}")
 
 
+ENDINGS = (".txt", ".csv", ".json")
+
+
+def list_universes(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the ticker lists in a folder."""
+    return sorted({n.rpartition(".")[0] for n, is_dir in _children(spark, folder) if not is_dir and n.endswith(ENDINGS)})
+
+
+def load_universe(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The list of that name in a folder; of several formats .txt comes first, then .csv, then .json."""
+    there = {n for n, _ in _children(spark, folder)}
+    for ending in ENDINGS:
+        if name + ending in there:
+            return load_tickers(spark, f"{folder}/{name}{ending}")
+    raise FileNotFoundError(f"no list {name} in {folder}; there are {list_universes(spark, folder)}")
+
+
 def combine_tickers(frames: list[DataFrame], op: str = "union") -> DataFrame:
     """Sets of tickers by union, intersection or difference (the first less the others)."""
     if op not in ("union", "intersection", "difference"):

@@ -24,7 +24,7 @@ def test_transitions():
         got.append((pos, entry, leave, stop))
     flat = (0, False, False, False)
     assert got[:5] == [flat, (-1, True, False, False), (-1, False, False, False), (0, False, True, False), flat]
-    assert got[5] == (1, True, False, False) and got[7] == (0, False, True, True)
+    assert got[5] == (1, True, False, False) and got[7] == (0, False, False, True)  # a stop is no exit
     assert got[8] == flat  # a bad bar leaves the cooldown as it is
     assert got[9] == flat and got[10] == flat and got[12] == (-1, True, False, False)
     assert got[15] == (0, False, True, False)  # held for the most bars
