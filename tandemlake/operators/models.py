@@ -276,28 +276,37 @@ class Hedge:
 
     def update(self, y: float, x: float) -> tuple[float, float]:
         """The measurement of one bar; the filtered (beta, alpha)."""
-        h = np.array([x, 1.0])
-        ph = self.cov @ h
-        s = h @ ph + self.r
-        gain = ph / s
-        self.mean = self.mean + gain * (y - h @ self.mean)
-        cov = self.cov - np.outer(gain, ph)
-        self.cov = (cov + cov.T) / 2
-        return self.mean[0], self.mean[1]
+        b, a, p, c, d = _measure(*self.mean, self.cov[0, 0], self.cov[0, 1], self.cov[1, 1], y, x, self.r)
+        self.mean, self.cov = np.array([b, a]), np.array([[p, c], [c, d]])
+        return b, a
 
     def advance(self) -> None:
         self.cov = self.cov + self.q
 
 
-def kalman_filter(y: np.ndarray, x: np.ndarray, h: Hedge, continued: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
+def _measure(b: float, a: float, p: float, c: float, d: float, y: float, x: float, r: float) -> tuple[float, float, float, float, float]:
+    """State (b, a) with covariance (p, c; c, d) after y = b x + a + noise: plain numbers, since a bar is a handful of products."""
+    u, v = p * x + c, c * x + d
+    s = x * u + v + r
+    g, h, e = u / s, v / s, y - (x * b + a)
+    return b + g * e, a + h * e, p - g * u, c - g * v, d - h * v
+
+
+def kalman_filter(y: np.ndarray, x: np.ndarray, h: Hedge, continued: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Filtered states and covariances; h ends as the posterior of the last bar. A continued filter advances before its first bar."""
-    states, covs = np.empty((len(y), 2)), []
-    for i, (a, b) in enumerate(zip(y, x)):
+    b, a = map(float, h.mean)
+    p, c, d = float(h.cov[0, 0]), float(h.cov[0, 1]), float(h.cov[1, 1])
+    qp, qc, qd, r = float(h.q[0, 0]), float(h.q[0, 1]), float(h.q[1, 1]), float(h.r)
+    out = []
+    for i, (yi, xi) in enumerate(zip(np.asarray(y, float).tolist(), np.asarray(x, float).tolist())):
         if i or continued:
-            h.advance()
-        states[i] = h.update(a, b)
-        covs.append(h.cov.copy())
-    return states, covs
+            p, c, d = p + qp, c + qc, d + qd
+        b, a, p, c, d = _measure(b, a, p, c, d, yi, xi, r)
+        out.append((b, a, p, c, d))
+    table = np.array(out).reshape(-1, 5)
+    if out:
+        h.mean, h.cov = np.array([b, a]), np.array([[p, c], [c, d]])
+    return table[:, :2].copy(), table[:, [2, 3, 3, 4]].reshape(-1, 2, 2)
 
 
 def kalman_em(y: np.ndarray, x: np.ndarray, h: Hedge, rounds: int, keep_prior: bool = False) -> Hedge:

@@ -236,7 +236,15 @@ def book_band_of_zero(spark, sf):
     return _book(spark, sf, "band", 0.0)
 
 
-@query(dates="d")
+BAND = f"""{BOOK}, kb AS (SELECT *, row_number() OVER w AS i, coalesce(lag(pos) OVER w, 0) = pos AS held FROM k2 WINDOW w AS (PARTITION BY t1, t2 ORDER BY d)),
+bb AS (SELECT t1, t2, i, P1, P2, n1, n2 FROM kb WHERE i = 1
+  UNION ALL SELECT t1, t2, i, P1, P2, CASE WHEN keeps THEN m1 ELSE n1 END, CASE WHEN keeps THEN m2 ELSE n2 END
+  FROM (SELECT kb.*, bb.n1 AS m1, bb.n2 AS m2, kb.pos <> 0 AND kb.held AND abs(abs(bb.n1) * bb.P1 + abs(bb.n2) * bb.P2 - 10000) <= 0.1 * 10000 AS keeps
+    FROM bb JOIN kb ON kb.t1 = bb.t1 AND kb.t2 = bb.t2 AND kb.i = bb.i + 1)),
+bs AS (SELECT kb.* EXCLUDE (n1, n2), bb.n1, bb.n2 FROM kb JOIN bb USING (t1, t2, i))"""
+
+
+@query(f"WITH RECURSIVE {BAND} {BOOK_OUT.format(src='bs')}", dates="d")
 def book_band(spark, sf):
     return _book(spark, sf, "band", 0.1)
 
@@ -646,13 +654,25 @@ def spread_stationarity(spark, sf):
     return out.select(*PAIR, *r6("adf_stat", "adf_p", "kpss_stat", "kpss_p", n=5), "verdict")
 
 
-@query(dates="d")
+KALMAN = f"""{W.PAIRS}, ki AS (SELECT *, row_number() OVER (PARTITION BY t1, t2 ORDER BY d) AS i FROM pairs),
+k0 AS (SELECT *, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS a, CAST(1e6 AS DOUBLE) AS p, CAST(0 AS DOUBLE) AS c, CAST(1e6 AS DOUBLE) AS q FROM ki WHERE i = 1),
+kf AS (
+  SELECT t1, t2, i, d, P1 AS y, P2 AS x, b + u / s * e AS b, a + v / s * e AS a, p - u / s * u AS p, c - u / s * v AS c, q - v / s * v AS q
+  FROM (SELECT *, P2 * u + v + 1.0 AS s, P1 - (P2 * b + a) AS e FROM (SELECT *, p * P2 + c AS u, c * P2 + q AS v FROM k0))
+  UNION ALL
+  SELECT t1, t2, i, d, y, x, b + u / s * e, a + v / s * e, p - u / s * u, c - u / s * v, q - v / s * v
+  FROM (SELECT *, x * u + v + 1.0 AS s, y - (x * b + a) AS e FROM (SELECT *, p * x + c AS u, c * x + q AS v
+    FROM (SELECT ki.t1, ki.t2, ki.i, ki.d, ki.P1 AS y, ki.P2 AS x, kf.b, kf.a, kf.p + CAST(1e-4 AS DOUBLE) AS p, kf.c, kf.q + CAST(1e-4 AS DOUBLE) AS q FROM kf JOIN ki ON ki.t1 = kf.t1 AND ki.t2 = kf.t2 AND ki.i = kf.i + 1))))"""
+KALMAN_OUT = "SELECT t1, t2, d, round(a, 4) AS alpha, round(b, 4) AS beta, round(y - (a + b * x), 4) AS resid FROM kf"
+
+
+@query(f"WITH RECURSIVE {KALMAN} {KALMAN_OUT}", dates="d")
 def kalman_hedges(spark, sf):
     p = W.pairs(spark, sf)
     return M.fit_kalman(p, PAIR, "d", 1e-4, 1.0).select(*PAIR, "d", *r6("alpha", "beta", "resid", n=4))
 
 
-@query(dates="d")
+@query(f"WITH RECURSIVE {KALMAN} {KALMAN_OUT} WHERE d >= DATE '1998-01-01' AND (t1, t2) IN (SELECT (t1, t2) FROM ki WHERE i = 5 AND d < DATE '1998-01-01')", dates="d")
 def kalman_continued(spark, sf):
     p = W.pairs(spark, sf)
     first = M.fit_kalman(p.where("d < '1998-01-01'"), PAIR, "d", 1e-4, 1.0)
@@ -705,7 +725,17 @@ def risk_parity(spark, sf):
     return P.risk_parity_by(cov.withColumn("cov", F.when(F.col("i") == F.col("j"), F.col("cov") * 1.5).otherwise(F.col("cov"))), "y").select("y", "i", *r6("weight"))
 
 
-@query(dates="d")
+ADJUSTED = f"""{W.RETURNS}, nx AS (SELECT ticker, d, r, lead(r) OVER (PARTITION BY ticker ORDER BY d) AS fwd FROM r), tg AS (SELECT year(d) AS y, d, ticker, -r / sum(abs(r)) OVER (PARTITION BY d) AS t, coalesce(fwd, 0) AS r FROM nx WHERE r IS NOT NULL),
+cells AS (SELECT a.y, a.d, b.ticker, coalesce(t, 0) AS t, coalesce(r, 0) AS r FROM (SELECT DISTINCT y, d FROM tg) a JOIN (SELECT DISTINCT y, ticker FROM tg) b USING (y) LEFT JOIN tg ON tg.d = a.d AND tg.ticker = b.ticker),
+days AS (SELECT y, d, list(t ORDER BY ticker) AS t, list(r ORDER BY ticker) AS r, row_number() OVER (PARTITION BY y ORDER BY d) AS i FROM cells GROUP BY y, d)"""
+
+
+@query(f"""WITH RECURSIVE {ADJUSTED}, bk AS (SELECT y, CAST(0 AS BIGINT) AS i, list_transform(t, lambda a: CAST(0 AS DOUBLE)) AS w, CAST(0 AS DOUBLE) AS gross, CAST(0 AS DOUBLE) AS turnover, CAST(0 AS DOUBLE) AS pnl FROM days WHERE i = 1
+  UNION ALL SELECT y, i, w, list_sum(list_transform(w, lambda a: abs(a))), moved, list_dot_product(w, r) - moved * 5 / 1e4
+  FROM (SELECT *, list_sum(list_transform(list_zip(w, w0), lambda a: abs(a[1] - a[2]))) AS moved FROM (SELECT y, i, r, w0, list_transform(v, lambda a: CASE WHEN g > 1e-12 THEN a * (h / g) ELSE a END) AS w
+    FROM (SELECT *, list_sum(list_transform(v, lambda a: abs(a))) AS g, list_sum(list_transform(t, lambda a: abs(a))) AS h
+      FROM (SELECT days.y, days.i, days.t, days.r, bk.w AS w0, list_transform(list_zip(bk.w, days.t), lambda a: a[1] + 0.3 * (a[2] - a[1])) AS v FROM bk JOIN days ON days.y = bk.y AND days.i = bk.i + 1)))))
+SELECT y, d, round(gross, 6) AS gross, round(turnover, 6) AS turnover, round(pnl, 6) AS pnl FROM bk JOIN days USING (y, i)""", dates="d")
 def partial_adjustment(spark, sf):
     w = order("ticker")
     r = W.returns(spark, sf).withColumn("y", F.year("d").cast("long")).withColumns({"target": -F.col("r"), "next": F.lead("r").over(w)})
@@ -714,20 +744,43 @@ def partial_adjustment(spark, sf):
     return P.partial_adjustment(t, "y", "d", 0.3, 5.0).select("y", "d", *r6("gross", "turnover", "pnl"))
 
 
-@query(dates="d")
+EWM = f"""{W.RESID}, ei AS (SELECT t1, t2, d, resid AS x, row_number() OVER (PARTITION BY t1, t2 ORDER BY d) AS i FROM resid), al AS (SELECT 1 - exp(-ln(2) / 10) AS al),
+ew AS (SELECT t1, t2, i, d, x, x AS m, CAST(0 AS DOUBLE) AS v, CAST(1 AS DOUBLE) AS w2 FROM ei WHERE i = 1
+  UNION ALL SELECT t1, t2, i, d, x, m, (1 - al) * (v + (m0 - m) * (m0 - m)) + al * (x - m) * (x - m), w2 * (1 - al) * (1 - al) + al * al
+  FROM (SELECT ei.t1, ei.t2, ei.i, ei.d, ei.x, ew.m AS m0, (1 - al) * ew.m + al * ei.x AS m, ew.v, ew.w2, al FROM ew JOIN ei ON ei.t1 = ew.t1 AND ei.t2 = ew.t2 AND ei.i = ew.i + 1, al))"""
+
+
+@query(f"WITH RECURSIVE {EWM} SELECT t1, t2, d, round(CASE WHEN w2 < 1 AND v > 0 THEN (x - m) / sqrt(v / (1 - w2)) END, 6) AS z FROM ew", dates="d")
 def ewm_z(spark, sf):
     e = W.resid(spark, sf).select(*PAIR, "d", "resid")
     return G.z_by_pair(e, PAIR, "d", "resid", method="ewm").select(*PAIR, "d", *r6("z"))
 
 
-@query(dates="d")
+HALF = """{src}, hx AS (SELECT t1, t2, resid, lag(resid) OVER (PARTITION BY t1, t2 ORDER BY d) AS x0 FROM {of}), hh AS (SELECT t1, t2, regr_slope(resid, x0) AS b, count(resid) AS c FROM hx GROUP BY ALL),
+hn AS (SELECT t1, t2, CASE WHEN c >= 20 AND b > 0 AND b < 1 THEN CAST(floor(least(greatest(3 * -ln(2) / ln(b), 30), 252)) AS INTEGER) ELSE 30 END AS n FROM hh)"""
+OWN_Z = "SELECT t1, t2, d, n, round(CASE WHEN c >= n AND sd > 0 THEN (resid - m) / sd END, 5) AS z FROM (SELECT r.t1, r.t2, r.d, resid, n, avg(resid) OVER w AS m, stddev_pop(resid) OVER w AS sd, count(resid) OVER w AS c FROM resid r JOIN hn USING (t1, t2) WINDOW w AS (PARTITION BY r.t1, r.t2 ORDER BY r.d ROWS BETWEEN (n - 1) PRECEDING AND CURRENT ROW))"
+
+
+@query(f"WITH {HALF.format(src=W.RESID, of='resid')} {OWN_Z}", dates="d")
 def half_life_window_z(spark, sf):
     e = W.resid(spark, sf).select(*PAIR, "d", "resid")
     n = S.half_life(e, "resid", PAIR, "d").select(*PAIR, S.half_life_window(F.col("half_life")).alias("n"))
-    return G.z_by_pair(e.join(n, PAIR), PAIR, "d", "resid", window="n").select(*PAIR, "d", "n", *r6("z"))
+    return G.z_by_pair(e.join(n, PAIR), PAIR, "d", "resid", window="n").select(*PAIR, "d", "n", *r6("z", n=5))
 
 
-@query()
+@query(f"WITH {HALF.format(src=W.RESID + ", old AS (SELECT * FROM resid WHERE d < DATE '1997-01-01')", of='old')} SELECT t1, t2, d, z FROM ({OWN_Z}) WHERE d >= DATE '1997-01-01'", dates="d")
+def history_z(spark, sf):
+    """Later bars scored with a look-back that the earlier ones chose, and warmed up by them."""
+    e = W.resid(spark, sf).select(*PAIR, "d", "resid")
+    new, old = e.where("d >= '1997-01-01'"), e.where("d < '1997-01-01'")
+    return G.z_from_spread(new, PAIR, "d", "resid", history=old).select(*PAIR, "d", *r6("z", n=5))
+
+
+@query(f"""WITH {W.Z}, i AS (SELECT t1, t2, d, resid, row_number() OVER (PARTITION BY t1, t2 ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY t1, t2) AS n FROM zs), f AS (SELECT CAST(unnest(range(0, 60)) AS INTEGER) AS fold),
+x AS (SELECT t1, t2, fold, d, resid, i >= fold * 52 + 104 AS test FROM i, f WHERE i >= fold * 52 AND i < fold * 52 + 156 AND least(fold * 52 + 156, n) - fold * 52 - 104 >= 1),
+p AS (SELECT t1, t2, fold, avg(resid) AS m, stddev_pop(resid) AS sd FROM x WHERE NOT test GROUP BY ALL), s AS (SELECT x.*, -greatest(-2, least(2, (resid - m) / sd)) AS s FROM x JOIN p USING (t1, t2, fold) WHERE test),
+g AS (SELECT *, coalesce(lag(s) OVER w, 0) * coalesce(resid - lag(resid) OVER w, 0) AS pnl FROM s WINDOW w AS (PARTITION BY t1, t2, fold ORDER BY d))
+SELECT t1, t2, fold, round(sum(pnl), 4) AS pnl, count(*) AS bars, CAST(NULL AS VARCHAR) AS err FROM g GROUP BY t1, t2, fold""")
 def walk_forward_backtest(spark, sf):
     z = W.zs(spark, sf).select(*PAIR, "d", "resid", "P1", "P2", "beta")
     x = V.walk_forward_folds(z, PAIR, "d", 104, 52)
@@ -746,7 +799,23 @@ def walk_forward_backtest(spark, sf):
     return V.walk_forward(x, PAIR, fit, signal, evaluate, "pnl double, bars long")
 
 
-@query(dates="d")
+STITCHED = f"""{W.Z}, s AS (SELECT t1, t2, d, P1, P2, beta, z, z IS NULL AS bad, year(d) AS fold, row_number() OVER (PARTITION BY t1, t2 ORDER BY d) AS i FROM zs),
+st AS (
+  SELECT t1, t2, i, fold, pos, abs(pos) AS hold, 0 AS cool, CAST(pos * 10000.0 / (P1 + abs(beta) * P2) AS DOUBLE) AS n1, beta, 0 AS xpos, CAST(0 AS DOUBLE) AS xn1, CAST(0 AS DOUBLE) AS xn2
+  FROM (SELECT *, CASE WHEN bad THEN 0 WHEN z <= -1.5 AND z > -4 THEN 1 WHEN z >= 1.5 AND z < 4 THEN -1 ELSE 0 END AS pos FROM s WHERE i = 1)
+  UNION ALL
+  SELECT t1, t2, i, fold, pos, CASE WHEN pos = 0 THEN 0 WHEN was = 0 THEN 1 ELSE h + 1 END, CASE WHEN NOT bad AND pos = 0 AND was <> 0 THEN 2 ELSE c END,
+    CASE WHEN pos <> 0 THEN pos * 10000.0 / (P1 + abs(beta) * P2) ELSE 0 END, beta, xpos, xn1, xn2
+  FROM (SELECT *, CASE WHEN bad THEN 0
+      WHEN was = 0 AND c = 0 AND z <= -1.5 AND z > -4 THEN 1 WHEN was = 0 AND c = 0 AND z >= 1.5 AND z < 4 THEN -1 WHEN was = 0 THEN 0
+      WHEN abs(z) <= 0.5 THEN 0 WHEN was = 1 AND z <= -4 THEN 0 WHEN was = -1 AND z >= 4 THEN 0 WHEN h + 1 >= 12 THEN 0 ELSE was END AS pos
+    FROM (SELECT *, CASE WHEN bad THEN c0 ELSE greatest(c0 - 1, 0) END AS c
+      FROM (SELECT s.*, CASE WHEN s.fold <> st.fold THEN st.xpos ELSE st.pos END AS was, CASE WHEN s.fold <> st.fold THEN 0 ELSE st.hold END AS h, CASE WHEN s.fold <> st.fold THEN 0 ELSE st.cool END AS c0,
+          CASE WHEN s.fold <> st.fold THEN st.xpos ELSE st.pos END AS xpos, CASE WHEN s.fold <> st.fold THEN st.xn1 ELSE st.n1 END AS xn1, CASE WHEN s.fold <> st.fold THEN st.xn2 ELSE -st.beta * st.n1 END AS xn2
+        FROM st JOIN s ON s.t1 = st.t1 AND s.t2 = st.t2 AND s.i = st.i + 1))))"""
+
+
+@query(f"WITH RECURSIVE {STITCHED} SELECT t1, t2, st.fold, d, xpos AS pos, round(xn1, 6) AS n1, round(xn2, 6) AS n2 FROM st JOIN s USING (t1, t2, i)", dates="d")
 def stitched_signals(spark, sf):
     z = W.zs(spark, sf).withColumn("fold", F.year("d").cast("long"))
     return G.stitched(z, PAIR, RULE, "d").select(*PAIR, "fold", "d", "pos", *r6("n1", "n2"))
@@ -865,14 +934,24 @@ def composite_scores(spark, sf):
     return Y.composite_score(t).select(*PAIR, *r6("score", n=5))
 
 
-@query()
+@query(f"""WITH {W.RETURNS}, mk AS (SELECT d, avg(r) AS x FROM r GROUP BY d), z AS (SELECT ticker, d, r AS y, x, row_number() OVER (PARTITION BY ticker ORDER BY d) AS i FROM r JOIN mk USING (d) WHERE r IS NOT NULL AND x IS NOT NULL),
+f AS (SELECT ticker, count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM z GROUP BY ticker HAVING count(*) >= 4),
+g AS (SELECT *, sxx / (n * sxx - sx * sx) AS i11, -sx / (n * sxx - sx * sx) AS i12, n / (n * sxx - sx * sx) AS i22 FROM f),
+u AS (SELECT ticker, i, y - a - b * x AS e, (y - a - b * x) * x AS ex FROM z JOIN f USING (ticker)),
+s0 AS (SELECT ticker, sum(e * e) AS s11, sum(e * ex) AS s12, sum(ex * ex) AS s22 FROM u GROUP BY ticker),
+sk AS (SELECT ticker, sum((1 - k / 9.0) * 2 * u.e * v.e) AS s11, sum((1 - k / 9.0) * (u.e * v.ex + u.ex * v.e)) AS s12, sum((1 - k / 9.0) * 2 * u.ex * v.ex) AS s22 FROM u JOIN (SELECT unnest(range(1, 9)) AS k) ON true JOIN u v USING (ticker) WHERE v.i = u.i - k GROUP BY ticker),
+s AS (SELECT s0.ticker, s0.s11 + sk.s11 AS s11, s0.s12 + sk.s12 AS s12, s0.s22 + sk.s22 AS s22 FROM s0 JOIN sk USING (ticker))
+SELECT ticker, 'const' AS term, round(a, 5) AS coef, round(a / sqrt(i11 * i11 * s11 + 2 * i11 * i12 * s12 + i12 * i12 * s22), 5) AS t FROM g JOIN s USING (ticker)
+UNION ALL SELECT ticker, 'market', round(b, 5), round(b / sqrt(i12 * i12 * s11 + 2 * i12 * i22 * s12 + i22 * i22 * s22), 5) FROM g JOIN s USING (ticker)""")
 def hac_exposures(spark, sf):
     r = W.returns(spark, sf)
     m = r.groupBy("d").agg(F.avg("r").alias("market"))
     return Y.hac_by(r.join(m, "d"), ["ticker"], "d", "r", ["market"], 8).select("ticker", "term", *r6("coef", "t", n=5))
 
 
-@query()
+@query(f"""WITH {W.RETURNS}, a AS (SELECT sum(r) OVER (PARTITION BY ticker ORDER BY d ROWS 3 PRECEDING) AS mom, -r AS rev, lead(r) OVER (PARTITION BY ticker ORDER BY d) AS fwd FROM r),
+g AS (SELECT sum(mom * mom) AS a, sum(mom * rev) AS b, sum(rev * rev) AS c, sum(mom * fwd) AS u, sum(rev * fwd) AS v FROM a WHERE mom IS NOT NULL AND rev IS NOT NULL AND fwd IS NOT NULL), h AS (SELECT a + 0.1 * (a + c) / 2 AS a, b, c + 0.1 * (a + c) / 2 AS c, u, v FROM g)
+SELECT 'mom' AS alpha, round((c * u - b * v) / (a * c - b * b), 5) AS weight FROM h UNION ALL SELECT 'rev', round((a * v - b * u) / (a * c - b * b), 5) FROM h""")
 def ridge_weights(spark, sf):
     w = order("ticker")
     a = W.returns(spark, sf).withColumns({"mom": F.sum("r").over(X.rows(w, 4)), "rev": -F.col("r"), "fwd": F.lead("r").over(w)})
