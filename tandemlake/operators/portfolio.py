@@ -10,16 +10,60 @@ from pyspark.sql import functions as F
 from ..functions.expr import before, clip, full, median, midrank, ratio, rows
 
 
+#: Series by block: a task correlates the series of two blocks by matrix products.
+BLOCK = 128
+
+
 def pairwise_correlation(series: DataFrame, key: str, ts: str, x: str, least: int = 30, method: str = "pearson") -> DataFrame:
-    """series (key, ts, x) -> i, j (i < j), n, corr over the common ts; null below `least`. Spearman ranks within each pair's overlap."""
-    a = series.where(F.col(x).isNotNull()).select(F.col(key).alias("i"), ts, F.col(x).alias("xi"))
-    b = series.where(F.col(x).isNotNull()).select(F.col(key).alias("j"), ts, F.col(x).alias("xj"))
-    both = a.join(b, ts).where("i < j")
+    """series (key, ts, x) -> i, j (i < j), n, corr over the common ts; null below `least` and where a side doesn't vary.
+
+    Pearson: each series is packed to one row, and pairs of blocks of series meet; what is sent is a series for each block, never a row
+    for each pair and ts. Spearman ranks within each pair's overlap, so there pairs meet by ts.
+    """
+    ok = series.where(F.col(x).isNotNull() & ~F.isnan(x))
     if method == "spearman":
+        a = ok.select(F.col(key).alias("i"), ts, F.col(x).alias("xi"))
+        b = ok.select(F.col(key).alias("j"), ts, F.col(x).alias("xj"))
         part = Window.partitionBy("i", "j")
+        both = a.join(b, ts).where("i < j")
         both = both.withColumns({"ri": midrank(part, "xi", "i", "j"), "rj": midrank(part, "xj", "i", "j")}).withColumns({"xi": F.col("ri"), "xj": F.col("rj")})
-    out = both.groupBy("i", "j").agg(F.count("*").alias("n"), F.corr("xi", "xj").alias("corr"))
-    return out.withColumn("corr", F.when(F.col("n") >= least, F.col("corr")))
+        out = both.groupBy("i", "j").agg(F.count("*").alias("n"), F.corr("xi", "xj").alias("corr"))
+        return out.withColumn("corr", F.when(F.col("n") >= least, F.col("corr")))
+    return _correlated(ok, key, ts, x).select("i", "j", "n", F.when(F.col("n") >= least, F.col("corr")).alias("corr"))
+
+
+def _correlated(ok: DataFrame, key: str, ts: str, x: str) -> DataFrame:
+    """i, j (i < j), n, corr, and sd_i, sd_j over the common ts."""
+    days = ok.select(ts).distinct().select(ts, (F.row_number().over(Window.orderBy(ts)) - 1).alias("_t"))  # the calendar: a row for each ts
+    packed = ok.join(F.broadcast(days), ts).groupBy(F.col(key).alias("name")).agg(F.collect_list("_t").alias("t"), F.collect_list(F.col(x).cast("double")).alias("x"))
+    names = packed.count()
+    blocks = max(1, -(-names // BLOCK))
+    packed = packed.withColumn("_b", F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int"))
+    meet = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    sent = packed.select("*", meet.alias("_o")).select("name", "t", "x", "_b", F.least("_b", "_o").alias("_p"), F.greatest("_b", "_o").alias("_q"))
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("name").reset_index(drop=True)
+        size = max(int(t[-1]) if len(t) else 0 for t in (np.sort(t) for t in pdf["t"])) + 1
+        v, has = np.zeros((len(pdf), size)), np.zeros((len(pdf), size))
+        for row, (t, values) in enumerate(zip(pdf["t"], pdf["x"])):
+            v[row, t], has[row, t] = values, 1.0
+        v -= has * (v.sum(axis=1) / has.sum(axis=1))[:, None]  # about zero, where products lose least
+        n, s, q, c = has @ has.T, v @ has.T, (v * v) @ has.T, v @ v.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cov, var = c - s * s.T / n, q - s * s / n
+            corr = cov / np.sqrt(var * var.T)
+            sd = np.sqrt(np.maximum(var, 0) / (n - 1))
+        flat = (var <= 1e-14 * q) | (var.T <= 1e-14 * q.T)
+        p, q_, b = pdf["_p"].iloc[0], pdf["_q"].iloc[0], pdf["_b"].to_numpy()
+        ours = np.triu(np.ones_like(n, bool), 1) & (n > 0) & ((b[:, None] != b[None, :]) | (p == q_))
+        i, j = np.nonzero(ours)
+        name = pdf["name"].to_numpy()
+        out = pd.DataFrame({"i": name[i], "j": name[j], "n": n[i, j].astype(np.int64), "corr": np.where(flat[i, j], np.nan, corr[i, j]), "sd_i": sd[i, j], "sd_j": sd.T[i, j]})
+        return out
+
+    got = sent.groupBy("_p", "_q").applyInPandas(work, "i string, j string, n long, corr double, sd_i double, sd_j double")
+    return got.select("i", "j", "n", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("corr", "sd_i", "sd_j")))
 
 
 def diversification(corr: Column) -> Column:
@@ -40,22 +84,31 @@ def position_weights(df: DataFrame, keys: list[str], method: str = "inv_vol", ma
     """df (keys, ts, r) -> weights by inverse variance, inverse deviation or equal, capped by filling up (the vector has a row for each pair)."""
     var = df.groupBy(*keys).agg(F.var_samp("r").alias("v"))
     raw = {"equal": F.lit(1.0), "inv_var": ratio(F.lit(1.0), "v"), "inv_vol": ratio(F.lit(1.0), F.sqrt("v"))}[method]
-    out = var.withColumn("_w", raw).where("_w is not null").withColumn("weight", F.col("_w") / F.sum("_w").over(Window.partitionBy())).drop("_w")
+    some = var.withColumn("_w", raw).where("_w is not null")
+    out = some.crossJoin(F.broadcast(some.agg(F.sum("_w").alias("_all")))).withColumn("weight", F.col("_w") / F.col("_all")).drop("_w", "_all")
     return capped(out, keys, max_weight) if max_weight is not None else out
 
 
 def capped(df: DataFrame, keys: list[str], cap: float) -> DataFrame:
-    """Weights under a cap, the rest filled up in proportion: with weights in falling order, the first m are at the cap, for the least m that keeps the others below it."""
-    every = Window.partitionBy()
-    order = every.orderBy(F.desc("weight"), *keys)
-    c = F.greatest(F.lit(float(cap)), 1 / F.count("*").over(every))
-    df = df.withColumns({"_c": c, "_i": F.row_number().over(order), "_left": F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))})
-    grown = F.col("weight") * (1 - (F.col("_i") - 1) * F.col("_c")) / F.col("_left")
-    df = df.withColumn("_fits", grown <= F.col("_c") + 1e-12)
-    m = F.coalesce(F.min(F.when(F.col("_fits"), F.col("_i"))).over(every), F.count("*").over(every) + 1)
-    df = df.withColumn("_m", m).withColumn("_rest", F.sum(F.when(F.col("_i") >= F.col("_m"), F.col("weight"))).over(every))
-    new = F.when(F.col("_i") < F.col("_m"), F.col("_c")).otherwise(F.col("weight") * (1 - (F.col("_m") - 1) * F.col("_c")) / F.col("_rest"))
-    return df.withColumn("weight", new).drop("_c", "_i", "_left", "_fits", "_m", "_rest")
+    """Weights (that sum to 1) under a cap, the rest filled up in proportion: with weights in falling order, the first m are at the cap, for the
+    least m that keeps the others below it. A cap below an equal share gives equal weights.
+
+    Fewer than one over the cap can be at it, so only so many of the largest weights are ordered; the others keep their proportions.
+    """
+    n = F.broadcast(df.agg(F.count("*").alias("_n"), F.sum("weight").alias("_all")))
+    most = int(1 / cap) + 2
+    order = Window.orderBy(F.desc("weight"), *keys)  # of the largest weights alone
+    top = df.orderBy(F.desc("weight"), *keys).limit(most).crossJoin(n).withColumns({"_c": F.greatest(F.lit(float(cap)), 1 / F.col("_n")), "_i": F.row_number().over(order)})
+    before = F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    grown = F.col("weight") * (1 - (F.col("_i") - 1) * F.col("_c")) / (F.col("_all") - before)
+    top = top.withColumns({"_before": before, "_fits": grown <= F.col("_c") + 1e-12})
+    rule = top.agg(F.min(F.when(F.col("_fits"), F.struct("_i", "_before"))).alias("_m"), F.first("_c").alias("_c"))
+    first = top.join(F.broadcast(rule.select("_m")), F.col("_m").isNull() | (F.col("_i") < F.col("_m._i"))).select(*keys, F.lit(True).alias("_at_cap"))
+    out = df.crossJoin(F.broadcast(rule)).crossJoin(n).join(F.broadcast(first), keys, "left")  # fewer than one over the cap
+    rest = F.col("weight") * (1 - (F.col("_m._i") - 1) * F.col("_c")) / (F.col("_all") - F.col("_m._before"))
+    equal = F.lit(cap) * F.col("_n") <= 1
+    new = F.when(equal, 1 / F.col("_n")).when(F.col("_at_cap"), F.col("_c")).otherwise(rest)
+    return out.withColumn("weight", new).drop("_m", "_c", "_n", "_all", "_at_cap")
 
 
 def leg_split(pairs: DataFrame) -> DataFrame:
@@ -63,7 +116,7 @@ def leg_split(pairs: DataFrame) -> DataFrame:
     legs = pairs.select("t1", "t2", F.explode(F.array("t1", "t2")).alias("leg"))
     n = legs.groupBy("leg").agg(F.count("*").alias("n"))
     w = legs.join(n, "leg").groupBy("t1", "t2").agg(F.avg(1 / F.col("n")).alias("_w"))
-    return w.withColumn("weight", F.col("_w") / F.sum("_w").over(Window.partitionBy())).drop("_w")
+    return w.crossJoin(F.broadcast(w.agg(F.sum("_w").alias("_all")))).withColumn("weight", F.col("_w") / F.col("_all")).drop("_w", "_all")
 
 
 def risk_parity(cov: np.ndarray, tol: float = 1e-5, rounds: int = 10_000) -> np.ndarray:
@@ -92,15 +145,20 @@ def risk_parity_by(edges: DataFrame, group: str) -> DataFrame:
 
 def scaled_instruments(returns: DataFrame, key: str, ts: str, r: str, high: float = 0.95, scale: float = 1.15, twin: float = 0.98, near: float = 0.15) -> DataFrame:
     """For each series its most correlated partner, beta, and kind: scaled, duplicate or none."""
-    a = returns.select(F.col(key).alias("i"), ts, F.col(r).alias("a"))
-    b = returns.select(F.col(key).alias("j"), ts, F.col(r).alias("b"))
-    both = a.join(b, ts).where("i <> j").groupBy("i", "j").agg(F.corr("a", "b").alias("rho"), ratio(F.stddev_samp("a"), F.stddev_samp("b")).alias("s"))
-    top = both.where("rho is not null").groupBy("i").agg(F.min_by(F.struct("j", "rho", "s"), F.struct(-F.abs("rho"), "j")).alias("x"))
+    c = _correlated(returns.where(F.col(r).isNotNull() & ~F.isnan(r)), key, ts, r).where("corr is not null")
+    both = c.select("i", "j", F.col("corr").alias("rho"), ratio("sd_i", "sd_j").alias("s")).unionByName(c.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("corr").alias("rho"), ratio("sd_j", "sd_i").alias("s")))
+    top = both.groupBy("i").agg(F.min_by(F.struct("j", "rho", "s"), F.struct(-F.abs("rho"), "j")).alias("x"))
     beta = F.col("x.rho") * F.col("x.s")
     kind = F.when((F.abs("x.rho") >= high) & (F.abs(beta) >= scale), "scaled").when((F.abs("x.rho") >= twin) & (F.abs(beta - 1) < near), "duplicate").otherwise("none")
     return top.select("i", F.col("x.j").alias("partner"), F.col("x.rho").alias("rho"), beta.alias("beta"), kind.alias("kind"))
 
 
+def detect_scaled(returns: DataFrame, key: str, ts: str, r: str, include_duplicates: bool = False, **limits: float) -> DataFrame:
+    """The names of series that are scaled (or duplicates) of another."""
+    kinds = ("scaled", "duplicate") if include_duplicates else ("scaled",)
+    return scaled_instruments(returns, key, ts, r, **limits).where(F.col("kind").isin(*kinds)).select(F.col("i").alias(key))
+
+
 def pair_costs(pairs: DataFrame, cells: DataFrame, fallback: float) -> DataFrame:
     """pairs (t1, t2, formation, w1, w2), cells (formation, ticker, bps) -> bps by notional of the legs that were measured, else the fallback."""
     c = lambda n: cells.select("formation", F.col("ticker").alias(f"t{n}"), F.col("bps").alias(f"b{n}"))
@@ -115,10 +173,23 @@ def sector_etf(stocks: DataFrame, etfs: DataFrame, ts: str, least: int = 200) ->
     return both.withColumn("r2", F.col("rho") * F.col("rho")).groupBy("name").agg(F.min_by(F.struct("etf", "r2"), F.struct(-F.col("r2"), "etf")).alias("x")).select("name", "x.etf", "x.r2")
 
 
-def etf_residuals(df: DataFrame, keys: list[str]) -> DataFrame:
-    """df (keys, r, f) plus beta, intercept and resid of the regression by keys."""
-    fit = df.groupBy(*keys).agg(F.regr_slope("r", "f").alias("beta"), F.regr_intercept("r", "f").alias("a"), F.regr_r2("r", "f").alias("r2"))
-    return df.join(fit, keys).withColumn("resid", F.col("r") - F.col("a") - F.col("beta") * F.col("f"))
+def etf_residuals(df: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+    """df (keys, r, f) plus beta, intercept (a), resid and r2 of the regression of r on f by keys; null where f or r doesn't vary.
+
+    weight: the trading-time factor by which both sides and the constant are scaled: least squares with its square as weight, the residual
+    and r2 being those of the scaled regression.
+    """
+    w = F.lit(1.0) if weight is None else F.col(weight)
+    ok = F.col("r").isNotNull() & F.col("f").isNotNull() & w.isNotNull()
+    w2 = F.when(ok, w * w)
+    mean = df.groupBy(*keys).agg(F.sum(w2).alias("_w"), (F.sum(w2 * F.col("f")) / F.sum(w2)).alias("_x"), (F.sum(w2 * F.col("r")) / F.sum(w2)).alias("_y"))
+    df = df.join(mean, keys)
+    xc, yc = F.col("f") - F.col("_x"), F.col("r") - F.col("_y")
+    fit = df.groupBy(*keys).agg(F.sum(w2 * xc * xc).alias("_xx"), F.sum(w2 * xc * yc).alias("_xy"), F.var_pop(F.when(ok, w * F.col("r"))).alias("_vy"))
+    df = df.join(fit, keys).withColumn("beta", F.when(F.col("_xx") > 1e-18, F.col("_xy") / F.col("_xx"))).withColumn("a", F.col("_y") - F.col("beta") * F.col("_x"))
+    df = df.withColumn("resid", w * (F.col("r") - F.col("a") - F.col("beta") * F.col("f")))
+    r2 = df.groupBy(*keys).agg(F.when(F.first("_vy") > 1e-18, 1 - F.var_pop("resid") / F.first("_vy")).alias("r2"))
+    return df.drop("_w", "_x", "_y", "_xx", "_xy", "_vy").join(r2, keys)
 
 
 def ou_fit(df: DataFrame, keys: list[str], ts: str, x: str = "resid", days: float = 252.0) -> DataFrame:
