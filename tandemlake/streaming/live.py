@@ -8,10 +8,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.models import Hedge
 from ..operators.signals import SignalRule, SignalState, delayed, step
+from ..sources.lake import CLOSE_MINUTE, EARLY_CLOSE, OPEN_MINUTE
 
 
 def stream_bars(ticks: DataFrame, minutes: int = 5, late: str = "2 minutes", ts: str = "ts") -> DataFrame:
@@ -23,6 +25,30 @@ def stream_bars(ticks: DataFrame, minutes: int = 5, late: str = "2 minutes", ts:
     return out.select("ticker", F.col("window.start").alias("bar"), "open", "close", "high", "low", "volume", "n")
 
 
+def stream_session_bars(ticks: DataFrame, early: DataFrame | None = None, late: str = "10 minutes", ts: str = "ts") -> DataFrame:
+    """ticks (ticker, ts in exchange time, px, volume) -> a bar for each ticker and session: ticker, session, open, close, high, low, volume, n.
+
+    Only ticks from the open to the (early) close count. A session is a day of event time, so its bar comes out once the
+    watermark has left the day, however long nobody trades; early (day) is a small static calendar.
+    """
+    minute = F.hour(ts) * 60 + F.minute(ts)
+    df = ticks.withWatermark(ts, late)
+    shut = F.lit(CLOSE_MINUTE)
+    if early is not None:
+        df = df.withColumn("_day", F.to_date(ts)).join(F.broadcast(early.select(F.col("day").alias("_day"), F.lit(EARLY_CLOSE).alias("_shut"))), "_day", "left")
+        shut = F.coalesce("_shut", shut)
+    w = F.window(ts, "1 day")
+    out = df.where((minute >= OPEN_MINUTE) & (minute < shut)).groupBy("ticker", w).agg(
+        F.min_by("px", ts).alias("open"), F.max_by("px", ts).alias("close"), F.max("px").alias("high"), F.min("px").alias("low"), F.sum("volume").alias("volume"), F.count("*").alias("n")
+    )
+    return out.select("ticker", F.to_date("window.start").alias("session"), "open", "close", "high", "low", "volume", "n")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """How many rows (partial aggregates, as the engine counts them) came behind the watermark and were dropped, in the progress that the query still has."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+
+
 SIGNALS = "pair string, ts timestamp, pos int, n1 double, n2 double, entry boolean, exit boolean, stop boolean"
 STATE = "state string"
 

@@ -5,12 +5,12 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from tandemlake.plans import catalog
+from tandemlake.plans import catalog, desk  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 pytestmark = pytest.mark.skipif(not Path(DIR).exists(), reason="no test tables here")
-QUICK = ["static_hedge_half_life", "rolling_hedge", "dominant_instrument", "session_grid", "session_bars", "multiple_testing", "walk_forward_folds", "ou_scores", "capped_weights", "pair_round_trips"]
+QUICK = ["static_hedge_half_life", "rolling_hedge", "dominant_instrument", "session_grid", "session_bars", "multiple_testing", "walk_forward_folds", "ou_scores", "capped_weights", "pair_round_trips", "pair_signals", "book_band", "kalman_continued", "stitched_signals", "history_z", "breaker_audit", "netted_book", "session_book_c", "forward_targets", "testing_over_all", "partial_adjustment", "trade_edge"]
 
 
 @pytest.fixture(scope="module")

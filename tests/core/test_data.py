@@ -73,6 +73,8 @@ def test_sessions(spark):
     g = {(r.ticker, r.session.month, r.minute): (r.close, r.traded) for r in grid.collect()}
     assert g["A", 7, 3] == (11.0, 0) and g["B", 7, 0] == (None, 0) and g["B", 7, 5] == (7.0, 0)
     assert ("A", 11, 240) not in g and g["A", 11, 30] == (4.0, 1)
+    sizes = {(r.ticker, r.session.month): r["count"] for r in grid.groupBy("ticker", "session").count().collect()}
+    assert sizes == {("A", 7): 390, ("B", 7): 390, ("A", 11): 210}  # every minute, whoever traded
     bars = {(r.ticker, r.session.month): r for r in K.session_bars(grid).collect()}
     assert bars["A", 7].open == 10.0 and bars["A", 7].close == 15.0 and bars["A", 7].volume == 15 and bars["A", 7].dollar_volume == 5 * (10 + 11 + 15)
     k = {(r.ticker, r.session.month, r.bucket): r.close for r in K.k_minute(grid, 5).collect()}
@@ -202,6 +204,28 @@ def test_stream_equals_batch(spark, tmp_path):
     assert np.allclose([(r.beta, r.alpha) for r in states], want)
 
 
+def test_stream_sessions_and_late_rows(spark, tmp_path):
+    day = lambda d, h, m, px: {"ticker": "A", "ts": pd.Timestamp(2024, 7, d, h, m), "px": px, "volume": 1}
+    pdf = pd.DataFrame([day(3, 9, 29, 1.0), day(3, 9, 30, 2.0), day(3, 12, 59, 3.0), day(3, 13, 0, 9.0), day(5, 10, 0, 4.0), day(5, 11, 0, 5.0), day(5, 15, 58, 6.0), day(5, 15, 59, 6.0), day(3, 10, 0, 7.0), day(8, 10, 0, 1.0), day(8, 10, 1, 1.0), day(8, 10, 2, 1.0)])
+    ticks = source(spark, tmp_path, pdf, 6, "ticker string, ts timestamp, px double, volume long")
+    q = live.stream_session_bars(ticks, K.early_closes(spark, "2024-01-01", "2024-12-31")).writeStream.format("memory").queryName("live_sessions").outputMode("append").start()
+    try:
+        q.processAllAvailable()
+        assert live.late_rows(q) == 1  # the tick of the 3rd that came after the 5th
+        got = {r.session.day: (r.open, r.close, r.n) for r in spark.table("live_sessions").collect()}
+    finally:
+        q.stop()
+    assert got == {3: (2.0, 3.0, 2), 5: (4.0, 6.0, 4)}
+
+
+def test_stream_legs_meet(spark, tmp_path):
+    at = [dt.datetime(2024, 1, 1, 10, m) for m in range(0, 30, 5)]
+    side = lambda name, rows: source(spark, tmp_path / name, pd.DataFrame(rows, columns=["pair", "bar", "close"]), 2, "pair string, bar timestamp, close double")
+    a, b = side("a", [("p", t, float(i)) for i, t in enumerate(at)]), side("b", [("p", t, 10.0 + i) for i, t in enumerate(at) if i != 2])
+    got = sorted((r.bar, r.P1, r.P2) for r in collect_stream(spark, live.aligned_legs(a, b), "live_legs"))
+    assert got == [(t, float(i), 10.0 + i) for i, t in enumerate(at) if i != 2]
+
+
 def test_stream_bars_close_behind_the_watermark(spark, tmp_path):
     pdf = pd.DataFrame({"ticker": "A", "ts": pd.date_range("2024-01-01 09:30", periods=30, freq="min"), "px": np.arange(30.0), "volume": 1})
     ticks = source(spark, tmp_path, pdf, 2, "ticker string, ts timestamp, px double, volume long")
