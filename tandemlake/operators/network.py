@@ -22,9 +22,11 @@ def matrix(pdf: pd.DataFrame) -> tuple[list, np.ndarray]:
 
 
 def tmfg(w: np.ndarray) -> Edges:
-    """Triangulated graph of 3(n - 2) edges: from the four heaviest nodes on, the node and face of the largest gain come next.
+    """Triangulated graph of 3(n - 2) edges: from the four heaviest nodes on, the node and face of the largest gain come next (Massara, Di Matteo
+    and Aste, 2016).
 
-    The best face of each node is kept and found anew only when that face is used up.
+    The best node of each face is kept, and found anew only when that node has been placed; of equal gains the least node, then the
+    oldest face.
     """
     n = len(w)
     if n < 4:
@@ -33,21 +35,41 @@ def tmfg(w: np.ndarray) -> Edges:
     np.fill_diagonal(a, 0)
     seed = [int(i) for i in np.argsort(-a.sum(axis=1), kind="stable")[:4]]
     edges = [(seed[i], seed[j], a[seed[i], seed[j]]) for i in range(4) for j in range(i + 1, 4)]
-    faces = np.array([sorted(seed[:i] + seed[i + 1 :]) for i in (3, 2, 1, 0)])
-    left = np.array([i for i in range(n) if i not in seed])
-    while len(left):
-        gain = a[left][:, faces].sum(axis=2)
-        v, f = np.unravel_index(gain.argmax(), gain.shape)
-        node, face = int(left[v]), [int(u) for u in faces[f]]
-        edges += [(node, u, a[node, u]) for u in face]
-        new = [sorted((node, face[0], face[1])), sorted((node, face[0], face[2])), sorted((node, face[1], face[2]))]
-        faces = np.vstack([np.delete(faces, f, axis=0), new])
-        left = np.delete(left, v)
+    free = np.ones(n, bool)
+    free[seed] = False
+    faces: list[list[int]] = []
+    gain, node = np.full(3 * n, -np.inf), np.full(3 * n, n)  # by face; a face that is used up has no gain
+
+    def look(f: int) -> None:
+        left = np.flatnonzero(free)
+        total = a[left][:, faces[f]].sum(axis=1)
+        k = int(total.argmax())
+        gain[f], node[f] = total[k], left[k]
+
+    def add(face: list[int]) -> None:
+        faces.append(face)
+        if free.any():
+            look(len(faces) - 1)
+
+    for i in (3, 2, 1, 0):
+        add(sorted(seed[:i] + seed[i + 1 :]))
+    while free.any():
+        best = np.flatnonzero(gain == gain.max())
+        f = int(best[node[best].argmin()])
+        v, face = int(node[f]), faces[f]
+        edges += [(v, u, a[v, u]) for u in face]
+        free[v], gain[f], node[f] = False, -np.inf, n
+        for pair in ((face[0], face[1]), (face[0], face[2]), (face[1], face[2])):
+            add(sorted((v, *pair)))
+        if free.any():
+            for f in np.flatnonzero(node == v).tolist():
+                look(f)
     return edges
 
 
 def is_planar(n: int, edges: list[tuple[int, int]]) -> bool:
-    """Left-right planarity test: depth-first orientation, then constraints on return edges kept in a stack of conflict pairs."""
+    """Left-right planarity test (de Fraysseix and Rosenstiehl; in the form of U. Brandes, The left-right planarity test, 2009): depth-first
+    orientation, then constraints on return edges kept in a stack of conflict pairs."""
     if n > 2 and len(edges) > 3 * n - 6:
         return False
     adj: dict[int, list[int]] = defaultdict(list)

@@ -681,12 +681,11 @@ def kalman_continued(spark, sf):
 
 @query()
 def hedge_gate(spark, sf):
-    """Two indices over all trades, of small and of large parts, by month."""
-    t = W.table(spark, sf, "lineitem").join(W.table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    small = F.col("p_size") <= 25
-    px = lambda c: F.sum(F.when(c, F.col("l_extendedprice"))) / F.sum(F.when(c, F.col("l_quantity")))
-    p = t.groupBy(F.to_date(F.date_trunc("month", "l_shipdate")).alias("d")).agg(px(small).alias("P1"), px(~small).alias("P2"))
-    return M.hedge_gate(p.select(F.lit("small").alias("t1"), F.lit("large").alias("t2"), "d", "P1", "P2"), PAIR, "d", draws=9)
+    """The twenty pairs of the rule that takes the least raw p among those that pass both tests (by month), each with 199 draws for each test."""
+    b = W.bars(spark, sf, "month").select("ticker", "d", "px")
+    rule = M.screen(b).where("eg_p <= 0.05 and joh_pass").orderBy("eg_p", *PAIR).limit(20).select(*PAIR)
+    p = S.pair_series(b, pairs=rule)
+    return M.hedge_gate(p, PAIR, "d")
 
 
 def _similarity(spark, sf):

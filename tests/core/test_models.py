@@ -175,3 +175,13 @@ def test_graphs_by_group(spark):
     assert graph.groupBy("f").count().collect()[0]["count"] == 21
     roles = N.node_roles(graph, "f").toPandas()
     assert isinstance(roles, pd.DataFrame) and len(roles) == 18 and {"central", "peripheral"} <= set(roles["role"])
+
+
+def test_many_fits_at_once_are_the_single_ones():
+    y, x = M.simulate_tv(60, 0.6, 0.1, seed=5)
+    draws = np.array(M.bootstrap_draws(y, x, {"theta": 1.0}, 3, 1))
+    p, se, ok = M.fit_tv_many(draws, x)
+    for i, d in enumerate(draws):
+        one = M.fit_tv(d, x)
+        assert ok[i] == one.converged and np.allclose(p[i], one.params, atol=1e-5) and np.allclose(se[i], one.se, rtol=1e-3, equal_nan=True)
+        assert M.tv_loglik_many(p[[i]], draws[[i]].T, x)[0] == pytest.approx(M.tv_loglik(p[i], d, x)[0])
