@@ -89,6 +89,35 @@ def position_weights(df: DataFrame, keys: list[str], method: str = "inv_vol", ma
     return capped(out, keys, max_weight) if max_weight is not None else out
 
 
+def suggested_weights(df: DataFrame, keys: list[str], ts: str, method: str = "inv_vol", max_weight: float = 0.4, risk: str = "per_dollar", cap: str = "iterative") -> DataFrame:
+    """df (keys, ts, P1, P2, beta, resid) -> keys, resid_var (of the residual's changes), var_per_dollar (null under price_units), inv_var_weight (before the
+    cap), weight, suggested_capital_pct. A pair without a positive variance has weight zero.
+
+    risk: the spread's return for each dollar (per_dollar), or the change of its residual (price_units). cap: fill up under max_weight (at least an equal
+    share), or one_pass, which cuts and scales once and can end above it.
+    """
+    if method not in ("inv_var", "inv_vol", "equal") or risk not in ("per_dollar", "price_units") or cap not in ("iterative", "one_pass") or not 0 < max_weight <= 1:
+        raise ValueError("method must be inv_var, inv_vol or equal, risk per_dollar or price_units, cap iterative or one_pass, max_weight in (0, 1]")
+    w = Window.partitionBy(*keys).orderBy(ts)
+    known = df.where(F.col("resid").isNotNull())
+    v = known.withColumn("_e", F.col("resid") - F.lag("resid").over(w)).groupBy(*keys).agg(F.var_samp("_e").alias("resid_var"))
+    if risk == "per_dollar":
+        v = v.join(spread_returns(df, keys, ts).groupBy(*keys).agg(F.var_samp("r").alias("var_per_dollar")), keys)
+    else:
+        v = v.withColumn("var_per_dollar", F.lit(None).cast("double"))
+    var = F.col("var_per_dollar" if risk == "per_dollar" else "resid_var")
+    raw = {"equal": F.lit(1.0), "inv_var": 1 / var, "inv_vol": 1 / F.sqrt(var)}[method]
+    v = v.withColumn("_w", F.when(var > 0, raw).otherwise(0.0))
+    v = v.crossJoin(F.broadcast(v.agg(F.sum("_w").alias("_all")))).withColumn("inv_var_weight", F.coalesce(ratio("_w", "_all"), F.lit(0.0))).drop("_w", "_all")
+    if cap == "iterative":
+        some = capped(v.where("inv_var_weight > 0").withColumn("weight", F.col("inv_var_weight")), keys, max_weight)
+        out = some.unionByName(v.where("inv_var_weight <= 0").withColumn("weight", F.lit(0.0)))
+    else:
+        cut = v.withColumn("_c", F.least("inv_var_weight", F.lit(float(max_weight))))
+        out = cut.crossJoin(F.broadcast(cut.agg(F.sum("_c").alias("_s")))).withColumn("weight", F.coalesce(ratio("_c", "_s"), F.lit(0.0))).drop("_c", "_s")
+    return out.withColumn("suggested_capital_pct", 100 * F.col("weight"))
+
+
 def capped(df: DataFrame, keys: list[str], cap: float) -> DataFrame:
     """Weights (that sum to 1) under a cap, the rest filled up in proportion: with weights in falling order, the first m are at the cap, for the
     least m that keeps the others below it. A cap below an equal share gives equal weights.

@@ -431,6 +431,13 @@ def participation(spark, sf):
     return Y.participation(t, W.bars(spark, sf), ["ticker", "d"]).select(*PAIR, "d", *r6("traded", n=4), *r6("participation", n=8))
 
 
+@query(f"""WITH {W.RESID}, e AS (SELECT t1, t2, var_samp(x) AS v FROM (SELECT t1, t2, resid - lag(resid) OVER (PARTITION BY t1, t2 ORDER BY d) AS x FROM resid) GROUP BY ALL), g AS (SELECT *, (1 / v) / sum(1 / v) OVER () AS g FROM e), h AS (SELECT *, least(g, 0.004) AS h FROM g)
+SELECT t1, t2, round(v, 2) AS resid_var, round(g, 9) AS inv_var_weight, round(h / sum(h) OVER (), 9) AS weight FROM h""")
+def one_pass_weights(spark, sf):
+    out = P.suggested_weights(W.resid(spark, sf), PAIR, "d", "inv_var", 0.004, "price_units", "one_pass")
+    return out.select(*PAIR, *r6("resid_var", n=2), *r6("inv_var_weight", "weight", n=9))
+
+
 # ------------------------------------------------------------------ plot data
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -91,26 +92,88 @@ def scan(spark: SparkSession, paths: list[str], kind: str = "day", columns: list
     return df.select(*dict.fromkeys(["datetime", "ticker", *columns])) if columns else df
 
 
-def load_lake(spark: SparkSession, paths: list[str], tickers: Iterable[str] | None, start: str, end: str, source_tz: str = "UTC", to_tz: str | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Rows of the tickers within [start, end]; a date alone as the end means the whole of that day. Instants can be shown in another zone."""
-    df = scan(spark, paths, "day", columns).withColumn("ticker", F.upper("ticker"))
+def to_instant(c: Column, tz: str) -> Column:
+    """Clock times of a zone as UTC: a time that the clock skips is moved to the first one after the gap, one that it shows twice is null."""
+    utc = F.convert_timezone(F.lit(tz), F.lit("UTC"), c)
+    shown = lambda u: F.convert_timezone(F.lit("UTC"), F.lit(tz), u)
+    hour = F.expr("INTERVAL 1 HOUR")
+    twice = (shown(utc + hour) == c) | (shown(utc - hour) == c)
+    skipped = shown(utc) != c
+    return F.when(twice, F.lit(None).cast("timestamp_ntz")).when(skipped, F.date_trunc("hour", utc).cast("timestamp_ntz")).otherwise(utc)
+
+
+def load_lake(spark: SparkSession, paths: list[str], tickers: Iterable[str] | None, start: str, end: str, source_tz: str = "UTC", to_tz: str | None = None, columns: list[str] | None = None, kind: str = "day") -> DataFrame:
+    """Rows of the tickers within [start, end] (clock times of source_tz); a date alone as the end means the whole of that day.
+
+    The lake's times are clock times of source_tz (see to_instant; what has no instant falls out) and are shown in to_tz, or as they are.
+    """
+    df = scan(spark, paths, kind, columns).withColumn("ticker", F.upper("ticker"))
     stop = F.expr(f"timestamp_ntz '{end}'") if len(end) > 10 else F.expr(f"timestamp_ntz '{end}' + interval 1 day - interval 1 microsecond")
     df = df.where(F.col("datetime").between(F.expr(f"timestamp_ntz '{start}'"), stop))
     if tickers is not None:
         df = df.where(F.col("ticker").isin(sorted({t.upper() for t in tickers})))
-    return df.withColumn("datetime", F.convert_timezone(F.lit(source_tz), F.lit(to_tz), "datetime")) if to_tz else df
+    if source_tz != "UTC":
+        utc = to_instant(F.col("datetime"), source_tz)
+        df = df.withColumn("datetime", F.convert_timezone(F.lit("UTC"), F.lit(to_tz or source_tz), utc)).where("datetime is not null")
+    elif to_tz:
+        df = df.withColumn("datetime", F.convert_timezone(F.lit("UTC"), F.lit(to_tz), "datetime"))
+    return df
+
+
+def open_lake(spark: SparkSession, root: str, tickers: Iterable[str], start: str, end: str, granularity: str = "day", manifest: str | None = None, fallback: bool = True, **options) -> DataFrame:
+    """Rows of a lake by tickers and range: files come from a manifest (a JSON text file; relative paths are under root), or, where there is none or
+    it names none and fallback is on, from the folders. No files: no rows. Options as for load_lake()."""
+    if granularity not in ("day", "minute"):
+        raise ValueError("granularity must be day or minute")
+    names, paths = sorted({t.upper() for t in tickers}), []
+    lo, hi = dt.date.fromisoformat(start[:10]), dt.date.fromisoformat(end[:10])
+    if manifest:
+        table = parse_manifest(spark.read.option("wholetext", "true").text(manifest))
+        stop = end if len(end) > 10 else f"{end} 23:59:59"
+        paths = sorted(r["path"] if "://" in r["path"] or r["path"].startswith("/") else f"{root}/{r['path']}" for r in select_from_manifest(table, start, stop, names).collect())  # file names
+    if not paths and (fallback or not manifest):
+        paths = (select_files if granularity == "day" else select_day_files)(spark, root, lo, hi, names)
+    return load_lake(spark, paths, names, start, end, kind=granularity, **options)
 
 
 def write(df: DataFrame, path: str) -> None:
-    """A sink by suffix: .parquet, .csv or .txt; formats without a native sink are refused."""
+    """A sink by suffix: .parquet, .csv, .txt, or .feather and .ft (a folder with a file for each task); others are refused."""
     if path.endswith(".parquet"):
         df.write.mode("overwrite").parquet(path)
     elif path.endswith((".csv", ".txt")):
         df.write.mode("overwrite").option("header", "true").csv(path)
+    elif path.endswith((".feather", ".ft")):
+        _write_feather(df, path)
     else:
         raise ValueError(f"no sink for {path}")
 
 
+def _write_feather(df: DataFrame, path: str) -> None:
+    """Each task writes a file under a name of its own and reports it; files of attempts that didn't count are removed."""
+    import pyarrow as pa
+    from pyarrow import fs, ipc
+
+    def work(batches):
+        from pyspark import TaskContext
+
+        store, folder = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        store.create_dir(folder, recursive=True)
+        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.feather"
+        out = None
+        for b in batches:
+            out = out or ipc.new_file(store.open_output_stream(f"{folder}/{name}", compression=None), b.schema)
+            out.write_batch(b)
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    made = {r["name"] for r in df.mapInArrow(work, "name string").collect()}  # a name for each task
+    store, folder = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    for f in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+        if f.base_name not in made:
+            store.delete_file(f.path)
+
+
 def append_missing(df: DataFrame, path: str, keys: list[str], partition: str) -> int:
     """A resumable sink: rows whose keys the sink doesn't have yet are appended, by partition. How many there were."""
     spark = df.sparkSession

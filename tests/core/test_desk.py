@@ -74,6 +74,86 @@ def test_minute_lake_in_both_layouts(spark, tmp_path):
             load(roots[0], tickers, start, end)
 
 
+def test_clock_times_of_a_zone(spark, tmp_path):
+    t = [dt.datetime(2024, 3, 10, 2, 30), dt.datetime(2024, 11, 3, 1, 30), dt.datetime(2024, 11, 3, 0, 59), dt.datetime(2024, 11, 3, 2, 0), dt.datetime(2024, 7, 1, 9, 30)]
+    got = [r.u for r in spark.createDataFrame([(i, x) for i, x in enumerate(t)], "i int, t timestamp_ntz").select("i", K.to_instant(F.col("t"), "US/Eastern").alias("u")).orderBy("i").collect()]
+    want = pd.Series(t).dt.tz_localize("US/Eastern", nonexistent="shift_forward", ambiguous="NaT").dt.tz_convert("UTC").dt.tz_localize(None)
+    assert [None if x is None else pd.Timestamp(x) for x in got] == [None if pd.isna(x) else x for x in want]
+
+
+def test_open_lake_sinks_and_command_line(spark, tmp_path, capsys, monkeypatch):
+    from tandemlake.sources import cli
+
+    rows = minute_rows().assign(close_split=1.0)
+    rows = rows[rows["datetime"].dt.date == dt.date(2024, 7, 1)]
+    p = tmp_path / "lake" / "AAA" / "2024" / "07" / "01.parquet"
+    p.parent.mkdir(parents=True)
+    own = rows[rows["ticker"] == "AAA"]
+    own.to_parquet(p, coerce_timestamps="us")
+    root = f"file://{tmp_path}/lake"
+    n = K.open_lake(spark, root, ["aaa"], "2024-07-01", "2024-07-01", "minute").count()
+    assert n == len(own) > 380
+    manifest = tmp_path / "m.json"
+    manifest.write_text('{"AAA": [{"path": "AAA/2024/07/01.parquet", "start": "2024-07-01 00:00:00", "end": "2024-07-01 23:00:00", "rows": 1}]}')
+    opened = lambda lo, **kw: K.open_lake(spark, root, ["AAA"], lo, "2024-07-01", "minute", f"file://{manifest}", **kw).count()
+    assert opened("2024-07-01") == n
+    manifest.write_text("{}")
+    assert opened("2024-07-01") == n and opened("2024-07-01", fallback=False) == 0
+    with pytest.raises(ValueError):
+        K.open_lake(spark, root, ["AAA"], "2024-07-01", "2024-07-01", "hour")
+    df = K.open_lake(spark, root, ["AAA"], "2024-07-01", "2024-07-01", "minute", columns=["close"])
+    for name in ("a.parquet", "a.csv", "a.feather"):
+        K.write(df, f"file://{tmp_path}/out/{name}")
+    import pyarrow.feather as feather
+
+    assert sum(feather.read_table(f).num_rows for f in (tmp_path / "out" / "a.feather").iterdir()) == n == spark.read.parquet(f"file://{tmp_path}/out/a.parquet").count()
+    with pytest.raises(ValueError):
+        K.write(df, "x.xls")
+    monkeypatch.setattr(cli, "build_session", lambda app: spark)
+    common = ["--tickers", "aaa, zzz", "--start", "2024-07-01", "--end", "2024-07-01", "--root", root, "--granularity", "minute"]
+    assert cli.main(common) == 0 and f"{n} rows" in capsys.readouterr().out
+    assert cli.main([*common, "--columns", "close", "--out", f"file://{tmp_path}/out/b.csv"]) == 0 and spark.read.option("header", "true").csv(f"file://{tmp_path}/out/b.csv").count() == n
+
+
+def test_session_helpers(spark):
+    from tandemlake.session import build_session, panel, require_columns
+
+    assert build_session("x") is not None and require_columns(spark.range(1), "id").columns == ["id"]
+    with pytest.raises(ValueError):
+        require_columns(spark.range(1), "x")
+
+
+def test_panels_follow_their_files(spark, tmp_path):
+    from tandemlake.session import panel
+
+    src, made = f"{tmp_path}/src.parquet", []
+
+    def make():
+        made.append(1)
+        return spark.read.parquet(src)
+
+    spark.range(3).write.parquet(src)
+    assert [panel(spark, "p", [src], make).count() for _ in range(2)] == [3, 3] and len(made) == 1
+    spark.range(5).write.mode("overwrite").parquet(src)
+    assert panel(spark, "p", [src], make).count() == 5 and len(made) == 2
+
+
+def test_suggested_weights(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k, d, 100.0 + float(a), 50.0, 1.0, float(a)) for k, s in (("a", 1.0), ("b", 2.0), ("c", 4.0), ("flat", 0.0)) for d, a in zip(days(40), np.cumsum(rng.normal(size=40)) * s)]
+    df = spark.createDataFrame(rows, "pair string, ts date, P1 double, P2 double, beta double, resid double")
+    got = {r.pair: r for r in P.suggested_weights(df, ["pair"], "ts", "inv_vol", 0.5, "price_units").collect()}
+    sd = {k: np.std(np.diff([r[5] for r in rows if r[0] == k]), ddof=1) for k in "abc"}
+    raw = {k: 1 / sd[k] / sum(1 / x for x in sd.values()) for k in "abc"}
+    assert got["flat"].weight == 0 and got["a"].weight == pytest.approx(0.5) and all(got[k].inv_var_weight == pytest.approx(raw[k]) for k in "abc")
+    assert got["b"].weight == pytest.approx(0.5 * raw["b"] / (raw["b"] + raw["c"])) and got["a"].var_per_dollar is None
+    once = {r.pair: r.weight for r in P.suggested_weights(df, ["pair"], "ts", "inv_vol", 0.4, "price_units", "one_pass").collect()}
+    cut = {k: min(raw[k], 0.4) for k in "abc"}
+    assert all(once[k] == pytest.approx(cut[k] / sum(cut.values())) for k in "abc") and P.suggested_weights(df, ["pair"], "ts").where("var_per_dollar > 0").count() == 3
+    with pytest.raises(ValueError):
+        P.suggested_weights(df, ["pair"], "ts", max_weight=0.0)
+
+
 def test_roll_takes_traded_minutes_only(spark):
     rng = np.random.default_rng(5)
     price = 100 + rng.choice([-0.02, 0.02], 60) + np.cumsum(rng.normal(0, 0.001, 60))
