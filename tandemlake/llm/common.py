@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from contextlib import suppress
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,6 +136,7 @@ def tidy(work: Callable, keeps: str = "") -> Callable:
             yield from work(batches)
         finally:
             gc.collect()
+            pa.default_memory_pool().release_unused()
             with suppress(OSError, AttributeError):
                 ctypes.CDLL("libc.so.6").malloc_trim(0)
 
@@ -168,6 +170,13 @@ def _inverse(b: int) -> int:
 _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
+def _forget_powers() -> None:
+    _POWERS.update(up=np.ones(1, np.uint64), down=np.ones(1, np.uint64))
+
+
+KEPT["powers"] = _forget_powers
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i below n."""
     if len(_POWERS["up"]) < n:

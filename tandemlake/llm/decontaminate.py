@@ -29,7 +29,7 @@ from .common import all_of, drop_all_but, field, mix, prefix_hashes, quoted, run
 WINDOW = 13
 SHINGLE = 3
 BLOCK = 50_000
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: ASCII capitals become small letters; every other ASCII byte but digits and letters separates words.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 STEPS = [mix(np.array([7919 + k], dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))[0] | np.uint64(1) for k in range(WINDOW)]

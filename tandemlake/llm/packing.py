@@ -20,6 +20,7 @@ from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,12 @@ WINDOW = 2048
 LEVELS = 64
 MOST_OPEN = 64
 END_ID = 1
-TEXT_BYTES = 4_000_000
+TEXT_BYTES = 2_000_000
 NEVER = 1 << 62
-CACHE_WORDS = 450_000
+CACHE_WORDS = 340_000
 LONG_WORD = 48
+#: Words that are looked up as one text.
+TOGETHER = 1000
 STOPS = b".,;:!?"
 #: A letter of ASCII or Latin-1 (in UTF-8) at the end.
 LETTER = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])$")
@@ -52,25 +55,55 @@ class _Ids(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a pre-token
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.extra: dict[bytes, bytes] = {}
 
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Look up words that aren't known, all in one call of the tokenizer -> those that can't be remembered."""
+    def __missing__(self, word: bytes) -> bytes:
+        return self.extra[word]
+
+    def learn(self, words: set[bytes]) -> None:
+        """Look words up that aren't known; those for which there is no room are in `extra` until the next call."""
         cut = {}
         for w in words:
             stem = w.rstrip(STOPS)
-            cut[w] = (stem, w[len(stem) :]) if len(stem) < len(w) and LETTER.search(stem) else (w,)
-        wanted = list({x for parts in cut.values() for x in parts}.difference(self))
-        got = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in wanted], add_special_tokens=False) if wanted else []
-        new = {x: array("I", e.ids).tobytes() for x, e in zip(wanted, got)}
-        extra = {}
-        for w, parts in cut.items():
-            new[w] = b"".join([new[x] if x in new else self[x] for x in parts])
-        for w, ids in new.items():
-            if len(w) <= LONG_WORD and len(self) < CACHE_WORDS:
-                self[w] = ids
-            else:
-                extra[w] = ids
-        return extra
+            if len(stem) < len(w) and LETTER.search(stem):
+                cut[w] = (stem, w[len(stem) :])
+        wanted = words.difference(cut).union(*cut.values()).difference(self) if cut else words
+        new = self._encoded(list(wanted))
+        for w, (stem, stops) in cut.items():
+            new[w] = (new[stem] if stem in new else self[stem]) + (new[stops] if stops in new else self[stops])
+        room = CACHE_WORDS - len(self)
+        if len(new) <= room and max(map(len, new), default=0) <= LONG_WORD:
+            self.update(new)
+            self.extra = {}
+            return
+        kept = {w: ids for w, ids in islice(new.items(), max(0, room)) if len(w) <= LONG_WORD}
+        self.update(kept)
+        self.extra = {w: ids for w, ids in new.items() if w not in kept}
+
+    def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Words of letters alone are one pre-token each and go to the tokenizer as one text, the others one by one."""
+        out, others, letters = {}, [], []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            (letters if text.isalpha() else others).append((w, text))
+        for a in range(0, len(letters), TOGETHER):
+            part = letters[a : a + TOGETHER]
+            got = self.tokenizer.encode_batch_fast([" ".join([t for _, t in part])], add_special_tokens=False)[0]
+            ids = np.array(got.ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(ends) != len(part) or ends[-1] != 4 * len(ids):  # a letter that falls apart when it becomes small, or another kind of model
+                others += part
+                continue
+            ids, ends = ids.tobytes(), ends.tolist()
+            for (w, _), start, end in zip(part, [0, *ends], ends):
+                out[w] = ids[start:end]
+        if others:
+            got = self.tokenizer.encode_batch_fast([t for _, t in others], add_special_tokens=False)
+            out.update({w: array("I", e.ids).tobytes() for (w, _), e in zip(others, got)})
+        return out
 
 
 #: The tokenizer and what it remembers stay with the worker process, from task to task.
@@ -92,10 +125,9 @@ class Tokens:
         known = self.known
         for a, b in runs_by_size([len(t or b"") for t in texts], TEXT_BYTES):
             lists = [(t.split() if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower().split()) if t else [] for t in texts[a:b]]
-            extra = known.learn(set().union(*lists).difference(known))
-            look = (lambda w, extra=extra: known[w] if w in known else extra[w]) if extra else known.__getitem__
+            known.learn(set().union(*lists).difference(known))
             for words in lists:
-                yield b"".join(map(look, words))
+                yield b"".join(map(known.__getitem__, words))
 
 
 class Packer:

@@ -29,7 +29,7 @@ from .common import all_of, drop_all_but, field, join_splittable, mix, prefix_ha
 
 GRAM = 200
 K = 40
-CHUNK = 1_000_000
+CHUNK = 500_000
 GROUP_LIMIT = 4096
 KERNEL_BYTES = 2_000_000
 BLOCK = 16

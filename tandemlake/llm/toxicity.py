@@ -25,7 +25,7 @@ FEATURES = 20_000
 LEAST_EVIDENCE = 6.0
 SAMPLE = 8_000
 SAMPLE_CHARS = 25_000_000
-CHUNK = 1_000_000
+CHUNK = 500_000
 THRESHOLD = 0.7
 SCHEMA = "feature array<int>, weight array<float>, bias double"
 
