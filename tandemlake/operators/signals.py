@@ -246,9 +246,10 @@ def stitched(folds: DataFrame, keys: list[str], rule: SignalRule = SignalRule(),
         for _, part in pdf.sort_values(["fold", ts], kind="stable").groupby("fold"):
             got = _fold(part, rule, carried)
             carried = got[-1][1:4]
-            frame = pd.DataFrame(got, columns=["z", "pos", "n1", "n2", "entry", "exit", "stop"], index=part.index)
-            parts.append(pd.concat([part[[*keys, "fold", ts]], frame], axis=1))
-        return pd.concat(parts)
+            parts.append((part.index, got))
+        frame = pd.DataFrame([row for _, got in parts for row in got], columns=["z", "pos", "n1", "n2", "entry", "exit", "stop"])
+        left = pdf.loc[[i for index, _ in parts for i in index], [*keys, "fold", ts]].reset_index(drop=True)
+        return pd.concat([left, frame], axis=1)
 
     return df.groupBy(*keys).applyInPandas(work, schema)
 

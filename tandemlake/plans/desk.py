@@ -331,15 +331,15 @@ def selection_overlap(spark, sf):
     return U.overlap(a, b, ["formation"])
 
 
-PAGE = f"""{W.RETURNS}, c AS (SELECT year(a.d) AS formation, a.ticker AS t1, b.ticker AS t2, round(exp(-10 * abs(corr(a.r, b.r))), 9) AS p FROM r a JOIN r b ON a.d = b.d AND a.ticker < b.ticker GROUP BY ALL),
-q AS (SELECT *, row_number() OVER (PARTITION BY formation ORDER BY p, t1, t2) AS i, count(*) OVER (PARTITION BY formation) AS n FROM c),
-pg AS (SELECT formation, t1, t2, p AS eg_p, least(min(p * n / i) OVER (PARTITION BY formation ORDER BY p, t1, t2 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) AS eg_p_fdr FROM q)"""
+PAGE = f"""{W.RETURNS}, c AS (SELECT year(a.d) AS formation, a.ticker AS t1, b.ticker AS t2, CASE WHEN NOT isnan(corr(a.r, b.r)) THEN round(exp(-10 * abs(corr(a.r, b.r))), 9) END AS p FROM r a JOIN r b ON a.d = b.d AND a.ticker < b.ticker GROUP BY ALL),
+q AS (SELECT *, row_number() OVER (PARTITION BY formation ORDER BY p NULLS LAST, t1, t2) AS i, count(p) OVER (PARTITION BY formation) AS n FROM c),
+pg AS (SELECT formation, t1, t2, p AS eg_p, CASE WHEN p IS NULL THEN 1 ELSE least(min(p * n / i) OVER (PARTITION BY formation ORDER BY p NULLS LAST, t1, t2 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) END AS eg_p_fdr FROM q)"""
 
 
 def _page(spark, sf):
     r = W.returns(spark, sf).select("ticker", "d", "r")
     both = r.select(F.col("ticker").alias("t1"), "d", F.col("r").alias("a")).join(r.select(F.col("ticker").alias("t2"), "d", F.col("r").alias("b")), "d").where("t1 < t2")
-    p = both.groupBy(F.year("d").cast("long").alias("formation"), *PAIR).agg(F.round(F.exp(-10 * F.abs(F.corr("a", "b"))), 9).alias("eg_p"))
+    p = both.groupBy(F.year("d").cast("long").alias("formation"), *PAIR).agg(F.round(F.exp(-10 * F.abs(X.finite(F.corr("a", "b")))), 9).alias("eg_p"))
     return S.benjamini_hochberg(p, "eg_p", group=["formation"]).withColumnRenamed("p_adj", "eg_p_fdr").withColumn("verdict", F.when(F.col("eg_p_fdr") <= 0.9, "pass").otherwise("fail"))
 
 
@@ -354,7 +354,8 @@ def verdicts_by_era(spark, sf):
     return U.crosstab(df, "era", "verdict").select("era", "verdict", "n", *r6("share", n=8))
 
 
-@query(f"""WITH {PAGE}, k AS (SELECT *, row_number() OVER (ORDER BY eg_p, formation, t1, t2) AS i, count(*) OVER () AS m FROM pg WHERE eg_p IS NOT NULL) SELECT formation, t1, t2, round(least(min(eg_p * m / i) OVER (ORDER BY eg_p, formation, t1, t2 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1), 9) AS p_adj FROM k""")
+@query(f"""WITH {PAGE}, k AS (SELECT *, row_number() OVER (ORDER BY eg_p, formation, t1, t2) AS i, count(*) OVER () AS m FROM pg WHERE eg_p IS NOT NULL) SELECT formation, t1, t2, round(least(min(eg_p * m / i) OVER (ORDER BY eg_p, formation, t1, t2 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1), 9) AS p_adj FROM k
+UNION ALL SELECT formation, t1, t2, 1 FROM pg WHERE eg_p IS NULL""")
 def testing_over_all(spark, sf):
     """Adjusted over all tests together, by ranges of p."""
     p = _page(spark, sf).select("formation", *PAIR, "eg_p")
