@@ -47,5 +47,47 @@ def test_stage_keeps_one_of_all_pairs_at_four_fifths(spark):
     assert 20 < len(got) < len(rows) - 20
 
 
+def edited(base, r, edits, words):
+    w = list(base)
+    for _ in range(edits):
+        at, how = r.randrange(len(w)), r.random()
+        w[at : at + 1] = [] if how < 0.3 else [r.choice(words)] if how < 0.6 else [w[at], f"new{r.random()}"]
+    return w
+
+
+def test_large_buckets_of_texts_that_are_alike(spark):
+    """Links by size alone, by shared differences, between two bases of one group, and none."""
+    r, texts = random.Random(9), []
+    one = prose(31, 150).split()
+    two = one[:75] + prose(32, 25).split() + one[100:]
+    for base in (one, two):
+        for k in range(80):
+            texts.append(edited(base, r, 1 + k % 10, ["the", "of"]))
+        for _ in range(6):  # far from the base, near each other
+            far = edited(base, r, 9, ["the", "of"])
+            texts += [edited(far, r, 1, ["the"]) for _ in range(3)]
+    rows = list(enumerate(" ".join(w) for w in texts))
+    r.shuffle(rows)
+    got = near_copies.keep_one(spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOCS)).collect()
+    assert sorted(x.doc_id for x in got) == slow(rows)
+    assert 30 < len(got) < len(rows) - 60
+
+
+def test_pairs_tried_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """Texts with edits of their own are alike at some 0.7: no pair of them is to be tried for sharing a bucket."""
+    r, base, tried, plain = random.Random(3), prose(51, 150).split(), [], near_copies._alike
+    rows = [(d, " ".join(edited(base, r, 5, ["the"]))) for d in range(200)]
+
+    def counted(pairs, sets):
+        tried.append(pairs.count())
+        return plain(pairs, sets)
+
+    monkeypatch.setattr(near_copies, "_alike", counted)
+    got = near_copies.keep_one(spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOCS)).collect()
+    assert sorted(x.doc_id for x in got) == slow(rows)
+    assert len(got) > 100
+    assert sum(tried[3:]) < 10 * len(rows)
+
+
 def test_no_rows(spark):
     assert near_copies.keep_one(spark.createDataFrame([], DOCS)).count() == 0
