@@ -3,7 +3,7 @@
 A byte goes if a string of GRAM bytes that covers it starts anywhere else in the corpus as well. The suffixes that can have
 such a partner are found first: the minimum of a K-byte hash over each GRAM-byte string (its anchor) depends on the string
 alone, so equal strings have equal anchors at equal places. Anchors whose hash is unique in the corpus are dropped by a
-partial aggregate and a join. The record of an anchor holds the starts that share it, and the bytes that they need. Records
+partial aggregate and a join; most go beforehand, where a bitmap of bounded size has no shared hash with the same low bits. The record of an anchor holds the starts that share it, and the bytes that they need. Records
 of equal bytes are one class (grouped by the bytes themselves, within the tasks first): one suffix each in the sort, with the
 number of its copies. The suffixes of the classes that share an anchor are sorted by mergesort, where two suffixes are
 compared by prefix polynomial hashes and binary search for their common extension; a suffix repeats if it has copies or
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
@@ -33,6 +34,8 @@ CHUNK = 500_000
 GROUP_LIMIT = 4096
 KERNEL_BYTES = 2_000_000
 BLOCK = 16
+#: Bits of the map of shared anchors, at most: 32 MB, however many there are.
+MAP_BITS = 1 << 28
 LOW = np.uint64((1 << 28) - 1)
 
 
@@ -84,14 +87,29 @@ def _hashes(docs: DataFrame, gram: int, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(tidy(work), "h long, n long")
 
 
-def _records(docs: DataFrame, gram: int, k: int, attempt: int, mask: int) -> DataFrame:
-    """(h, c, k1, k2, place): anchor, digest of the record's bytes, document, and first start, anchor and starts in one long."""
+def _bitmap(shared: DataFrame) -> np.ndarray:
+    """A bit for the low bits of each hash in shared (h), as 64-bit words: what has no bit is not in shared."""
+    bits = min(MAP_BITS, max(64, 1 << (16 * shared.count()).bit_length()))
+    low = F.col("h").bitwiseAND(F.lit(bits - 1))
+    words = shared.select(F.shiftright(low, 6).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _records(docs: DataFrame, gram: int, k: int, attempt: int, mask: int, bitmap: Broadcast) -> DataFrame:
+    """(h, c, k1, k2, place): anchor, digest of the record's bytes, document, and first start, anchor and starts in one long.
+    Only records whose anchor may be shared, by the bitmap."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = bitmap.value
         for b in batches:
             texts = [t or b"" for t in b.column(2).to_pylist()]
             k1, k2 = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             for text, at, first, count, h in _anchors(texts, gram, k):
+                low = h & np.uint64(64 * len(words) - 1)
+                maybe = np.flatnonzero(words[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1))
+                text, at, first, count, h = text[maybe], at[maybe], first[maybe], count[maybe], h[maybe]
                 back = at - first
                 digests = b"".join(
                     hashlib.blake2b(texts[i][s : s + n + gram - 1], digest_size=8, salt=d.to_bytes(2, "little"), person=bytes([attempt])).digest()
@@ -330,14 +348,16 @@ def _removed(docs: DataFrame, carried: Column, gram: int, k: int, group_limit: i
     packed, before = _packed(docs, carried), written()
     # stored, so that the joins are between plain exchanges and a very common anchor can be split over tasks
     shared = stored(_hashes(own, gram, k).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "anchors")
+    bitmap = spark.sparkContext.broadcast(_bitmap(shared))
     for attempt in range(5):
         mask = -1 if attempt else (1 << digest_bits) - 1 if digest_bits < 64 else -1
-        found = stored(_records(own, gram, k, attempt, mask).join(shared, "h"), "repeats")
+        found = stored(_records(own, gram, k, attempt, mask, bitmap).join(shared, "h"), "repeats")
         classes = stored(_classes(packed, found, gram), "classes")
         if classes.groupBy("h", "c").count().where("count > 1").isEmpty():
             break
     else:
         raise RuntimeError("different strings have equal digests again and again")
+    bitmap.unpersist()
     groups = classes.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
     together = join_splittable(classes, groups, ["h"]).select("h", "c", "n", "place", "window", "kinds")
     small = together.where(F.col("kinds") <= group_limit).drop("kinds").repartition("h").sortWithinPartitions("h", "c")

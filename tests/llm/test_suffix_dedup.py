@@ -108,3 +108,19 @@ def test_odd_tables(spark):
     cut = suffix_dedup.without_repeats(docs)
     assert cut.columns == docs.columns
     assert sorted((str(r.text), str(r.lang), r.n_chars or 0) for r in cut.collect()) == [("", "None", 0), ("", "a", 0), ("", "b", 0), ("None", "None", 0), ("other", "None", 1)]
+
+
+def test_records_of_unique_anchors_are_not_dealt_out(spark, monkeypatch):
+    made, plain = [], suffix_dedup._records
+
+    def counted(*args):
+        out = plain(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "_records", counted)
+    passage = prose(901, 60)
+    texts = [prose(700 + i, 150) + (" " + passage + " " + prose(800 + i, 20) if i % 20 == 0 else "") for i in range(40)]
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(table(spark, texts)).selectExpr("doc_id", "aggregate(spans, 0L, (n, s) -> n + s[1] - s[0]) AS n_removed").collect()}
+    assert got == {i: w[1] for i, w in enumerate(slow(texts, 200))} and sum(got.values()) > 0
+    assert 0 < made[0] < 40
