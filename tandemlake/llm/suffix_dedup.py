@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from .common import all_of, drop_all_but, field, join_splittable, mix, prefix_hashes, quoted, runs_by_size, small_batches, stored, tidy, write_stored, written
+from .common import all_of, drop_all_but, field, join_splittable, mix, prefix_hashes, quoted, runs_by_size, shuffles_removed, small_batches, stored, tidy, write_stored, written
 
 GRAM = 200
 K = 40
@@ -340,12 +340,11 @@ def _keys() -> list[Column]:
     return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2")]
 
 
-def _removed(docs: DataFrame, carried: Column, gram: int, k: int, group_limit: int, as_text: bool, digest_bits: int = 64) -> DataFrame:
-    """A row for each row of docs: n_bytes, spans, kept and carried, as remove_repeats() has them."""
+def _spans(docs: DataFrame, packed: DataFrame, gram: int, k: int, group_limit: int, digest_bits: int) -> DataFrame:
+    """(k1, k2, found), stored: the records of each document that has some, as structs of place and bits (null: all starts repeat)."""
     spark = docs.sparkSession
-    small_batches(spark)
     own = docs.select(*_keys(), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    packed, before = _packed(docs, carried), written()
+    before = written()
     # stored, so that the joins are between plain exchanges and a very common anchor can be split over tasks
     shared = stored(_hashes(own, gram, k).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "anchors")
     bitmap = spark.sparkContext.broadcast(_bitmap(shared))
@@ -368,7 +367,17 @@ def _removed(docs: DataFrame, carried: Column, gram: int, k: int, group_limit: i
     spans = found.join(verdicts, ["h", "c"], "left").groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "bits")).alias("found"))
     path = write_stored(spans, "spans")
     drop_all_but(spark, before, {path})
-    joined = join_splittable(packed, spark.read.schema(spans.schema).parquet(path), ["k1", "k2"], "left").select("packed", "found", "carried")
+    return spark.read.schema(spans.schema).parquet(path)
+
+
+def _removed(docs: DataFrame, carried: Column, gram: int, k: int, group_limit: int, as_text: bool, digest_bits: int = 64) -> DataFrame:
+    """A row for each row of docs: n_bytes, spans, kept and carried, as remove_repeats() has them."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    packed = _packed(docs, carried)
+    with shuffles_removed(spark):
+        spans = _spans(docs, packed, gram, k, group_limit, digest_bits)
+    joined = join_splittable(packed, spans, ["k1", "k2"], "left").select("packed", "found", "carried")
     schema = StructType([StructField("n_bytes", LongType()), StructField("spans", ArrayType(ArrayType(LongType()))), StructField("kept", StringType() if as_text else BinaryType()), joined.schema["carried"]])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

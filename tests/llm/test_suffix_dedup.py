@@ -1,9 +1,11 @@
 import hashlib
 import random
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
-from tandemlake.llm import suffix_dedup
+from tandemlake.llm import common, suffix_dedup
 from tandemlake.llm.suffix_dedup import Suffixes
 
 from .helpers import DOCS, prose, table
@@ -124,3 +126,26 @@ def test_records_of_unique_anchors_are_not_dealt_out(spark, monkeypatch):
     got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(table(spark, texts)).selectExpr("doc_id", "aggregate(spans, 0L, (n, s) -> n + s[1] - s[0]) AS n_removed").collect()}
     assert got == {i: w[1] for i, w in enumerate(slow(texts, 200))} and sum(got.values()) > 0
     assert 0 < made[0] < 40
+
+
+def test_shuffle_files_go_without_garbage_collection(spark, monkeypatch):
+    """What the executions on the way have shuffled is gone when they end, and the session's setting is as it was."""
+    monkeypatch.setattr(common, "release", lambda spark: None)
+    folders = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f.name for d in folders for f in Path(d).rglob("shuffle_*") if f.suffix != ".tmp"}
+    key, texts, before, left = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", corpus(), files(), []
+    was, plain = spark.conf.get(key), common.write_stored
+
+    def watched(df, name):
+        path, until = plain(df, name), time.time() + 10
+        while files() - before and time.time() < until:  # the engine removes them in the background
+            time.sleep(0.1)
+        left.append((name, len(files() - before)))
+        return path
+
+    monkeypatch.setattr(common, "write_stored", watched)
+    monkeypatch.setattr(suffix_dedup, "write_stored", watched)
+    out = suffix_dedup.remove_repeats(table(spark, texts))
+    assert left == [("anchors", 0), ("repeats", 0), ("classes", 0), ("spans", 0)]
+    assert spark.conf.get(key) == was
+    assert fast(out) == dict(enumerate(slow(texts, 200)))
