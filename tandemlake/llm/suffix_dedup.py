@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -370,12 +371,12 @@ def _spans(docs: DataFrame, packed: DataFrame, gram: int, k: int, group_limit: i
     return spark.read.schema(spans.schema).parquet(path)
 
 
-def _removed(docs: DataFrame, carried: Column, gram: int, k: int, group_limit: int, as_text: bool, digest_bits: int = 64) -> DataFrame:
-    """A row for each row of docs: n_bytes, spans, kept and carried, as remove_repeats() has them."""
+def _removed(docs: DataFrame, carried: Column, gram: int, k: int, group_limit: int, as_text: bool, digest_bits: int = 64, at_once: bool = False) -> DataFrame:
+    """A row for each row of docs: n_bytes, spans, kept and carried, as remove_repeats() has them. at_once: shuffle files go with their execution."""
     spark = docs.sparkSession
     small_batches(spark)
     packed = _packed(docs, carried)
-    with shuffles_removed(spark):
+    with shuffles_removed(spark) if at_once else nullcontext():
         spans = _spans(docs, packed, gram, k, group_limit, digest_bits)
     joined = join_splittable(packed, spans, ["k1", "k2"], "left").select("packed", "found", "carried")
     schema = StructType([StructField("n_bytes", LongType()), StructField("spans", ArrayType(ArrayType(LongType()))), StructField("kept", StringType() if as_text else BinaryType()), joined.schema["carried"]])
@@ -406,7 +407,7 @@ def remove_repeats(docs: DataFrame, gram: int = GRAM, k: int = K, group_limit: i
     one doc_id or of two) goes, if it is long enough, from both. Matches never cross documents. An empty table gives none.
     """
     carried = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*(quoted(c).alias(c) for c in carry or ["doc_id"])).alias("rest"))
-    out = _removed(docs, carried, gram, k, group_limit, as_text, digest_bits)
+    out = _removed(docs, carried, gram, k, group_limit, as_text, digest_bits, at_once=True)
     return out.select(F.col("carried.doc_id").alias("doc_id"), "n_bytes", "spans", "kept", F.col("carried.rest").alias("carried"))
 
 
