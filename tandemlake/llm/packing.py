@@ -20,10 +20,11 @@ from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,15 +35,23 @@ WINDOW = 2048
 LEVELS = 64
 MOST_OPEN = 64
 END_ID = 1
-TEXT_BYTES = 2_000_000
+TEXT_BYTES = 8_000_000
 NEVER = 1 << 62
 CACHE_WORDS = 340_000
 LONG_WORD = 48
 #: Words that are looked up as one text.
-TOGETHER = 1000
-STOPS = b".,;:!?"
-#: A letter of ASCII or Latin-1 (in UTF-8) at the end.
-LETTER = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])$")
+TOGETHER = 200
+#: Words whose ids are put together at once.
+GATHERED = 200_000
+#: What may hold a special token: from `<|` to the next white space.
+SPECIAL = re.compile(rb"<\|\S*")
+#: Kinds of bytes: white space and all beyond ASCII, letters, digits, what is left, the apostrophe.
+NONE, A_LETTER, A_DIGIT, A_SIGN, AN_APOSTROPHE = range(5)
+KIND = np.array([AN_APOSTROPHE if c == 39 else NONE if c > 127 or chr(c) in " \t\n\r\v\f" else A_LETTER if chr(c).isalpha() else A_DIGIT if chr(c).isdigit() else A_SIGN for c in range(256)], np.uint8)
+#: By two kinds, whether a pre-token ends between them, whatever stands around. An apostrophe may go on with a letter.
+ENDS = np.array([[x and y and (x != y or x == A_DIGIT) and {x, y} != {A_SIGN, AN_APOSTROPHE} and (x, y) != (AN_APOSTROPHE, A_LETTER) for y in range(8)] for x in range(5)], bool).ravel()
+#: Second bytes of the Latin-1 letters that begin with C3 in UTF-8: all but the signs of times and division.
+LATIN = np.array([0x80 <= c <= 0xBF and c not in (0x97, 0xB7) for c in range(256)])
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -63,21 +72,13 @@ class _Ids(dict):
     def __missing__(self, word: bytes) -> bytes:
         return self.extra[word]
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         """Look words up that aren't known; those for which there is no room are in `extra` until the next call."""
-        cut = {}
-        for w in words:
-            stem = w.rstrip(STOPS)
-            if len(stem) < len(w) and LETTER.search(stem):
-                cut[w] = (stem, w[len(stem) :])
-        wanted = words.difference(cut).union(*cut.values()).difference(self) if cut else words
-        new = self._encoded(list(wanted))
-        for w, (stem, stops) in cut.items():
-            new[w] = (new[stem] if stem in new else self[stem]) + (new[stops] if stops in new else self[stops])
+        self.extra = {}
+        new = self._encoded(words)
         room = CACHE_WORDS - len(self)
         if len(new) <= room and max(map(len, new), default=0) <= LONG_WORD:
             self.update(new)
-            self.extra = {}
             return
         kept = {w: ids for w, ids in islice(new.items(), max(0, room)) if len(w) <= LONG_WORD}
         self.update(kept)
@@ -86,8 +87,7 @@ class _Ids(dict):
     def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Words of letters alone are one pre-token each and go to the tokenizer as one text, the others one by one."""
         out, others, letters = {}, [], []
-        for w in words:
-            text = w.decode("utf-8", "replace")
+        for w, text in zip(words, b"\n".join(words).decode("utf-8", "replace").split("\n")):  # no word holds a line's end
             (letters if text.isalpha() else others).append((w, text))
         for a in range(0, len(letters), TOGETHER):
             part = letters[a : a + TOGETHER]
@@ -111,23 +111,64 @@ _shared = cache(_Ids)
 KEPT["packing"] = _shared.cache_clear
 
 
+def _words(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """All texts' words as numbers, the words by number, and where each text's begin and end.
+
+    ASCII white space parts words, and so does the end of a pre-token that can be told from the two bytes around it."""
+    raw = b"\n".join([*texts, b""])
+    small = np.frombuffer(bytearray(raw.lower()), np.uint8)
+    kind = KIND[small]
+    bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    for m in SPECIAL.finditer(raw):
+        small[m.start() : m.end()] = np.frombuffer(m[0], np.uint8)
+        kind[m.start() : m.end()] = NONE
+    for t, at in zip(texts, bounds.tolist()):
+        if b"\xcc" in t or b"\xcd" in t:  # a capital and a small letter may take a combining mark differently
+            small[at : at + len(t)] = np.frombuffer(t, np.uint8)
+    before, after = kind[:-1] * np.uint8(8), kind[1:]
+    latin = np.flatnonzero(small[:-1] == 0xC3)
+    latin = latin[LATIN[small[latin + 1]]]
+    before[latin[latin + 1 < len(before)] + 1] = 8 * A_LETTER
+    after[latin[latin > 0] - 1] = A_LETTER
+    before += after
+    cuts = np.flatnonzero(ENDS[before]) + 1
+    del raw, kind, before, after  # a text may be large
+    small = np.insert(small, cuts, 32)
+    bounds += np.searchsorted(cuts, bounds)
+    parted = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(bounds), pa.py_buffer(small)))
+    words = parted.flatten().dictionary_encode()
+    return words.indices.to_numpy(), words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), parted.offsets.to_numpy()
+
+
 class Tokens:
     """Ids of whole texts. Runs between ASCII white space are tokenised on their own and remembered: the tokenizer drops
-    white space and no rule of it looks across, so the ids are those of the whole text. For the same reason stops at the
-    end of a run are taken apart from a letter before them, and ASCII capitals become small ones beforehand; not so in texts
-    that may hold special tokens or combining marks, where that could make a difference. The words of some texts that aren't
-    known yet are looked up together."""
+    white space and no rule of it looks across, so the ids are those of the whole text. For the same reason runs are parted
+    where the tokenizer parts them anyway: between letters, digits and signs of ASCII and Latin-1, but for a letter after an
+    apostrophe. ASCII capitals become small ones beforehand, though not in texts with combining marks, where that could make
+    a difference; what may hold a special token is left as it is. The words of some texts that aren't known yet are looked
+    up together, each once, and the ids of all words are taken from a table by the words' numbers."""
 
     def __init__(self, path: str):
         self.known = _shared(path)
 
     def of(self, texts: list[bytes | None]) -> Iterator[bytes]:
         known = self.known
-        for a, b in runs_by_size([len(t or b"") for t in texts], TEXT_BYTES):
-            lists = [(t.split() if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower().split()) if t else [] for t in texts[a:b]]
-            known.learn(set().union(*lists).difference(known))
-            for words in lists:
-                yield b"".join(map(known.__getitem__, words))
+        texts = [t or b"" for t in texts]
+        for a, b in runs_by_size([len(t) for t in texts], TEXT_BYTES):
+            numbers, words, bounds = _words(texts[a:b])
+            known.learn([w for w in words if w not in known])
+            table = [known[w] for w in words]
+            sizes = np.array([len(x) // 4 for x in table], np.int64)
+            starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(table), "<u4")
+            del words, table
+            ends = np.concatenate([[0], np.cumsum(sizes[numbers])])
+            got = np.empty(ends[-1], "<u4")
+            for c in range(0, len(numbers), GATHERED):
+                part = numbers[c : c + GATHERED]
+                first, last = ends[c], ends[c + len(part)]
+                got[first:last] = ids[np.repeat(starts[part] + first - ends[c : c + len(part)], sizes[part]) + np.arange(last - first)]
+            for start, end in pairwise(ends[bounds].tolist()):
+                yield got[start:end].tobytes()
 
 
 class Packer:

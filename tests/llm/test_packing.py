@@ -59,6 +59,31 @@ def test_words_on_their_own_have_the_ids_of_the_text(text):
     assert got == [plain(text)] * 2
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*" \tasSdDtTré7\'\'\"(-_<>=|@×ªß²\x00\x1c\u00a0İK", "\u0338", "\u030c", "J", "<|startoftext|>", "'ll", "'RE", "<|"]), max_size=15).map("".join), max_size=4))
+def test_pre_tokens_on_their_own_have_the_ids_of_the_text(texts):
+    got = [np.frombuffer(x, "<u4").tolist() for x in packing.Tokens(PATH).of([t.encode() for t in texts])]
+    assert got == [plain(t) for t in texts]
+
+
+def test_words_are_looked_up_once_whatever_signs_stand_around(monkeypatch):
+    asked = Counter()
+    encoded = packing._Ids._encoded
+    monkeypatch.setattr(packing._Ids, "_encoded", lambda self, words: asked.update(words) or encoded(self, words))
+    packing._shared.cache_clear()
+    texts = ['Blorwhent, (blorwhent) "blorwhent" blorwhent-blorwhent', "blorwhent's BLORWHENT; été-blorwhent/été 2024", "blorwhent!! <|endoftext|> <blorwhent>"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in packing.Tokens(PATH).of([t.encode() for t in texts])]
+    assert got == [plain(t) for t in texts]
+    assert set(asked) <= {w.encode() for w in ["", "blorwhent", "été", "'s", *',()"-;/<>024', "!!", "<|endoftext|>"]} and set(asked.values()) == {1}
+
+
+def test_many_words_are_put_together_in_parts(monkeypatch):
+    monkeypatch.setattr(packing, "GATHERED", 7)
+    texts = ["", prose(5, 100), None, "one", prose(6, 7)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in packing.Tokens(PATH).of([t and t.encode() for t in texts])]
+    assert got == [plain(t) for t in texts]
+
+
 def test_cache_that_is_full(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_WORDS", 3)
     packing._shared.cache_clear()
